@@ -17,17 +17,24 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def rewrite(value: Column, rules: list[tuple[str, str]]) -> Column:
-    """Apply ordered (pattern, replacement) rules."""
-    for pattern, replacement in rules:
-        value = F.regexp_replace(value, pattern, replacement)
-    return value
+def only_if(value: Column, test: Callable[[Column], Column], change: Callable[[Column], Column]) -> Column:
+    """Change a value only when a cheap test says that there is something to change."""
+    return let(value, lambda v: F.when(test(v), change(v)).otherwise(v))
+
+
+def has(text: str) -> Callable[[Column], Column]:
+    """Byte search for a literal: far cheaper than starting a regular expression."""
+    return lambda value: value.contains(text)
 
 
 def blank_to_null(value: Column) -> Column:
     return F.nullif(value, F.lit(""))
 
 
+# All characters that count as white space in Unicode text.
+WHITE_SPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+
+
 def strip_space(value: Column) -> Column:
     """Trim all Unicode white space, not only the blank."""
-    return F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
+    return F.btrim(value, F.lit(WHITE_SPACE))

@@ -13,7 +13,7 @@ from html.entities import name2codepoint
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from inkweave.functions import as_col, blank_to_null, let, strip_space
+from inkweave.functions import as_col, blank_to_null, has, let, only_if, strip_space
 from inkweave.functions import urls
 
 # Inside of a tag; a ">" in a quoted attribute does not end it. Possessive, so it cannot recurse deeply.
@@ -164,51 +164,66 @@ def drop_elements(html: Column | str, tag: str) -> Column:
 
 def _selector_pattern(selector: str) -> str:
     """Opening tag a simple selector matches; group 2 is the element name."""
-    def has(attr: str, token: str) -> str:
-        return rf"""(?=[^>]*?\s{attr}\s*=\s*["']?(?:[^"'>]*\s)?{token}(?=[\s"'/>]))"""
+    def holds(attr: str, token: str) -> str:
+        return rf"""(?=[^>]*?\s{attr}\s*=\s*["']?(?:[^"'>]*\s)?(?-i:{token})(?=[\s"'/>]))"""
 
     if selector.startswith("#"):
-        name, checks = r"[A-Za-z][A-Za-z0-9]*", [rf"""(?=[^>]*?\sid\s*=\s*["']?{selector[1:]}(?=[\s"'/>]))"""]
+        name, checks = r"[A-Za-z][A-Za-z0-9]*", [
+            rf"""(?=[^>]*?\sid\s*=\s*["']?(?-i:{selector[1:]})(?=[\s"'/>]))"""]
     elif "[" in selector:
         name, rest = selector.split("[", 1)
         key, value = rest.rstrip("]").split("=")
         unquoted = value.strip('"')
-        checks = [rf"""(?=[^>]*?\s{key}\s*=\s*["']?{unquoted}(?=["'\s/>]))"""]
+        checks = [rf"""(?=[^>]*?\s{key}\s*=\s*["']?(?-i:{unquoted})(?=["'\s/>]))"""]
     else:
         name, *classes = selector.split(".")
-        checks = [has("class", c) for c in classes]
+        checks = [holds("class", c) for c in classes]
         name = name or r"[A-Za-z][A-Za-z0-9]*"
     return rf"(?is)(<({name})(?![\w\-]){''.join(checks)}.*)$"
 
 
-def _select(html: Column, selector: str) -> Column:
-    """First element that matches, or NULL. ``main .x`` looks inside main elements."""
-    if " " in selector:
-        outer, inner = selector.split(" ")
-        inside = F.filter(
-            F.transform(F.filter(F.split(html, rf"(?i)(?=<{outer}[\s/>])"),
-                                 lambda p: p.rlike(rf"(?i)^<{outer}[\s/>]")),
-                        lambda p: F.regexp_replace(element_at_start(p, F.lit(outer)), r"(?s)^<[^>]*>", "")),
-            lambda p: p.rlike(_selector_pattern(inner)))
-        return let(F.get(inside, F.lit(0)), lambda p: _select(p, inner))
-    pattern = _selector_pattern(selector)
-    return let(
-        F.struct(F.regexp_extract(html, pattern, 1).alias("rest"), F.regexp_extract(html, pattern, 2).alias("tag")),
-        lambda m: F.when(m["tag"] != "", element_at_start(m["rest"], m["tag"])))
+def _selector_word(selector: str) -> str:
+    """Case-sensitive text a page must hold for the selector to hit; empty when there is none."""
+    last = selector.split(" ")[-1]
+    if "[" in last:
+        return last.split("=")[1].rstrip("]").strip('"')
+    return last.lstrip("#").split(".")[-1] if ("." in last or "#" in last) else ""
+
+
+def _find(html: Column, selector: str) -> Column:
+    """struct(selector, rest, tag) from the first opening tag that matches, or NULL."""
+    pattern = _selector_pattern(selector.split(" ")[-1])
+
+    def opened(text: Column) -> Column:
+        match = F.struct(F.lit(selector).alias("selector"), F.regexp_extract(text, pattern, 1).alias("rest"),
+                         F.regexp_extract(text, pattern, 2).alias("tag"))
+        return let(match, lambda m: F.when(m["tag"] != "", m))
+
+    if " " not in selector:
+        return opened(html)
+    outer = selector.split(" ")[0]
+    insides = F.transform(
+        F.filter(F.split(html, rf"(?i)(?=<{outer}[\s/>])"), lambda p: p.rlike(rf"(?i)^<{outer}[\s/>]")),
+        lambda p: F.regexp_replace(element_at_start(p, F.lit(outer)), r"(?s)^<[^>]*>", ""))
+    return let(F.get(F.filter(insides, lambda p: p.rlike(pattern)), F.lit(0)), opened)
 
 
 def main_content(html: Column | str, profile: str = "v2") -> Column:
-    """struct(selector, html): the first selector that hits; the whole page when none does."""
+    """struct(selector, html): the first selector that hits; the whole page when none does.
+
+    ``main .x`` looks inside main elements.
+    """
     selectors = MAIN_SELECTORS_V2 if profile == "v2" else MAIN_SELECTORS_V1
 
     def choose(page: Column) -> Column:
-        def named(selector: str) -> Callable[[Column], Column]:
-            return lambda hit: F.when(hit.isNotNull(), F.struct(
-                F.lit(selector).alias("selector"), hit.alias("html")))
-
-        hits = [let(_select(page, s), named(s)) for s in selectors]
-        whole = F.struct(F.lit(None).cast("string").alias("selector"), page.alias("html"))
-        return F.coalesce(*hits, whole)
+        hits = []
+        for selector in selectors:
+            word, hit = _selector_word(selector), _find(page, selector)
+            hits.append(F.when(page.contains(word), hit) if word else hit)
+        whole = F.struct(F.lit(None).cast("string").alias("selector"), page.alias("rest"), F.lit("").alias("tag"))
+        return let(F.coalesce(*hits, whole), lambda hit: F.struct(
+            hit["selector"].alias("selector"),
+            F.when(hit["tag"] == "", hit["rest"]).otherwise(element_at_start(hit["rest"], hit["tag"])).alias("html")))
 
     return let(as_col(html), choose)
 
@@ -386,37 +401,64 @@ def _quotes_to_md(text: Column) -> Column:
 
 
 def html_to_md(html: Column | str, profile: str = "v2") -> Column:
-    """Ordered conversion rules. The command-line profile keeps source line breaks."""
-    text = _map_pieces(as_col(html), r"(?i)(?=<pre[\s>])|(?<=</pre>)", lambda p: F.when(
-        p.rlike(r"(?is)^<pre[\s>].*</pre>$"), _fence(p)).otherwise(p))
-    if profile == "v2":
-        text = F.regexp_replace(text, r"[ \t\r\n\f]+", " ")
-    else:
-        text = F.regexp_replace(F.regexp_replace(text, r"[ \t\f]*\r?\n[ \t\r\n\f]*", "\n"), r"[ \t\f]+", " ")
-    text = F.regexp_replace(text, f" ?```({_LINE}[^`]*{_LINE})``` ?", "\n\n```$1```\n\n")
-    text = _map_pieces(text, r"(?i)(?=<table[\s/>])|(?<=</table>)", lambda p: F.when(
-        p.rlike(r"(?is)^<table[\s/>].*</table>$"), F.concat(F.lit("\n\n"), table_to_md(p), F.lit("\n\n"))).otherwise(p))
-    text = _images_to_md(text, profile)
-    text = _map_closed(text, "code|tt|kbd|samp", lambda _a, t, _p: F.concat(F.lit("`"), strip_space(t), F.lit("`")))
-    text = _map_closed(text, "em|i", _emphasis("*"))
-    text = _map_closed(text, "strong|b", _emphasis("**"))
-    text = _map_closed(text, "a", _link)
-    text = _lists_to_md(text)
-    for level in range(1, 7):
-        text = F.regexp_replace(text, rf"(?i)\s*<h{level}(?![\w\-]){ATTRS}>\s*", f"\n\n{'#' * level} ")
-    text = F.regexp_replace(text, r"(?i)\s*</h[1-6]\s*>\s*", "\n\n")
-    text = F.regexp_replace(text, rf"(?i)\s*<br(?![\w\-]){ATTRS}>\s*", "  \n")
-    text = F.regexp_replace(text, rf"(?i)\s*<hr(?![\w\-]){ATTRS}>\s*", "\n\n---\n\n")
-    text = F.regexp_replace(text, rf"(?i)\s*<blockquote(?![\w\-]){ATTRS}>\s*", _QUOTE_IN)
-    text = F.regexp_replace(text, r"(?i)\s*</blockquote\s*>\s*", _QUOTE_OUT)
-    text = F.regexp_replace(text, r"(?i)\s*</?(?:p|div|section|article|main|body|html|head|header|footer|nav|aside|title"
-                                  rf"|dl|dt|dd|form|fieldset|address)(?![\w\-]){ATTRS}>\s*", "\n\n")
-    text = _quotes_to_md(text)
-    text = F.regexp_replace(text, rf"(?s){ANY_TAG}|<![A-Za-z][^>]*>", "")
-    text = decode_entities(text)
-    text = F.translate(text, _LINE + _BLANK + _TAB, "\n \t")
-    text = F.regexp_replace(text, r"\n{3,}", "\n\n")
-    return F.concat(F.regexp_replace(text, r"^\s+|\s+$", ""), F.lit("\n"))
+    """Ordered conversion rules. The command-line profile keeps source line breaks.
+
+    Rules for elements the page does not have are skipped, after one look at its lower-case text.
+    """
+    words = {"pre": "<pre", "table": "<table", "img": "<img", "a": "</a", "list": "<li", "quote": "<blockquote",
+             "br": "<br", "hr": "<hr", **{f"h{n}": f"<h{n}" for n in range(1, 7)}}
+    words |= {n: f"</{n}" for n in ("em", "i", "strong", "b", "code", "tt", "kbd", "samp")}
+
+    def convert(page: Column) -> Column:
+        lowered = let(F.lower(page), lambda low: F.struct(*[low.contains(w).alias(n) for n, w in words.items()]))
+        return let(lowered, lambda seen: rules(page, seen))
+
+    def rules(text: Column, seen: Column) -> Column:
+        def step(value: Column, test: Column, change: Callable[[Column], Column]) -> Column:
+            return let(value, lambda v: F.when(test, change(v)).otherwise(v))
+
+        def swap(pattern: str, replacement: str) -> Callable[[Column], Column]:
+            return lambda v: F.regexp_replace(v, pattern, replacement)
+
+        def element(name: str) -> str:
+            return rf"(?i)\s*<{name}(?![\w\-]){ATTRS}>\s*"
+
+        text = step(text, seen["pre"], lambda v: _map_pieces(v, r"(?i)(?=<pre[\s>])|(?<=</pre>)", lambda p: F.when(
+            p.rlike(r"(?is)^<pre[\s>].*</pre>$"), _fence(p)).otherwise(p)))
+        if profile == "v2":
+            text = F.regexp_replace(text, r"[ \t\r\n\f]+", " ")
+        else:
+            text = F.regexp_replace(F.regexp_replace(text, r"[ \t\f]*\r?\n[ \t\r\n\f]*", "\n"), r"[ \t\f]+", " ")
+        text = step(text, seen["pre"], swap(f" ?```({_LINE}[^`]*{_LINE})``` ?", "\n\n```$1```\n\n"))
+        text = step(text, seen["table"], lambda v: _map_pieces(
+            v, r"(?i)(?=<table[\s/>])|(?<=</table>)", lambda p: F.when(
+                p.rlike(r"(?is)^<table[\s/>].*</table>$"),
+                F.concat(F.lit("\n\n"), table_to_md(p), F.lit("\n\n"))).otherwise(p)))
+        text = step(text, seen["img"], lambda v: _images_to_md(v, profile))
+        text = step(text, seen["code"] | seen["tt"] | seen["kbd"] | seen["samp"], lambda v: _map_closed(
+            v, "code|tt|kbd|samp", lambda _a, t, _p: F.concat(F.lit("`"), strip_space(t), F.lit("`"))))
+        text = step(text, seen["em"] | seen["i"], lambda v: _map_closed(v, "em|i", _emphasis("*")))
+        text = step(text, seen["strong"] | seen["b"], lambda v: _map_closed(v, "strong|b", _emphasis("**")))
+        text = step(text, seen["a"], lambda v: _map_closed(v, "a", _link))
+        text = step(text, seen["list"], _lists_to_md)
+        for level in range(1, 7):
+            text = step(text, seen[f"h{level}"], swap(element(f"h{level}"), f"\n\n{'#' * level} "))
+        text = F.regexp_replace(text, r"(?i)\s*</h[1-6]\s*>\s*", "\n\n")
+        text = step(text, seen["br"], swap(element("br"), "  \n"))
+        text = step(text, seen["hr"], swap(element("hr"), "\n\n---\n\n"))
+        text = step(text, seen["quote"], lambda v: F.regexp_replace(F.regexp_replace(
+            v, element("blockquote"), _QUOTE_IN), r"(?i)\s*</blockquote\s*>\s*", _QUOTE_OUT))
+        text = F.regexp_replace(
+            text, r"(?i)\s*</?(?:p|div|section|article|main|body|html|head|header|footer|nav|aside|title"
+                  rf"|dl|dt|dd|form|fieldset|address)(?![\w\-]){ATTRS}>\s*", "\n\n")
+        text = step(text, seen["quote"], _quotes_to_md)
+        text = only_if(text, has("<"), swap(rf"(?s){ANY_TAG}|<![A-Za-z][^>]*>", ""))
+        text = only_if(text, has("&"), decode_entities)
+        text = step(text, seen["pre"], lambda v: F.translate(v, _LINE + _BLANK + _TAB, "\n \t"))
+        text = only_if(text, has("\n\n\n"), swap(r"\n{3,}", "\n\n"))
+        return F.concat(F.btrim(text, F.lit(" \t\n\r\f")), F.lit("\n"))
+
+    return let(as_col(html), convert)
 
 
 def plain_text(html: Column | str) -> Column:

@@ -83,7 +83,7 @@ def unique_slugs(entries: Column | str) -> Column:
 def display_text(text: Column | str) -> Column:
     """Heading text for a table of contents."""
     cleaned = F.regexp_replace(as_col(text), "(?U)ðŸ[^\\s\\w]{1,3}\\S?", "")
-    cleaned = F.translate(cleaned, "️​", "")
+    cleaned = F.translate(cleaned, "\ufe0f\u200b", "")
     return F.coalesce(blank_to_null(strip_space(cleaned)), F.lit("Untitled Section"))
 
 

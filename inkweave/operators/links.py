@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkweave.functions import as_col, scope, strip_space, urls
+from inkweave.functions import as_col, let, scope, strip_space, urls
 from inkweave.functions.html import ATTRS, attribute, decode_entities
 from inkweave.operators.joins import join_checked
 from inkweave.operators.ordered import first_occurrence
@@ -60,12 +60,16 @@ def tag_tokens(pages: DataFrame, profile: str = "v2") -> DataFrame:
 
     Only tags travel, never text, and only names that matter on that page.
     """
-    tags = F.regexp_extract_all(_visible("html"), F.lit(rf"(?is)</?[A-Za-z]{ATTRS}>"), 0)
-    listed = pages.select("page_id", "url", tags.alias("tags")).withColumn("areas", F.array_distinct(F.transform(
-        F.filter("tags", lambda t: _marked(t, profile)), lambda t: F.lower(F.regexp_extract(t, _OPEN_NAME, 1)))))
-    kept = listed.where(F.size("areas") > 0).withColumn("tags", F.filter(
-        "tags", lambda t: t.rlike(r"(?is)^<a[\s/>]")
-        | F.array_contains("areas", F.lower(F.regexp_extract(t, _NAME, 1)))))
+    found = F.regexp_extract_all(_visible("html"), F.lit(rf"(?is)</?[A-Za-z]{ATTRS}>"), 0)
+
+    def relevant(tags: Column) -> Column:
+        opened = F.filter(tags, lambda t: _marked(t, profile))
+        areas = F.array_distinct(F.transform(opened, lambda t: F.lower(F.regexp_extract(t, _OPEN_NAME, 1))))
+        return let(areas, lambda names: F.when(F.size(names) > 0, F.filter(
+            tags, lambda t: t.rlike(r"(?is)^<a[\s/>]")
+            | F.array_contains(names, F.lower(F.regexp_extract(t, _NAME, 1))))))
+
+    kept = pages.select("page_id", "url", let(found, relevant).alias("tags"))
     return kept.select("page_id", "url", F.posexplode("tags").alias("pos", "tag")).select(
         "page_id", "url", "pos", "tag",
         F.lower(F.regexp_extract("tag", _NAME, 1)).alias("name"),

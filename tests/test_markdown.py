@@ -27,8 +27,8 @@ RULE_CASES = [
     ("data_images", "![a](data:image/png;base64,AA)", "[Embedded Image Removed]"),
     ("newline_runs", "a\n\n\n\nb", "a\n\nb"),
     ("blank_lines", "a\n \n\nb", "a\nb"),
-    ("repeated_placeholders", "[Embedded Image: a] [Embedded Image Removed] x", "[Embedded Image Removed] x"),
-    ("repeated_placeholders_v1", "[Embedded Image][Embedded Image]", "[Embedded Image]"),
+    ("repeated_embedded", "[Embedded Image: a] [Embedded Image Removed] x", "[Embedded Image Removed] x"),
+    ("repeated_embedded_v1", "[Embedded Image][Embedded Image]", "[Embedded Image]"),
     ("reference_marks", "a [1] b [2](x)", "a b [2](x)"),
     ("link_definitions", "[r]: http://x", ""),
 ]
