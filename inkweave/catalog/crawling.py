@@ -1 +1,244 @@
-ENTRIES = {}
+"""Walks over a site derived from the captured pages.
+
+The captured links never reach another captured page. Here page ``n`` becomes page ``n div 4`` of
+site ``n mod 4``; its own text and links stay, and links to pages ``2i+1``, ``2i+2``, ``3i+1`` and
+``i div 2`` are written into it. Targets past the end are broken links, the last one makes cycles.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from inkweave.catalog.common import load
+from inkweave.functions import urls
+from inkweave.operators import bundle, graph, links
+from inkweave.operators.jobs import with_scope
+from inkweave.operators.ordered import first_occurrence
+
+SITES = 4
+
+
+def _address(index):
+    return F.concat(F.lit("https://site"), F.col("s").cast("string"), F.lit(".test/p/"), index.cast("string"))
+
+
+def site_pages(spark, folder):
+    i = F.col("i")
+    hrefs = [i * 2 + 1, i * 2 + 2, i * 3 + 1, F.floor(i / 2)]
+    added = F.concat(*[F.concat(F.lit('<a href="/p/'), h.cast("string"), F.lit('">x</a>')) for h in hrefs], F.lit("</article>"))
+    return load(spark, folder, "pages").select(
+        "page_id", "html", (F.col("page_id") % SITES).alias("s"), F.floor(F.col("page_id") / SITES).alias("i")).select(
+        "page_id", _address(i).alias("url"), F.replace(F.col("html"), F.lit("</article>"), added).alias("html"))
+
+
+def site_jobs(pages):
+    """A job per site from its page 0; the page limit differs per site."""
+    site = F.regexp_extract("url", r"//site(\d+)", 1).cast("int")
+    return with_scope(pages.groupBy(site.alias("s")).agg(F.count("*").alias("n")).select(
+        F.concat(F.lit("job"), F.col("s").cast("string")).alias("job_id"),
+        F.concat(F.lit("https://site"), F.col("s").cast("string"), F.lit(".test/p/0")).alias("seed_url"),
+        F.expr("cast(array() as array<string>)").alias("include_prefixes"),
+        F.expr("cast(array() as array<string>)").alias("exclude_regexes"),
+        F.when(F.col("s") == 0, F.lit(1000000)).otherwise(F.floor(F.col("n") * F.col("s") / SITES)).cast("int").alias("max_pages"),
+        F.when(F.col("s") == 3, "single_md").otherwise("zip").alias("output_format"), F.lit(False).alias("strict_limit")))
+
+
+def captured(pages):
+    """Every seventh page of a site failed to load, every eleventh was no HTML."""
+    i = F.regexp_extract("url", r"(\d+)$", 1).try_cast("long")
+    return pages.select("url", F.when(i % 7 == 3, "failed").when(i % 11 == 5, "not_html").otherwise("ok").alias("outcome"))
+
+
+def site_edges(pages, jobs):
+    return links.job_edges(links.extract_links(pages), jobs)
+
+
+def walk(spark, folder):
+    pages = site_pages(spark, folder)
+    jobs = site_jobs(pages)
+    seeds = jobs.select("job_id", F.col("seed_url").alias("url"), "max_pages")
+    return graph.crawl(site_edges(pages, jobs), captured(pages), seeds)
+
+
+SQL_SITE = f"""site AS (SELECT page_id, page_id % {SITES} AS s, page_id // {SITES} AS i, html FROM pages),
+jobs AS (SELECT s, 'job' || s AS job_id, CASE WHEN s = 0 THEN 1000000 ELSE count(*) * s // {SITES} END AS max_pages FROM site GROUP BY s),
+own AS (SELECT s, i, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS hrefs FROM site),
+every_link AS (SELECT s, i, unnest(list_concat(hrefs, ['/p/' || (2*i+1), '/p/' || (2*i+2), '/p/' || (3*i+1), '/p/' || (i // 2)])) AS href,
+  generate_subscripts(list_concat(hrefs, ['', '', '', '']), 1) - 1 AS pos FROM own),
+edges AS (SELECT s, '/p/' || i AS src, href AS dst, min(pos) AS pos FROM every_link
+  WHERE regexp_matches(href, '^/p(/|$)') GROUP BY ALL),
+got AS (SELECT s, '/p/' || i AS url, CASE WHEN i % 7 = 3 THEN 'failed' WHEN i % 11 = 5 THEN 'not_html' ELSE 'ok' END AS outcome FROM site)"""
+
+
+def _level(n):
+    before = " UNION ALL ".join(f"SELECT s, url, crawl_pos FROM l{m}" for m in range(n))
+    found = "SELECT s, '/p/0' AS url, 0 AS pp, 0 AS pos FROM jobs" if n == 0 else f"""
+      SELECT e.s, e.dst AS url, min((p.queue_pos, e.pos)) AS f, min((p.queue_pos, e.pos))[1] AS pp, min((p.queue_pos, e.pos))[2] AS pos
+      FROM l{n - 1} p JOIN edges e ON e.s = p.s AND e.src = p.url WHERE p.gives
+        AND NOT EXISTS (SELECT 1 FROM ({before}) b WHERE b.s = e.s AND b.url = e.dst) GROUP BY e.s, e.dst"""
+    seen = "0" if n == 0 else f"coalesce((SELECT count(*) FROM ({before}) b WHERE b.s = f.s), 0)"
+    done = "0" if n == 0 else f"coalesce((SELECT count(crawl_pos) FROM ({before}) b WHERE b.s = f.s), 0)"
+    return f"""c{n} AS MATERIALIZED (SELECT f.s, f.url, f.pp, coalesce(g.outcome, 'failed') AS outcome,
+      {seen} + row_number() OVER w AS queue_pos,
+      {done} + count(*) FILTER (WHERE coalesce(g.outcome, 'failed') = 'ok') OVER (PARTITION BY f.s ORDER BY f.pp, f.pos) AS hits
+      FROM ({found}) f LEFT JOIN got g ON g.s = f.s AND g.url = f.url WINDOW w AS (PARTITION BY f.s ORDER BY f.pp, f.pos)),
+    l{n} AS MATERIALIZED (SELECT c.s, c.url, {n} AS depth, c.queue_pos,
+      CASE WHEN outcome = 'ok' AND hits - 1 < max_pages THEN hits END AS crawl_pos,
+      CASE WHEN hits - (outcome = 'ok')::INT >= max_pages THEN 'queued' WHEN outcome = 'ok' THEN 'crawled' ELSE outcome END AS state,
+      outcome = 'ok' AND hits < max_pages AS gives FROM c{n} c JOIN jobs USING (s))"""
+
+
+LEVELS = 14
+SQL_WALK = f"""{SQL_SITE},
+{','.join(_level(n) for n in range(LEVELS))},
+visits AS ({' UNION ALL '.join(f'SELECT * FROM l{n}' for n in range(LEVELS))})"""
+
+
+def bfs_crawl(spark, folder):
+    return walk(spark, folder).select("job_id", "url", F.col("depth").cast("long").alias("depth"), "queue_pos", "crawl_pos", "state")
+
+
+SQL_BFS = f"""WITH {SQL_WALK}
+SELECT 'job' || s AS job_id, 'https://site' || s || '.test' || url AS url, depth, queue_pos, crawl_pos, state FROM visits"""
+
+
+def crawl_order_limited(spark, folder):
+    return walk(spark, folder).where("state = 'crawled'").select("job_id", "crawl_pos", "url")
+
+
+SQL_ORDER = f"""WITH {SQL_WALK}
+SELECT 'job' || s AS job_id, crawl_pos, 'https://site' || s || '.test' || url AS url FROM visits WHERE state = 'crawled'"""
+
+
+def depth_counts(spark, folder):
+    return bundle.depth_counts(walk(spark, folder)).select(
+        "job_id", F.col("depth").cast("long").alias("depth"), "n_urls", "n_crawled")
+
+
+SQL_DEPTHS = f"""WITH {SQL_WALK}
+SELECT 'job' || s AS job_id, depth, count(*) AS n_urls, count(*) FILTER (WHERE state = 'crawled') AS n_crawled FROM visits GROUP BY ALL"""
+
+
+def crawl_counters(spark, folder):
+    return bundle.crawl_counts(walk(spark, folder))
+
+
+SQL_COUNTERS = f"""WITH {SQL_WALK}
+SELECT 'job' || s AS job_id, count(*) AS n_queued, count(*) FILTER (WHERE state = 'crawled') AS n_crawled,
+  count(*) FILTER (WHERE state IN ('crawled', 'not_html')) AS n_fetched, count(*) FILTER (WHERE state = 'failed') AS n_failed,
+  count(*) FILTER (WHERE state = 'not_html') AS n_not_html, count(*) FILTER (WHERE state = 'queued') AS n_pending
+FROM visits GROUP BY s"""
+
+
+def _reached(spark, folder):
+    pages = site_pages(spark, folder)
+    jobs = site_jobs(pages)
+    seeds = jobs.select("job_id", F.col("seed_url").alias("url"), "max_pages")
+    nodes = captured(pages).where("outcome = 'ok'").select("url")
+    return graph.reachable(site_edges(pages, jobs), nodes, seeds), seeds
+
+
+def reachable(spark, folder):
+    reached, _ = _reached(spark, folder)
+    return reached.select("job_id", "url", F.col("depth").cast("long").alias("depth"))
+
+
+SQL_REACH = f"""{SQL_SITE},
+good AS (SELECT s, url FROM got WHERE outcome = 'ok'),
+walked AS (SELECT s, '/p/0' AS url, 0 AS depth FROM jobs
+  UNION SELECT w.s, e.dst, w.depth + 1 FROM walked w JOIN edges e ON e.s = w.s AND e.src = w.url
+  JOIN good g ON g.s = e.s AND g.url = e.dst WHERE w.depth < 40),
+reached AS (SELECT s, url, min(depth) AS depth FROM walked GROUP BY ALL)"""
+
+
+def strict_budget(spark, folder):
+    """Discovery takes half of the reachable pages off a limit of three quarters."""
+    reached, _ = _reached(spark, folder)
+    sizes = reached.groupBy("job_id").agg(F.count("*").alias("n"))
+    limits = sizes.select("job_id", F.floor(F.col("n") * 3 / 4).cast("int").alias("max_pages"))
+    found = sizes.select("job_id", F.floor(F.col("n") / 2).cast("int").alias("n_discovered"))
+    return graph.save_order(reached, found, limits)
+
+
+SQL_BUDGET = f"""WITH RECURSIVE {SQL_REACH},
+placed AS (SELECT 'job' || s AS job_id, 'https://site' || s || '.test' || url AS url, count(*) OVER (PARTITION BY s) AS n,
+  row_number() OVER (PARTITION BY s ORDER BY url) AS save_pos FROM reached)
+SELECT job_id, url, save_pos FROM placed WHERE save_pos <= n * 3 // 4 - n // 2"""
+
+
+def component_sizes(spark, folder):
+    """Captured, reachable and unreachable pages of each job."""
+    reached, seeds = _reached(spark, folder)
+    pages = site_pages(spark, folder)
+    total = captured(pages).groupBy(urls.host("url").alias("host")).agg(F.count("*").alias("n_pages"))
+    sized = reached.groupBy("job_id").agg(F.countDistinct("url").alias("n_reached"), F.max("depth").cast("long").alias("depth"))
+    return seeds.select("job_id", urls.host("url").alias("host")).join(total, "host").join(sized, "job_id").select(
+        "job_id", "n_pages", "n_reached", "depth")
+
+
+SQL_SIZES = f"""WITH RECURSIVE {SQL_REACH}
+SELECT 'job' || s AS job_id, n_pages, count(*) AS n_reached, max(depth) AS depth
+FROM reached JOIN (SELECT s, count(*) AS n_pages FROM got GROUP BY s) USING (s) GROUP BY s, n_pages"""
+
+
+def neighbours_captured(spark, folder):
+    """Edges whose target was captured, and how many the job has in all."""
+    pages = site_pages(spark, folder)
+    edges = site_edges(pages, site_jobs(pages))
+    kept = edges.join(pages.select(F.col("url").alias("dst")), "dst", "left_semi")
+    return edges.groupBy("job_id").agg(F.count("*").alias("n_edges")).join(
+        kept.groupBy("job_id").agg(F.count("*").alias("n_captured")), "job_id")
+
+
+SQL_NEIGHBOURS = f"""WITH {SQL_SITE}
+SELECT 'job' || e.s AS job_id, count(*) AS n_edges, count(g.url) AS n_captured
+FROM edges e LEFT JOIN got g ON g.s = e.s AND g.url = e.dst GROUP BY e.s"""
+
+
+def navigation_or_discovery(spark, folder):
+    """Order list per page as its own seed: navigation links for even pages, plain links for the rest."""
+    pages = load(spark, folder, "pages")
+    job = F.col("page_id").cast("string").alias("job_id")
+    nav = links.resolve(links.navigation_links(pages.where("html like '%<nav%'")), "v1").where(
+        urls.is_html_v1("dst")).select(job, "pos", F.col("dst").alias("url"))
+    nav = first_occurrence(nav, ["job_id", "url"], ["pos"]).join(
+        pages.where("length(html) % 2 = 0").select(job), "job_id", "left_semi")
+    discovery = pages.select(job, F.lit(0).alias("pos"), "url")
+    return graph.navigation_or_discovery(nav, discovery).select("job_id", "pos", "url", "source")
+
+
+SQL_NAVIGATION = r"""
+WITH l AS (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS origin, length(html) AS n,
+    unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href,
+    generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)"', 1), 1) - 1 AS pos FROM pages),
+nav AS (SELECT page_id, min(pos) AS pos, origin || href AS url FROM l WHERE n % 2 = 0 GROUP BY page_id, origin || href)
+SELECT page_id::VARCHAR AS job_id, pos, url, 'nav' AS source FROM nav
+UNION ALL SELECT page_id::VARCHAR, 0, url, 'discovery' FROM pages WHERE page_id NOT IN (SELECT page_id FROM nav)"""
+
+
+def seed_status(spark, folder):
+    """Seeds of twice as many sites as there are; only captured seeds start a walk."""
+    pages = site_pages(spark, folder)
+    seeds = pages.select("page_id", F.concat(F.lit("https://site"), (F.col("page_id") % (2 * SITES)).cast("string"), F.lit(
+        ".test/p/"), F.floor(F.col("page_id") / SITES).cast("string")).alias("url")).select(
+        F.col("page_id").cast("string").alias("job_id"), "url")
+    return graph.seed_status(seeds, pages.select("url"))
+
+
+SQL_STATUS = f"""
+SELECT page_id::VARCHAR AS job_id, 'https://site' || (page_id % {2 * SITES}) || '.test/p/' || (page_id // {SITES}) AS url,
+  page_id % {2 * SITES} < {SITES} AND EXISTS (SELECT 1 FROM pages q WHERE q.page_id = (p.page_id // {SITES}) * {SITES} + p.page_id % {2 * SITES}) AS in_graph
+FROM pages p"""
+
+ENTRIES = {
+    "bfs_crawl": (bfs_crawl, SQL_BFS),
+    "crawl_order_limited": (crawl_order_limited, SQL_ORDER),
+    "depth_counts": (depth_counts, SQL_DEPTHS),
+    "crawl_counters": (crawl_counters, SQL_COUNTERS),
+    "reachable": (reachable, f"WITH RECURSIVE {SQL_REACH} SELECT 'job' || s AS job_id, 'https://site' || s || '.test' || url AS url, depth FROM reached"),
+    "strict_budget": (strict_budget, SQL_BUDGET),
+    "component_sizes": (component_sizes, SQL_SIZES),
+    "neighbours_captured": (neighbours_captured, SQL_NEIGHBOURS),
+    "navigation_or_discovery": (navigation_or_discovery, SQL_NAVIGATION),
+    "seed_status": (seed_status, SQL_STATUS),
+}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from inkweave.operators.joins import BROADCAST_ROWS
@@ -43,18 +43,13 @@ def crawl(edges: DataFrame, captured: DataFrame, seeds: DataFrame, max_depth: in
     """
     graph = bucketed(edges, "job_id", "src")
     outcomes = bucketed(captured.select("url", "outcome"), "url")
-    limits = seeds.select("job_id", "max_pages")
 
-    def place(found: DataFrame, before: DataFrame | None, depth: int) -> DataFrame:
+    def place(found: DataFrame, before: DataFrame, depth: int) -> DataFrame:
+        """Number the finds behind what each job has seen. Only the level before is needed for that."""
         known = found.join(outcomes, "url", "left").withColumn("outcome", F.coalesce("outcome", F.lit("failed")))
         order = [F.col("parent_pos"), F.col("pos")]
         counted = running(known, ["job_id"], position_slot(F.col("parent_pos"), PARENTS_PER_SLOT), order, sums={
-            "rank": F.lit(1).cast("long"), "hits": (F.col("outcome") == "ok").cast("long")})
-        counted = counted.join(limits, "job_id")
-        if before is None:
-            counted = counted.withColumn("seen", F.lit(0).cast("long")).withColumn("done", F.lit(0).cast("long"))
-        else:
-            counted = counted.join(before, "job_id")
+            "rank": F.lit(1).cast("long"), "hits": (F.col("outcome") == "ok").cast("long")}).join(before, "job_id")
         ok = F.col("outcome") == "ok"
         crawl_pos = F.col("done") + F.col("hits")
         popped = crawl_pos - ok.cast("long") < F.col("max_pages")
@@ -64,24 +59,30 @@ def crawl(edges: DataFrame, captured: DataFrame, seeds: DataFrame, max_depth: in
             F.when(popped & ok, crawl_pos).alias("crawl_pos"),
             F.when(~popped, "queued").when(ok, "crawled").otherwise(F.col("outcome")).alias("state"),
             (popped & ok & (crawl_pos < F.col("max_pages"))).alias("gives_links"),
+            crawl_pos.alias("done"), "max_pages",
         )
 
-    start = seeds.select("job_id", F.col("url"), F.lit(0).cast("long").alias("parent_pos"), F.lit(0).alias("pos"))
-    level = stage(place(start, None, 0))
-    visited, since_fold, depth = level, 0, 0
-    while max_depth is None or depth < max_depth:
-        front = level.where("gives_links")
-        rows = front.limit(BROADCAST_ROWS + 1).count()
-        if rows == 0:
-            break
+    def settle(level: DataFrame) -> tuple[DataFrame, int]:
+        """Stage a level; how many of its pages give links is counted on the way."""
+        watch = Observation()
+        written = stage(level.observe(watch, F.count_if("gives_links").alias("n")))
+        return written, watch.get["n"]
+
+    start = seeds.select("job_id", "url", F.lit(0).cast("long").alias("parent_pos"), F.lit(0).alias("pos"))
+    none = F.lit(0).cast("long")
+    level, rows = settle(place(start, seeds.select("job_id", "max_pages", none.alias("seen"), none.alias("done")), 0))
+    visited, depth = level, 0
+    while rows and (max_depth is None or depth < max_depth):
         depth += 1
-        totals = visited.groupBy("job_id").agg(F.count("*").alias("seen"), F.count("crawl_pos").alias("done"))
-        found = _expand(front, graph, rows).join(visited.select("job_id", "url"), ["job_id", "url"], "left_anti")
-        level = stage(place(found.select("job_id", "url", "found.parent_pos", "found.pos"), totals, depth))
-        visited, since_fold = visited.unionByName(level), since_fold + 1
-        if since_fold == FOLD_EVERY:
-            visited, since_fold = stage(visited), 0
-    return visited.drop("gives_links")
+        before = level.groupBy("job_id").agg(
+            F.max("max_pages").alias("max_pages"), F.max("queue_pos").alias("seen"), F.max("done").alias("done"))
+        found = _expand(level.where("gives_links"), graph, rows).join(
+            visited.select("job_id", "url"), ["job_id", "url"], "left_anti")
+        level, rows = settle(place(found.select("job_id", "url", "found.parent_pos", "found.pos"), before, depth))
+        visited = visited.unionByName(level)
+        if depth % FOLD_EVERY == 0:
+            visited = stage(visited)
+    return visited.drop("gives_links", "done", "max_pages")
 
 
 def reachable(edges: DataFrame, nodes: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -91,22 +92,25 @@ def reachable(edges: DataFrame, nodes: DataFrame, seeds: DataFrame) -> DataFrame
     """
     inside = edges.join(nodes.select(F.col("url").alias("dst")), "dst", "left_semi").select("job_id", "src", "dst", "pos")
     graph = bucketed(inside, "job_id", "src")
-    level = stage(seeds.select("job_id", "url").join(nodes, "url", "left_semi").select(
+    def settle(level: DataFrame) -> tuple[DataFrame, int]:
+        watch = Observation()
+        written = stage(level.observe(watch, F.count(F.lit(1)).alias("n")))
+        return written, watch.get["n"]
+
+    level, rows = settle(seeds.select("job_id", "url").join(nodes, "url", "left_semi").select(
         "job_id", "url", F.lit(0).alias("depth")))
     visited, depth = level, 0
-    while True:
-        rows = level.limit(BROADCAST_ROWS + 1).count()
-        if rows == 0:
-            return visited
+    while rows:
         depth += 1
         near = level.select("job_id", F.col("url").alias("src"))
         near = F.broadcast(near) if rows <= BROADCAST_ROWS else near
         found = graph.join(near, ["job_id", "src"]).select("job_id", F.col("dst").alias("url")).distinct()
-        level = stage(found.join(visited.select("job_id", "url"), ["job_id", "url"], "left_anti").withColumn(
+        level, rows = settle(found.join(visited.select("job_id", "url"), ["job_id", "url"], "left_anti").withColumn(
             "depth", F.lit(depth)))
         visited = visited.unionByName(level)
         if depth % FOLD_EVERY == 0:
             visited = stage(visited)
+    return visited
 
 
 def seed_status(seeds: DataFrame, nodes: DataFrame) -> DataFrame:
