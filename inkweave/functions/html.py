@@ -430,22 +430,22 @@ def html_to_md(html: Column | str, profile: str = "v2") -> Column:
         else:
             text = F.regexp_replace(F.regexp_replace(text, r"[ \t\f]*\r?\n[ \t\r\n\f]*", "\n"), r"[ \t\f]+", " ")
         text = step(text, seen["pre"], swap(f" ?```({_LINE}[^`]*{_LINE})``` ?", "\n\n```$1```\n\n"))
-        text = step(text, seen["table"], lambda v: _map_pieces(
-            v, r"(?i)(?=<table[\s/>])|(?<=</table>)", lambda p: F.when(
-                p.rlike(r"(?is)^<table[\s/>].*</table>$"),
-                F.concat(F.lit("\n\n"), table_to_md(p), F.lit("\n\n"))).otherwise(p)))
         text = step(text, seen["img"], lambda v: _images_to_md(v, profile))
         text = step(text, seen["code"] | seen["tt"] | seen["kbd"] | seen["samp"], lambda v: _map_closed(
             v, "code|tt|kbd|samp", lambda _a, t, _p: F.concat(F.lit("`"), strip_space(t), F.lit("`"))))
         text = step(text, seen["em"] | seen["i"], lambda v: _map_closed(v, "em|i", _emphasis("*")))
         text = step(text, seen["strong"] | seen["b"], lambda v: _map_closed(v, "strong|b", _emphasis("**")))
         text = step(text, seen["a"], lambda v: _map_closed(v, "a", _link))
+        text = step(text, seen["table"], lambda v: _map_pieces(
+            v, r"(?i)(?=<table[\s/>])|(?<=</table>)", lambda p: F.when(
+                p.rlike(r"(?is)^<table[\s/>].*</table>$"),
+                F.concat(F.lit("\n\n"), table_to_md(p), F.lit("\n\n"))).otherwise(p)))
         text = step(text, seen["list"], _lists_to_md)
+        text = step(text, seen["br"], swap(rf"(?i) *<br(?![\w\-]){ATTRS}> *\n?", "  \n"))
+        text = step(text, seen["hr"], swap(element("hr"), "\n\n---\n\n"))
         for level in range(1, 7):
             text = step(text, seen[f"h{level}"], swap(element(f"h{level}"), f"\n\n{'#' * level} "))
         text = F.regexp_replace(text, r"(?i)\s*</h[1-6]\s*>\s*", "\n\n")
-        text = step(text, seen["br"], swap(element("br"), "  \n"))
-        text = step(text, seen["hr"], swap(element("hr"), "\n\n---\n\n"))
         text = step(text, seen["quote"], lambda v: F.regexp_replace(F.regexp_replace(
             v, element("blockquote"), _QUOTE_IN), r"(?i)\s*</blockquote\s*>\s*", _QUOTE_OUT))
         text = F.regexp_replace(

@@ -28,7 +28,7 @@ def evaluate(spark, text, expression):
     ('<img src="a.png"><img src="data:image/png;base64,AA" alt="p"><img alt="q"><img>',
      "![Image](a.png)[Embedded Image: p][Missing Image Source: q][Missing Image Source]\n"),
     ("<table><tr><th>A</th><th>B|C</th></tr><tr><td><a href=x>1</a></td><td><span>2</span></td></tr></table>",
-     "| A | B\\|C |\n| --- | --- |\n| 1 | 2 |\n"),
+     "| A | B\\|C |\n| --- | --- |\n| [1](x) | 2 |\n"),
     ("<p>&amp;lt; &copy; &#233; &#x4e2d; &nope; &eacute;</p>", "&lt; © é 中 &nope; é\n"),
     ("<p>a\n   b</p>", "a b\n"),
     ("<p title='x > y'>a</p>", "a\n"),
