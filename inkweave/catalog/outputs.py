@@ -1 +1,112 @@
-ENTRIES = {}
+"""Files, bundles, documents and job results over every captured page, a job per host."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from inkweave.catalog.common import NOW, NOW_ISO, SQL_HOST, SQL_JOBS, SQL_ORIGIN, SQL_PATH, host_jobs, load, now
+from inkweave.catalog.content import sql_article_md, sql_clean
+from inkweave.catalog.documents import SQL_TITLED, titled_pages
+from inkweave.functions import urls
+from inkweave.operators import bundle, content, toc
+
+
+def job_pages(spark, folder):
+    pages = content.to_markdown(load(spark, folder, "pages"))
+    named = titled_pages(spark, folder).select(F.col("pos").alias("page_id"), F.col("title").alias("shown"))
+    return pages.join(named, "page_id").select(
+        urls.host("url").alias("job_id"), F.col("page_id").alias("pos"), "url", F.col("shown").alias("title"), "md")
+
+
+SQL_PAGES = f"""{sql_clean(f"SELECT page_id, {sql_article_md()} || chr(10) AS md FROM pages")}, {SQL_TITLED},
+job_pages AS (SELECT t.*, md FROM toc t JOIN cleaned c ON c.page_id = t.pos),
+files AS (SELECT job_id, url, pos, title, trim({SQL_PATH}, '/') || '.md' AS filename, replace(trim({SQL_PATH}, '/'), '/', '_') || '.md' AS flat_name,
+  '---' || chr(10) || 'title: "' || title || '"' || chr(10) || 'source_url: ' || url || chr(10) || 'date_generated: {NOW_ISO}' || chr(10) || '---'
+  || chr(10) || chr(10) || md AS content FROM job_pages),
+parts AS (SELECT job_id, 1 AS section, pos, '- [' || title || '](#' || anchor || ')' || chr(10) AS text FROM toc
+  UNION ALL SELECT DISTINCT job_id, 0, 0, '# Table of Contents' || chr(10) FROM toc
+  UNION ALL SELECT DISTINCT job_id, 2, 0, chr(10) || '---' || chr(10) || chr(10) FROM toc
+  UNION ALL SELECT job_id, 3, pos, '<a name="' || anchor || '"></a>' || chr(10) || '# ' || title || chr(10) || chr(10) || md || chr(10) || chr(10) || '---' || chr(10) || chr(10) FROM job_pages)"""
+
+
+def _files(spark, folder):
+    return bundle.page_files(job_pages(spark, folder), F.lit(NOW_ISO))
+
+
+def page_files(spark, folder):
+    return _files(spark, folder).select("job_id", "pos", "filename", "flat_name", F.md5("content").alias("content_md5"))
+
+
+def stitched_v2(spark, folder):
+    return toc.stitched_v2(job_pages(spark, folder)).select(
+        "job_id", F.col("section").cast("long").alias("section"), "pos", F.md5("text").alias("text_md5"))
+
+
+def bundle_manifest(spark, folder):
+    pages = job_pages(spark, folder)
+    return bundle.manifest(bundle.page_files(pages, F.lit(NOW_ISO)), toc.stitched_v2(pages))
+
+
+SQL_MANIFEST = f"""WITH {SQL_PAGES},
+kept AS (SELECT *, row_number() OVER (PARTITION BY job_id, filename ORDER BY pos DESC) AS r FROM files)
+SELECT job_id, 'docs/' || filename AS arcname, strlen(content) AS n_bytes, 1 AS n_parts FROM kept WHERE r = 1
+UNION ALL SELECT job_id, 'docs/order.txt', sum(strlen(flat_name) + 1)::BIGINT, count(*) FROM files GROUP BY job_id
+UNION ALL SELECT job_id, 'all_docs.md', sum(strlen(text))::BIGINT, count(*) FROM parts GROUP BY job_id"""
+
+
+def _colliding(spark, folder):
+    """Addresses that differ only in their query, so that several map to one file."""
+    url = F.concat(F.regexp_extract("url", "^([a-z]+://[^/?#]*)", 1), F.lit("/en/"), (F.col("page_id") % 5).cast("string"),
+                   F.lit("?q="), F.col("page_id").cast("string"))
+    return load(spark, folder, "pages").select(urls.host("url").alias("job_id"), F.col("page_id").alias("pos"), url.alias("url"))
+
+
+SQL_COLLIDING = f"""colliding AS (SELECT {SQL_HOST} AS job_id, page_id AS pos, {SQL_ORIGIN} || '/en/' || (page_id % 5) || '?q=' || page_id AS url,
+  'en/' || (page_id % 5) || '.md' AS filename FROM pages)"""
+
+
+def filename_collisions(spark, folder):
+    return bundle.filename_collisions(_colliding(spark, folder))
+
+
+def last_write_wins(spark, folder):
+    named = _colliding(spark, folder).withColumn("filename", urls.filename_v2_nested("url"))
+    return bundle.last_write_wins(named).select("job_id", "filename", "pos", "url")
+
+
+def job_summary(spark, folder):
+    """Every third host has nothing crawled."""
+    pages = load(spark, folder, "pages")
+    jobs = host_jobs(pages)
+    counts = pages.groupBy(urls.host("url").alias("job_id")).agg(
+        F.when(F.min("page_id") % 3 == 0, 0).otherwise(F.count("*")).alias("n_crawled"), F.count("*").alias("n_fetched"))
+    got = bundle.summary(jobs, counts, now())
+    return got.select("job_id", "site_url", "state", "status", "error", "pages_crawled", "total_pages_fetched", "object_key",
+                      "output_format", F.col("params_used.max_pages").cast("long").alias("max_pages"),
+                      F.unix_micros("expires_at").alias("expires_us"))
+
+
+SQL_SUMMARY = f"""
+WITH {SQL_JOBS},
+n AS (SELECT {SQL_HOST} AS job_id, CASE WHEN min(page_id) % 3 = 0 THEN 0 ELSE count(*) END AS crawled, count(*) AS fetched FROM pages GROUP BY 1),
+s AS (SELECT *, CASE WHEN output_format = 'pdf' THEN 'Invalid output_format'
+    WHEN crawled = 0 AND output_format = 'single_md' THEN 'all_docs.md missing for single_md export' END AS error,
+  job_id || '/' || CASE WHEN output_format = 'single_md' THEN 'all_docs.md' ELSE 'docs_export_' || epoch(TIMESTAMP '{NOW}')::BIGINT || '.zip' END AS key
+  FROM jobs JOIN n USING (job_id))
+SELECT job_id, seed_url AS site_url, CASE WHEN error IS NULL THEN 'SUCCESS' ELSE 'FAILURE' END AS state,
+  CASE WHEN error IS NULL THEN CASE WHEN crawled = 0 THEN 'Completed. No pages were crawled or matched criteria. Total pages fetched: ' || fetched || '.'
+    ELSE 'Completed. Output: ' || output_format || '. Artifact: ' || key || '. Pages crawled: ' || crawled || '. Total fetched: ' || fetched || '.' END
+    || CASE WHEN strict_limit THEN ' (Strict page limit: ' || max_pages || ')' ELSE '' END END AS status,
+  error, crawled AS pages_crawled, fetched AS total_pages_fetched, CASE WHEN error IS NULL THEN key END AS object_key, output_format, max_pages,
+  CASE WHEN error IS NULL THEN epoch_us(TIMESTAMP '{NOW}' + INTERVAL 1 HOUR) END AS expires_us FROM s"""
+
+ENTRIES = {
+    "page_files": (page_files, f"WITH {SQL_PAGES} SELECT job_id, pos, filename, flat_name, md5(content) AS content_md5 FROM files"),
+    "stitched_v2": (stitched_v2, f"WITH {SQL_PAGES} SELECT job_id, section, pos, md5(text) AS text_md5 FROM parts"),
+    "bundle_manifest": (bundle_manifest, SQL_MANIFEST),
+    "filename_collisions": (filename_collisions, f"""WITH {SQL_COLLIDING} SELECT job_id, filename, count(*) AS n_urls, min(url) AS first_url
+        FROM colliding GROUP BY job_id, filename HAVING count(*) > 1"""),
+    "last_write_wins": (last_write_wins, f"""WITH {SQL_COLLIDING} SELECT job_id, filename, max(pos) AS pos, arg_max(url, pos) AS url
+        FROM colliding GROUP BY job_id, filename"""),
+    "job_summary": (job_summary, SQL_SUMMARY),
+}
