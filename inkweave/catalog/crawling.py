@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from inkweave.catalog.common import load
+from inkweave.catalog.common import NOW, NOW_ISO, load, now
+from inkweave.catalog.content import sql_article_md, sql_clean
 from inkweave.functions import urls
 from inkweave.operators import bundle, graph, links
 from inkweave.operators.jobs import with_scope
 from inkweave.operators.ordered import first_occurrence
+from inkweave.plans import site_job
 
 SITES = 4
 
@@ -230,7 +232,53 @@ SELECT page_id::VARCHAR AS job_id, 'https://site' || (page_id % {2 * SITES}) ||
   page_id % {2 * SITES} < {SITES} AND EXISTS (SELECT 1 FROM pages q WHERE q.page_id = (p.page_id // {SITES}) * {SITES} + p.page_id % {2 * SITES}) AS in_graph
 FROM pages p"""
 
+def site_corpus_v2(spark, folder):
+    """The whole job: crawl, convert, name and stitch."""
+    pages = site_pages(spark, folder)
+    log = captured(pages).select("url", F.lit("2024-01-01").cast("timestamp").alias("ts"), F.when(
+        F.col("outcome") == "failed", 500).otherwise(200).alias("status"), F.when(
+        F.col("outcome") == "not_html", "application/pdf").otherwise("text/html").alias("content_type"), F.lit(None).cast("string").alias("retry_after"))
+    jobs = site_jobs(pages).drop("host", "seed_prefix", "seed_prefixes")
+    # An address without extension stays HTML whatever it is served as, so those pages fail instead.
+    log = log.withColumn("status", F.when(F.col("content_type") == "application/pdf", 404).otherwise(F.col("status")))
+    corpus = site_job.run_v2(pages, jobs, now(), F.lit(NOW_ISO), log)
+    files = corpus.files.select("job_id", "pos", "url", "filename", F.md5("content").alias("content_md5"))
+    return files.join(corpus.summary.select("job_id", "pages_crawled", "object_key"), "job_id")
+
+
+_CORPUS_WALK = SQL_WALK.replace("WHEN i % 11 = 5 THEN 'not_html'", "WHEN i % 11 = 5 THEN 'failed'")
+_SITE_MD = f"""SELECT page_id, {sql_article_md()} || chr(10) || chr(10) || '[x](/p/' || (2 * (page_id // {SITES}) + 1) || ')[x](/p/' || (2 * (page_id // {SITES}) + 2)
+  || ')[x](/p/' || (3 * (page_id // {SITES}) + 1) || ')[x](/p/' || (page_id // {SITES} // 2) || ')' || chr(10) AS md FROM pages"""
+SQL_CORPUS = f"""WITH {_CORPUS_WALK},
+{sql_clean(_SITE_MD)},
+done AS (SELECT v.s, v.url, v.crawl_pos, site.page_id, trim(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)', 1),
+  '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&')) AS title FROM visits v JOIN site ON site.s = v.s AND '/p/' || site.i = v.url WHERE state = 'crawled')
+SELECT 'job' || s AS job_id, crawl_pos AS pos, 'https://site' || s || '.test' || url AS url, ltrim(url, '/') || '.md' AS filename,
+  md5('---' || chr(10) || 'title: "' || replace(title, '"', '\\"') || '"' || chr(10) || 'source_url: https://site' || s || '.test' || url || chr(10)
+    || 'date_generated: {NOW_ISO}' || chr(10) || '---' || chr(10) || chr(10) || md) AS content_md5,
+  count(*) OVER (PARTITION BY s) AS pages_crawled,
+  'job' || s || '/' || CASE WHEN s = 3 THEN 'all_docs.md' ELSE 'docs_export_' || epoch(TIMESTAMP '{NOW}')::BIGINT || '.zip' END AS object_key
+FROM done JOIN cleaned USING (page_id)"""
+
+
+def site_corpus_v1(spark, folder):
+    """The two-pass job without a strict limit: what is saved, in address order."""
+    pages = site_pages(spark, folder)
+    jobs = site_jobs(pages).drop("host", "seed_prefix", "seed_prefixes").withColumn("max_pages", F.lit(1000000))
+    corpus = site_job.run_v1(pages, jobs, now(), F.lit(NOW_ISO))
+    toc_lines = corpus.parts.groupBy("job_id").agg(F.count_if("section = 3").alias("n_bodies"))
+    return corpus.files.select("job_id", "pos", "url", "filename").join(toc_lines, "job_id")
+
+
+SQL_CORPUS_V1 = f"""WITH RECURSIVE {SQL_SITE.replace("CASE WHEN i % 7 = 3 THEN 'failed' WHEN i % 11 = 5 THEN 'not_html' ELSE 'ok' END", "'ok'")},
+walked AS (SELECT DISTINCT s, '/p/0' AS url FROM jobs UNION SELECT w.s, e.dst FROM walked w JOIN edges e ON e.s = w.s AND e.src = w.url
+  JOIN got g ON g.s = e.s AND g.url = e.dst)
+SELECT 'job' || s AS job_id, row_number() OVER (PARTITION BY s ORDER BY url) AS pos, 'https://site' || s || '.test' || url AS url,
+  replace(ltrim(url, '/'), '/', '_') || '.md' AS filename, count(*) OVER (PARTITION BY s) AS n_bodies FROM walked"""
+
 ENTRIES = {
+    "site_corpus_v2": (site_corpus_v2, SQL_CORPUS),
+    "site_corpus_v1": (site_corpus_v1, SQL_CORPUS_V1),
     "bfs_crawl": (bfs_crawl, SQL_BFS),
     "crawl_order_limited": (crawl_order_limited, SQL_ORDER),
     "depth_counts": (depth_counts, SQL_DEPTHS),

@@ -1 +1,247 @@
-ENTRIES = {}
+"""Pacing, progress and retention over the whole event log, in batch and as streams.
+
+As a fetch log a user is a host and time runs 2000 times faster, so that penalties overlap. As a
+progress log a user is a job.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from inkweave.catalog.common import load, now
+from inkweave.functions import fetching
+from inkweave.operators import politeness, progress
+from inkweave.session import prepare
+from inkweave.sources.readers import captured_pages
+from inkweave.streaming import live
+
+SPEED = 2000
+
+
+def as_fetch_log(events):
+    kind = F.col("event_type")
+    return events.select(
+        F.col("user_id").alias("host"), "event_id",
+        F.timestamp_micros(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / SPEED).cast("long")).alias("ts"),
+        F.when(kind == "error", "failed").when(kind == "purchase", "limited").when(kind == "signup", "not_html").otherwise("ok").alias("outcome"))
+
+
+SQL_LOG = f"""log AS (SELECT user_id AS host, event_id, make_timestamp(epoch_us(ts) // {SPEED}) AS ts,
+  CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'limited' WHEN 'signup' THEN 'not_html' ELSE 'ok' END AS outcome FROM events),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY ts, event_id) AS n FROM log)"""
+
+
+def as_progress_log(events):
+    kind = F.col("event_type")
+    state = (F.when(F.col("event_id") % 97 == 0, "SUCCESS").when(F.col("event_id") % 389 == 1, "FAILURE")
+             .when(kind == "signup", "PENDING").when(kind == "error", "STARTED").otherwise("PROGRESS"))
+    return events.select(F.col("user_id").alias("job_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id", state.alias("state"),
+                         F.when(F.col("event_id") % 5 > 0, F.floor(F.col("value") / 25).cast("string")).alias("meta"))
+
+
+SQL_PROGRESS = """log AS (SELECT user_id AS job_id, ts, event_id, CASE WHEN event_id % 97 = 0 THEN 'SUCCESS' WHEN event_id % 389 = 1 THEN 'FAILURE'
+    WHEN event_type = 'signup' THEN 'PENDING' WHEN event_type = 'error' THEN 'STARTED' ELSE 'PROGRESS' END AS state,
+    CASE WHEN event_id % 5 > 0 THEN floor(value / 25)::BIGINT::VARCHAR END AS meta FROM events)"""
+
+
+def success_streak(spark, folder):
+    log = as_fetch_log(load(spark, folder, "events"))
+    return politeness.success_streak(log).select("host", "event_id", "streak")
+
+
+SQL_STREAK = f"""
+WITH {SQL_LOG},
+runs AS (SELECT *, sum((outcome IN ('failed', 'not_html'))::INT) OVER (PARTITION BY host ORDER BY n) AS island FROM numbered)
+SELECT host, event_id, (sum((outcome = 'ok')::INT) OVER (PARTITION BY host, island ORDER BY n) % 5)::BIGINT AS streak FROM runs"""
+
+
+def penalty_interval(spark, folder):
+    got = politeness.penalty_interval(as_fetch_log(load(spark, folder, "events")))
+    return got.select("host", "event_id", F.unix_micros("penalty_until").alias("until_us"), "in_penalty")
+
+
+SQL_PENALTY = f"""
+WITH {SQL_LOG}, p AS (SELECT *, max(CASE WHEN outcome = 'limited' THEN ts END) OVER (PARTITION BY host ORDER BY n) + INTERVAL 20 SECOND AS until FROM numbered)
+SELECT host, event_id, epoch_us(until) AS until_us, coalesce(ts < until, false) AS in_penalty FROM p"""
+
+
+def adaptive_delay_v1(spark, folder):
+    return politeness.adaptive_delay_v1(as_fetch_log(load(spark, folder, "events"))).select("host", "event_id", "delay")
+
+
+def adaptive_delay_v2(spark, folder):
+    return politeness.adaptive_delay_v2(as_fetch_log(load(spark, folder, "events"))).select("host", "event_id", "delay")
+
+
+def request_pace(spark, folder):
+    delays = politeness.adaptive_delay_v2(as_fetch_log(load(spark, folder, "events")))
+    return politeness.request_pace(delays).select("host", "event_id", "waited")
+
+
+def _sql_walk(step):
+    return f"""
+WITH RECURSIVE {SQL_LOG},
+walk AS (SELECT DISTINCT host, 0::BIGINT AS n, NULL::BIGINT AS event_id, NULL::TIMESTAMP AS ts, 0.75::DOUBLE AS delay, 0 AS streak, NULL::TIMESTAMP AS until FROM log
+  UNION ALL SELECT l.host, l.n, l.event_id, l.ts, {step}
+  FROM walk w JOIN numbered l ON l.host = w.host AND l.n = w.n + 1)"""
+
+
+SQL_STEP_V2 = """
+  CASE l.outcome WHEN 'ok' THEN CASE WHEN w.streak = 4 THEN greatest(0.25, w.delay - 0.25) ELSE w.delay END
+    WHEN 'failed' THEN least(5.0, w.delay + 0.25) WHEN 'limited' THEN least(5.0, w.delay + 0.5) ELSE w.delay END::DOUBLE,
+  CASE l.outcome WHEN 'ok' THEN (w.streak + 1) % 5 WHEN 'limited' THEN w.streak ELSE 0 END,
+  CASE WHEN l.outcome = 'limited' THEN l.ts + INTERVAL 20 SECOND ELSE w.until END"""
+_INSIDE = "coalesce(w.until > l.ts, false)"
+_BEFORE = "CASE WHEN w.delay = 5 THEN 0.75 ELSE w.delay END"
+_RUN = "CASE WHEN w.delay = 5 THEN 0 ELSE w.streak END"
+SQL_STEP_V1 = f"""
+  CASE l.outcome WHEN 'limited' THEN 5.0 WHEN 'failed' THEN CASE WHEN {_INSIDE} THEN w.delay ELSE 0.75 END WHEN 'not_html' THEN w.delay
+    ELSE CASE WHEN {_INSIDE} THEN 5.0 WHEN {_RUN} = 4 THEN greatest(0.25, {_BEFORE} - 0.25) ELSE {_BEFORE} END END::DOUBLE,
+  CASE l.outcome WHEN 'not_html' THEN w.streak WHEN 'ok' THEN CASE WHEN {_INSIDE} THEN 0 ELSE ({_RUN} + 1) % 5 END ELSE 0 END,
+  CASE WHEN l.outcome = 'limited' THEN l.ts + INTERVAL 20 SECOND ELSE w.until END"""
+SQL_DELAY_V2 = f"{_sql_walk(SQL_STEP_V2)} SELECT host, event_id, delay FROM walk WHERE n > 0"
+
+
+def retry_after(spark, folder):
+    k = F.col("event_id") % 6
+    ts = F.date_trunc("second", F.col("ts").cast("timestamp"))
+    later = F.date_format(ts + F.make_interval(secs=F.col("event_id") % 20), "dd MMM yyyy HH:mm:ss")
+    header = (F.when(k == 0, F.col("event_id").cast("string")).when(k == 1, F.concat(F.lit("Mon, "), later, F.lit(" GMT")))
+              .when(k == 2, "soon").when(k == 3, F.lit(None).cast("string")).when(k == 4, "0").otherwise(" 7 "))
+    return load(spark, folder, "events").select(
+        "event_id", fetching.retry_after(header, ts).alias("wait_v2"), fetching.retry_after(header, ts, "v1").alias("wait_v1"))
+
+
+SQL_RETRY = """
+WITH w AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN event_id WHEN 1 THEN event_id % 20 WHEN 4 THEN 0 WHEN 5 THEN 7 ELSE 8 END::DOUBLE AS raw FROM events)
+SELECT event_id, greatest(0.25, least(15.0, raw))::DOUBLE AS wait_v2,
+  CASE WHEN event_id % 6 = 1 THEN greatest(0.1, raw) ELSE raw END::DOUBLE AS wait_v1 FROM w"""
+
+
+def fetch_log(spark, folder):
+    """A few attempts per page; the last one counts."""
+    pages = load(spark, folder, "pages")
+    tries = pages.select("page_id", "url", F.explode(F.sequence(F.lit(0), F.col("page_id") % 3)).alias("t"))
+    k = (F.col("page_id") + F.col("t") * 5) % 8
+    return tries.select(
+        "url", F.timestamp_seconds(F.lit(1700000000) + F.col("t")).alias("ts"),
+        F.when(k == 0, 429).when(k == 1, 503).when(k == 2, 404).when(k == 3, F.lit(None).cast("int")).otherwise(200).alias("status"),
+        F.when(k == 4, "application/pdf").otherwise("text/html").alias("content_type"), F.lit(None).cast("string").alias("retry_after"))
+
+
+def fetch_outcome(spark, folder):
+    pages = load(spark, folder, "pages")
+    body = F.when(F.col("page_id") % 9 == 7, "").otherwise(F.col("html"))
+    pages = pages.select("page_id", F.regexp_replace("url", r"/([?#]|$)", "$1").alias("url"), body.alias("html"))
+    log = fetch_log(spark, folder).withColumn("url", F.regexp_replace("url", r"/([?#]|$)", "$1"))
+    return captured_pages(pages, log).select("page_id", "outcome")
+
+
+SQL_OUTCOME = """
+WITH k AS (SELECT page_id, (page_id + (page_id % 3) * 5) % 8 AS k FROM pages)
+SELECT page_id, CASE WHEN k IN (0, 1) THEN 'limited' WHEN k = 2 THEN 'failed' WHEN page_id % 9 = 7 THEN 'empty'
+  WHEN k = 4 THEN 'not_html' ELSE 'ok' END AS outcome FROM k"""
+
+
+def _shown(changes):
+    return changes.select("job_id", "event_id", F.unix_micros("ts").alias("ts_us"), "state", progress.payload("state", "meta").alias("payload"))
+
+
+def progress_changes(spark, folder):
+    return _shown(progress.changes(as_progress_log(load(spark, folder, "events"))))
+
+
+SQL_CHANGES = f"""
+WITH {SQL_PROGRESS},
+marked AS (SELECT *, coalesce(sum((state IN ('SUCCESS', 'FAILURE', 'REVOKED'))::INT) OVER (PARTITION BY job_id ORDER BY ts, event_id
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM log),
+near AS (SELECT *, lag(state) OVER w AS ps, lag(meta) OVER w AS pm, row_number() OVER w AS n FROM marked WHERE ended = 0
+  WINDOW w AS (PARTITION BY job_id ORDER BY ts, event_id))
+SELECT job_id, event_id, epoch_us(ts) AS ts_us, state, '{{"state":"' || state || '","meta":' || coalesce('"' || meta || '"', 'null') || '}}' AS payload
+FROM near WHERE n = 1 OR ps IS DISTINCT FROM state OR pm IS DISTINCT FROM meta"""
+
+
+def _event_stream(spark, folder):
+    schema = load(spark, folder, "events").schema
+    return prepare(spark).readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+
+
+def progress_stream(spark, folder):
+    return _shown(live.drain(live.progress_changes(as_progress_log(_event_stream(spark, folder)))))
+
+
+def delay_stream(spark, folder):
+    return live.drain(live.adaptive_delay(as_fetch_log(_event_stream(spark, folder)))).select("host", "event_id", "delay")
+
+
+def job_status(spark, folder):
+    got = progress.snapshot(as_progress_log(load(spark, folder, "events")))
+    return got.select("job_id", "state", "meta", F.unix_micros("ts").alias("ts_us"), "n_updates", "message", "finished")
+
+
+_MESSAGE = """CASE state WHEN 'PENDING' THEN 'Task is waiting to be processed.' WHEN 'STARTED' THEN 'Task has started.' WHEN 'PROGRESS' THEN 'Task is in progress.'
+  WHEN 'SUCCESS' THEN 'Task completed successfully.' WHEN 'FAILURE' THEN 'Task failed.' WHEN 'REVOKED' THEN 'Task is in state: REVOKED'
+  ELSE 'Task is in an unknown state: ' || state END"""
+SQL_SNAPSHOT = f"""
+WITH {SQL_PROGRESS}, last AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, event_id DESC) AS r, count(*) OVER (PARTITION BY job_id) AS n_updates FROM log)
+SELECT job_id, state, meta, epoch_us(ts) AS ts_us, n_updates, {_MESSAGE} AS message, state IN ('SUCCESS', 'FAILURE', 'REVOKED') AS finished FROM last WHERE r = 1"""
+
+
+def state_messages(spark, folder):
+    state = F.element_at(F.array(*[F.lit(s) for s in ("PENDING", "STARTED", "PROGRESS", "SUCCESS", "FAILURE", "REVOKED", "RETRY")]),
+                         (F.col("event_id") % 7 + 1).cast("int"))
+    return load(spark, folder, "events").select(
+        "event_id", fetching.state_message(state).alias("message"),
+        fetching.download_verdict(state, F.when(F.col("event_id") % 2 == 0, "b"), F.lit("k")).alias("download"))
+
+
+SQL_MESSAGES = f"""
+WITH s AS (SELECT event_id, ['PENDING', 'STARTED', 'PROGRESS', 'SUCCESS', 'FAILURE', 'REVOKED', 'RETRY'][event_id % 7 + 1] AS state FROM events)
+SELECT event_id, {_MESSAGE} AS message, CASE WHEN state NOT IN ('SUCCESS', 'FAILURE', 'REVOKED') THEN '404 not completed' WHEN state <> 'SUCCESS' THEN '500 job failed'
+  WHEN event_id % 2 = 1 THEN '500 no storage information' ELSE '200 ok' END AS download FROM s"""
+
+
+def as_artifacts(events):
+    """An artifact per event, most made in the last two hours; some carry an expiry of their own."""
+    made = F.timestamp_micros(F.lit(1706745600000000) - F.col("event_id") % 7200 * 1000000)
+    return events.select(
+        F.concat(F.col("user_id").cast("string"), F.lit("/"), F.col("event_id").cast("string"), F.lit(".zip")).alias("key"),
+        made.alias("modified"), F.when(F.col("event_id") % 3 == 0, fetching.expires_at(made) - F.expr("INTERVAL 30 MINUTES")).alias("expiration"))
+
+
+SQL_GONE = f"""gone AS (SELECT user_id || '/' || event_id || '.zip' AS key, event_id % 7200 AS age FROM events
+  WHERE event_id % 7200 >= 3600 OR (event_id % 3 = 0 AND event_id % 7200 >= 1800))"""
+
+
+def retention(spark, folder):
+    return progress.expired(as_artifacts(load(spark, folder, "events")), now()).select(
+        "key", (F.unix_seconds(now()) - F.unix_seconds("modified")).alias("age"))
+
+
+def expired_count(spark, folder):
+    return progress.expired_count(as_artifacts(load(spark, folder, "events")), now())
+
+
+def retention_stream(spark, folder):
+    stream = progress.expired(as_artifacts(_event_stream(spark, folder)), now())
+    return live.drain(stream.select("key", (F.unix_seconds(now()) - F.unix_seconds("modified")).alias("age")), "append")
+
+
+ENTRIES = {
+    "success_streak": (success_streak, SQL_STREAK),
+    "penalty_interval": (penalty_interval, SQL_PENALTY),
+    "adaptive_delay_v1": (adaptive_delay_v1, f"{_sql_walk(SQL_STEP_V1)} SELECT host, event_id, delay FROM walk WHERE n > 0"),
+    "adaptive_delay_v2": (adaptive_delay_v2, SQL_DELAY_V2),
+    "request_pace": (request_pace, f"""{_sql_walk(SQL_STEP_V2)}
+        SELECT host, event_id, CASE WHEN coalesce(ts < until, false) THEN 5.0 ELSE delay END::DOUBLE AS waited FROM walk WHERE n > 0"""),
+    "retry_after": (retry_after, SQL_RETRY),
+    "fetch_outcome": (fetch_outcome, SQL_OUTCOME),
+    "progress_changes": (progress_changes, SQL_CHANGES),
+    "job_status": (job_status, SQL_SNAPSHOT),
+    "state_messages": (state_messages, SQL_MESSAGES),
+    "retention": (retention, f"WITH {SQL_GONE} SELECT key, age FROM gone"),
+    "expired_count": (expired_count, f"WITH {SQL_GONE} SELECT count(*) AS deleted_count FROM gone"),
+    "progress_stream": (progress_stream, SQL_CHANGES),
+    "delay_stream": (delay_stream, SQL_DELAY_V2),
+    "retention_stream": (retention_stream, f"WITH {SQL_GONE} SELECT key, age FROM gone"),
+}

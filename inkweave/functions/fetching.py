@@ -49,7 +49,8 @@ def retry_after(header: Column | str, now: Column | str, profile: str = "v2") ->
     if profile == "v2":
         wait = F.coalesce(seconds, until, F.lit(DEFAULT_WAIT))
         return F.greatest(F.lit(MIN_DELAY), F.least(wait, F.lit(MAX_DELAY * 3)))
-    return F.coalesce(seconds, F.greatest(F.lit(0.1), until), F.lit(DEFAULT_WAIT))
+    dated_wait = F.when(until.isNotNull(), F.greatest(F.lit(0.1), until))
+    return F.coalesce(seconds, dated_wait, F.lit(DEFAULT_WAIT))
 
 
 def expires_at(created: Column | str, hours: int = RETENTION_HOURS) -> Column:
