@@ -70,15 +70,15 @@ SQL_RICH_MD = f"""{sql_article_md()} || chr(10) || chr(10) || replace({sql_text(
 
 def sql_clean(source):
     """The cleaning chain on text without braces, tags and comments. ``source`` gives (page_id, md)."""
-    return f"""c1 AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(replace(md, chr(160), ' '),
+    return f"""clean1 AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(replace(md, chr(160), ' '),
     '(?m)^\\s*#', '#', 'g'), '(?m)#\\s*$', '', 'g'), '(?m)^\\s*>\\s', '> ', 'g') AS md FROM ({source})),
-c2 AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(md, '(?m)^:+.*$', '', 'g'), '```\\s*(\\n|$)', '```\\1', 'g'),
-    '\\n{{3,}}', chr(10) || chr(10), 'g') AS md FROM c1),
-c3 AS (SELECT page_id, list_transform(string_split(regexp_replace(md, '\\n$', ''), chr(10)), lambda l: trim(l)) AS lines FROM c2),
-c4 AS (SELECT page_id, list_filter(string_split(regexp_replace(array_to_string(lines, chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'), chr(10)),
+clean2 AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(md, '(?m)^:+.*$', '', 'g'), '```\\s*(\\n|$)', '```\\1', 'g'),
+    '\\n{{3,}}', chr(10) || chr(10), 'g') AS md FROM clean1),
+clean3 AS (SELECT page_id, list_transform(string_split(regexp_replace(md, '\\n$', ''), chr(10)), lambda l: trim(l)) AS lines FROM clean2),
+clean4 AS (SELECT page_id, list_filter(string_split(regexp_replace(array_to_string(lines, chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'), chr(10)),
     lambda l: l = '' OR regexp_matches(l, '^(-{{3,}}|_{{3,}}|\\*{{3,}}|```.*)$') OR regexp_matches(l, '[a-zA-Z0-9]')
-      OR (regexp_matches(l, '[!#*\\[\\]()_]') AND regexp_matches(l, '[a-zA-Z0-9\\s]'))) AS lines FROM c3),
-cleaned AS (SELECT page_id, trim(regexp_replace(array_to_string(lines, chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10)) || chr(10) AS md FROM c4)"""
+      OR (regexp_matches(l, '[!#*\\[\\]()_]') AND regexp_matches(l, '[a-zA-Z0-9\\s]'))) AS lines FROM clean3),
+cleaned AS (SELECT page_id, trim(regexp_replace(array_to_string(lines, chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10)) || chr(10) AS md FROM clean4)"""
 
 
 def page_title(spark, folder):

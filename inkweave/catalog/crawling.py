@@ -27,7 +27,8 @@ def _address(index):
 def site_pages(spark, folder):
     i = F.col("i")
     hrefs = [i * 2 + 1, i * 2 + 2, i * 3 + 1, F.floor(i / 2)]
-    added = F.concat(*[F.concat(F.lit('<a href="/p/'), h.cast("string"), F.lit('">x</a>')) for h in hrefs], F.lit("</article>"))
+    added = F.concat(F.lit("<p>"), *[F.concat(F.lit('<a href="/p/'), h.cast("string"), F.lit('">x</a>')) for h in hrefs],
+                     F.lit("</p></article>"))
     return load(spark, folder, "pages").select(
         "page_id", "html", (F.col("page_id") % SITES).alias("s"), F.floor(F.col("page_id") / SITES).alias("i")).select(
         "page_id", _address(i).alias("url"), F.replace(F.col("html"), F.lit("</article>"), added).alias("html"))
@@ -262,19 +263,23 @@ FROM done JOIN cleaned USING (page_id)"""
 
 
 def site_corpus_v1(spark, folder):
-    """The two-pass job without a strict limit: what is saved, in address order."""
-    pages = site_pages(spark, folder)
-    jobs = site_jobs(pages).drop("host", "seed_prefix", "seed_prefixes").withColumn("max_pages", F.lit(1000000))
+    """The two-pass job without a strict limit: what is saved, in address order. Seeds are site roots."""
+    pages = site_pages(spark, folder).withColumn("url", F.regexp_replace("url", "/p/0$", "/"))
+    jobs = site_jobs(pages).drop("host", "seed_prefix", "seed_prefixes").withColumn("max_pages", F.lit(1000000)).withColumn(
+        "seed_url", F.regexp_replace("seed_url", "/p/0$", "/"))
     corpus = site_job.run_v1(pages, jobs, now(), F.lit(NOW_ISO))
-    toc_lines = corpus.parts.groupBy("job_id").agg(F.count_if("section = 3").alias("n_bodies"))
+    toc_lines = corpus.parts.groupBy("job_id").agg(F.count_if(F.col("section") == 3).alias("n_bodies"))
     return corpus.files.select("job_id", "pos", "url", "filename").join(toc_lines, "job_id")
 
 
-SQL_CORPUS_V1 = f"""WITH RECURSIVE {SQL_SITE.replace("CASE WHEN i % 7 = 3 THEN 'failed' WHEN i % 11 = 5 THEN 'not_html' ELSE 'ok' END", "'ok'")},
-walked AS (SELECT DISTINCT s, '/p/0' AS url FROM jobs UNION SELECT w.s, e.dst FROM walked w JOIN edges e ON e.s = w.s AND e.src = w.url
+_ROOTED = SQL_SITE.replace("CASE WHEN i % 7 = 3 THEN 'failed' WHEN i % 11 = 5 THEN 'not_html' ELSE 'ok' END", "'ok'").replace(
+    "'/p/' || i AS src", "CASE i WHEN 0 THEN '/' ELSE '/p/' || i END AS src").replace(
+    "'/p/' || i AS url", "CASE i WHEN 0 THEN '/' ELSE '/p/' || i END AS url")
+SQL_CORPUS_V1 = f"""WITH RECURSIVE {_ROOTED},
+walked AS (SELECT DISTINCT s, '/' AS url FROM jobs UNION SELECT w.s, e.dst FROM walked w JOIN edges e ON e.s = w.s AND e.src = w.url
   JOIN got g ON g.s = e.s AND g.url = e.dst)
 SELECT 'job' || s AS job_id, row_number() OVER (PARTITION BY s ORDER BY url) AS pos, 'https://site' || s || '.test' || url AS url,
-  replace(ltrim(url, '/'), '/', '_') || '.md' AS filename, count(*) OVER (PARTITION BY s) AS n_bodies FROM walked"""
+  coalesce(nullif(replace(ltrim(url, '/'), '/', '_'), ''), 'index') || '.md' AS filename, count(*) OVER (PARTITION BY s) AS n_bodies FROM walked"""
 
 ENTRIES = {
     "site_corpus_v2": (site_corpus_v2, SQL_CORPUS),
