@@ -47,12 +47,14 @@ def _marked(tag: Column, profile: str) -> Column:
 
     # What counts as navigation in each profile.
     if profile == "v1":
-        return ((name == "nav") | classed("sidebar") | classed("toc")
-                | named("sidebar") | named("nav") | named("toc"))
-    hit = (name == "nav") | classed("sidebar") | classed("toc") | classed("menu") | named("TableOfContents")
-    for word in ("nav", "menu", "toc", "sidebar"):
-        hit = hit | ((name == "div") & (holds("class", word) | holds("id", word)))
-    return hit | (name.isin("ul", "ol", "aside") & holds("class", "nav")) | ((name == "aside") & holds("id", "nav"))
+        hit = classed("sidebar") | classed("toc") | named("sidebar") | named("nav") | named("toc")
+    else:
+        hit = classed("sidebar") | classed("toc") | classed("menu") | named("TableOfContents")
+        for word in ("nav", "menu", "toc", "sidebar"):
+            hit = hit | ((name == "div") & (holds("class", word) | holds("id", word)))
+        hit = hit | (name.isin("ul", "ol", "aside") & holds("class", "nav")) | ((name == "aside") & holds("id", "nav"))
+    # Most tags have neither attribute and stop at the first test.
+    return (name == "nav") | (tag.rlike(r"(?i)\s(?:class|id)\s*=") & hit)
 
 
 def tag_tokens(pages: DataFrame, profile: str = "v2") -> DataFrame:
@@ -117,11 +119,12 @@ def resolve(links: DataFrame, profile: str = "v2") -> DataFrame:
 def job_edges(links: DataFrame, jobs: DataFrame, profile: str = "v2") -> DataFrame:
     """In-scope edges (job_id, src, dst, pos), the first link of each target; one row per job and link.
 
+    Fragments never make a second node, in either profile.
     ``jobs`` carries scope columns. Scope tests run on the narrow link rows, after an equi-join
     on the host, so patterns never cause a nested-loop join.
     """
     targets = resolve(links, profile).select(
-        urls.host("dst").alias("host"), F.col("url").alias("src"), "dst", "pos")
+        urls.host("dst").alias("host"), F.col("url").alias("src"), urls.strip_fragment("dst").alias("dst"), "pos")
     joined = join_checked(targets, jobs.select(
         "job_id", "host", "seed_prefix", "seed_prefixes", "include_prefixes", "exclude_regexes"),
         ["host"], spread=F.col("src"))

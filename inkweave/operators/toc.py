@@ -99,16 +99,16 @@ def stitched_v2(pages: DataFrame) -> DataFrame:
     """
     toc = toc_v2(pages)
     entries = toc.select("job_id", F.lit(1).alias("section"), F.col("pos"), F.concat("line", F.lit("\n")).alias("text"))
-    heads = pages.select("job_id").distinct()
-    opening = heads.select("job_id", F.lit(0).alias("section"), F.lit(0).cast("long").alias("pos"),
-                           F.lit("# Table of Contents\n").alias("text"))
-    rule = heads.select("job_id", F.lit(2).alias("section"), F.lit(0).cast("long").alias("pos"),
-                        F.lit("\n---\n\n").alias("text"))
+    # Fixed text of every document, from one pass over its job ids.
+    fixed = pages.select("job_id").distinct().select("job_id", F.inline(F.array(
+        F.struct(F.lit(0).alias("section"), F.lit("# Table of Contents\n").alias("text")),
+        F.struct(F.lit(2).alias("section"), F.lit("\n---\n\n").alias("text"))))).select(
+        "job_id", "section", F.lit(0).cast("long").alias("pos"), "text")
     bodies = pages.join(toc.select("job_id", "pos", "anchor"), ["job_id", "pos"]).select(
         "job_id", F.lit(3).alias("section"), F.col("pos"), F.concat(
             F.lit('<a name="'), F.col("anchor"), F.lit('"></a>\n# '), F.col("title"), F.lit("\n\n"), F.col("md"),
             F.lit("\n\n---\n\n")).alias("text"))
-    return opening.unionByName(entries).unionByName(rule).unionByName(bodies)
+    return fixed.unionByName(entries).unionByName(bodies)
 
 
 def stitched_v1(ordered_files: DataFrame, full_unicode: bool = False) -> DataFrame:
@@ -116,15 +116,14 @@ def stitched_v1(ordered_files: DataFrame, full_unicode: bool = False) -> DataFra
     entries = toc_v1(ordered_files, full_unicode).select(
         "job_id", F.lit(1).alias("section"), F.col("position").alias("pos"), F.col("pos").cast("long").alias("sub"),
         F.concat("line", F.lit("\n")).alias("text"))
-    heads = ordered_files.select("job_id").distinct()
     zero = F.lit(0).cast("long")
-    opening = heads.select("job_id", F.lit(0).alias("section"), zero.alias("pos"), zero.alias("sub"),
-                           F.lit("# Table of Contents\n\n").alias("text"))
-    gap = heads.select("job_id", F.lit(2).alias("section"), zero.alias("pos"), zero.alias("sub"),
-                       F.lit("\n").alias("text"))
+    fixed = ordered_files.select("job_id").distinct().select("job_id", F.inline(F.array(
+        F.struct(F.lit(0).alias("section"), F.lit("# Table of Contents\n\n").alias("text")),
+        F.struct(F.lit(2).alias("section"), F.lit("\n").alias("text"))))).select(
+        "job_id", "section", zero.alias("pos"), zero.alias("sub"), "text")
     joint = F.when(F.col("position") == 1, "").otherwise("\n\n")
     bodies = ordered_files.select(
         "job_id", F.lit(3).alias("section"), F.col("position").alias("pos"), zero.alias("sub"),
         F.concat(joint, F.lit("\n\n<!-- Source File: "), F.col("filename"), F.lit(" -->\n\n\n\n"),
                  strip_space(M.strip_frontmatter("md"))).alias("text"))
-    return opening.unionByName(entries).unionByName(gap).unionByName(bodies)
+    return fixed.unionByName(entries).unionByName(bodies)

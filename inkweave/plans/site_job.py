@@ -38,11 +38,17 @@ class Corpus:
         self.summary.write.mode("overwrite").parquet(f"{base}/summary")
 
 
-def _captured(pages: DataFrame, fetch_log: DataFrame | None, profile: str) -> DataFrame:
+def _captured(pages: DataFrame, fetch_log: DataFrame | None) -> DataFrame:
     """One captured page per address (page_id, url, outcome); no page body in it."""
     known = captured_pages(pages, fetch_log)
-    address = urls.strip_fragment("url") if profile == "v2" else F.col("url")
-    return first_occurrence(known.select("page_id", address.alias("url"), "outcome"), ["url"], ["page_id"])
+    return first_occurrence(
+        known.select("page_id", urls.strip_fragment("url").alias("url"), "outcome"), ["url"], ["page_id"])
+
+
+def _addressed(pages: DataFrame, known: DataFrame) -> DataFrame:
+    """Well captured pages under the address the walk knows them by."""
+    good = pages.join(known.where("outcome = 'ok'").select("page_id"), "page_id", "left_semi")
+    return good.withColumn("url", urls.strip_fragment("url"))
 
 
 def _converted(pages: DataFrame, wanted: DataFrame, profile: str) -> DataFrame:
@@ -57,8 +63,8 @@ def run_v2(pages: DataFrame, jobs: DataFrame, finished: Column, generated: Colum
     """Single pass: crawl in order, convert, bundle."""
     checked = with_status(jobs)
     valid = with_scope(checked.where(F.col("error").isNull()).drop("error"))
-    known = stage(_captured(pages, fetch_log, "v2"))
-    good = pages.join(known.where("outcome = 'ok'").select("page_id"), "page_id", "left_semi")
+    known = stage(_captured(pages, fetch_log))
+    good = _addressed(pages, known)
     edges = links.job_edges(links.extract_links(good), valid)
     seeds = valid.select("job_id", urls.strip_fragment("seed_url").alias("url"), "max_pages")
     visits = graph.crawl(edges, known, seeds)
@@ -76,10 +82,10 @@ def run_v1(pages: DataFrame, jobs: DataFrame, finished: Column, generated: Colum
            fetch_log: DataFrame | None = None) -> Corpus:
     """Two passes: discover within the limit, then save reachable pages in address order."""
     valid = with_scope(with_status(jobs).where(F.col("error").isNull()).drop("error"))
-    known = stage(_captured(pages, fetch_log, "v1"))
-    good = pages.join(known.where("outcome = 'ok'").select("page_id"), "page_id", "left_semi")
+    known = stage(_captured(pages, fetch_log))
+    good = _addressed(pages, known)
     edges = stage(links.job_edges(links.extract_links(good), valid, "v1"))
-    seeds = valid.select("job_id", F.col("seed_url").alias("url"), "max_pages", "strict_limit")
+    seeds = valid.select("job_id", urls.strip_fragment("seed_url").alias("url"), "max_pages", "strict_limit")
     visits = graph.crawl(edges, known, seeds.drop("strict_limit"))
     found = visits.where("state = 'crawled'")
     reached = found.select("job_id", "url")
@@ -91,14 +97,17 @@ def run_v1(pages: DataFrame, jobs: DataFrame, finished: Column, generated: Colum
     job_pages = saved.select("job_id", "page_id", "url", F.col("save_pos").alias("pos")).join(done, "page_id").select(
         "job_id", "pos", "url", "title", "md")
     files = bundle.page_files(job_pages, generated, "v1")
-    nav = links.resolve(links.navigation_links(good, "v1"), "v1").select(F.col("url").alias("seed"), F.col("dst").alias("url"), "pos")
+    nav = links.resolve(links.navigation_links(good, "v1"), "v1").select(
+        urls.strip_fragment("url").alias("seed"), urls.strip_fragment("dst").alias("url"), "pos")
     own = nav.join(seeds.select("job_id", F.col("url").alias("seed")), "seed").join(
         edges.select("job_id", F.col("src").alias("seed"), F.col("dst").alias("url")), ["job_id", "seed", "url"], "left_semi")
     nav_order = first_occurrence(own.select("job_id", "url", "pos"), ["job_id", "url"], ["pos"]).select(
         "job_id", F.col("pos").cast("long").alias("pos"), "url")
-    ordering = graph.navigation_or_discovery(nav_order, found.select("job_id", F.col("crawl_pos").alias("pos"), "url"))
-    stored = bundle.last_write_wins(files).select("job_id", "filename", F.col("content").alias("md"))
-    ordered = toc.document_order(stored, ordering).join(stored, ["job_id", "filename"])
+    # Both are read several times below: by the order, by the contents and by the document.
+    ordering = stage(graph.navigation_or_discovery(
+        nav_order, found.select("job_id", F.col("crawl_pos").alias("pos"), "url")))
+    stored = stage(bundle.last_write_wins(files).select("job_id", "filename", F.col("content").alias("md")))
+    ordered = stage(toc.document_order(stored, ordering)).join(stored, ["job_id", "filename"])
     parts = toc.stitched_v1(ordered)
     counts = bundle.crawl_counts(visits).drop("n_crawled").join(
         job_pages.groupBy("job_id").agg(F.count("*").alias("n_crawled")), "job_id", "left")
