@@ -9,6 +9,7 @@ from inkweave.catalog.content import sql_article_md, sql_clean
 from inkweave.catalog.documents import SQL_TITLED, titled_pages
 from inkweave.functions import urls
 from inkweave.operators import bundle, content, toc
+from inkweave.session import stage
 
 
 def job_pages(spark, folder):
@@ -43,7 +44,8 @@ def stitched_v2(spark, folder):
 
 
 def bundle_manifest(spark, folder):
-    pages = job_pages(spark, folder)
+    # Converted once, read by the page files and by the document.
+    pages = stage(job_pages(spark, folder))
     return bundle.manifest(bundle.page_files(pages, F.lit(NOW_ISO)), toc.stitched_v2(pages))
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from inkweave.functions.fetching import (
     DELAY_STEP, INITIAL_DELAY, MAX_DELAY, MIN_DELAY, PENALTY_SECONDS, SUCCESSES_PER_STEP)
 from inkweave.operators.ordered import position_slot, running, time_slot
+from inkweave.session import stage
 
 CHUNK_ROWS = 2_000
 ORDER = ["ts", "event_id"]
@@ -26,9 +27,14 @@ def _ordered() -> list[Column]:
 
 
 def success_streak(log: DataFrame, slot_seconds: int = 3600) -> DataFrame:
-    """Add ``streak``: pages since the last failure or non-HTML page, restarting after each full five."""
+    """Add ``streak``: pages since the last failure or non-HTML page, restarting after each full five.
+
+    ``run`` is the same without restarts, ``nth`` the request's number on its host. Every running
+    total reads its input twice, so results that feed another total are staged first.
+    """
     slot, good = time_slot(F.col("ts"), slot_seconds), F.col("outcome") == "ok"
-    counted = running(log, ["host"], slot, _ordered(), sums={"_good": good.cast("long")})
+    counted = stage(running(log, ["host"], slot, _ordered(), sums={
+        "_good": good.cast("long"), "nth": F.lit(1).cast("long")}))
     reset = F.when(F.col("outcome").isin("failed", "empty", "not_html"), F.col("_good"))
     based = running(counted, ["host"], slot, _ordered(), maxima={"_base": reset})
     run = F.col("_good") - F.coalesce("_base", F.lit(0))
@@ -51,11 +57,12 @@ def adaptive_delay_v1(log: DataFrame, slot_seconds: int = 3600) -> DataFrame:
     failure restart from the initial delay; each five pages in a row take one step off.
     """
     slot = time_slot(F.col("ts"), slot_seconds)
-    marked = penalty_interval(log, slot_seconds)
+    marked = stage(penalty_interval(log, slot_seconds))
     out = ~F.col("in_penalty")
     ok_out, failed = (F.col("outcome") == "ok") & out, F.col("outcome").isin("failed", "empty")
     limited = F.col("outcome") == "limited"
-    moves = running(marked, ["host"], slot, _ordered(), sums={"_n": F.lit(1).cast("long"), "_ok": ok_out.cast("long")})
+    moves = stage(running(marked, ["host"], slot, _ordered(), sums={
+        "_n": F.lit(1).cast("long"), "_ok": ok_out.cast("long")}))
     last = running(moves, ["host"], slot, _ordered(), maxima={
         "_limit_n": F.when(limited, F.col("_n")),
         "_out_n": F.when(~limited & out & (ok_out | failed), F.col("_n")),
@@ -92,8 +99,7 @@ def adaptive_delay_v2(log: DataFrame, slot_seconds: int = 3600, chunk_rows: int
         .when(F.col("outcome") == "limited", 2 * DELAY_STEP)
         .otherwise(0.0)
     )
-    placed = running(streaks.withColumn("add", add), ["host"], time_slot(F.col("ts"), slot_seconds), _ordered(),
-                     sums={"_n": F.lit(1).cast("long")})
+    placed = stage(streaks.withColumn("add", add).select(*log.columns, "add", F.col("nth").alias("_n")))
     rest = [c for c in log.columns if c != "host"]
     chunks = placed.groupBy("host", position_slot(F.col("_n") - 1, chunk_rows).alias("chunk")).agg(
         F.array_sort(F.collect_list(F.struct("_n", "add", *rest))).alias("steps"))

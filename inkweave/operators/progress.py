@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 
 from inkweave.functions.fetching import TERMINAL_STATES, is_expired, state_message
 from inkweave.operators.ordered import previous, running, time_slot
+from inkweave.session import stage
 
 
 def changes(log: DataFrame, slot_seconds: int = 3600) -> DataFrame:
     """Rows a watcher sees: state or meta differs from the row before, up to the first end state."""
     slot, order = time_slot(F.col("ts"), slot_seconds), ["ts", "event_id"]
     ends = F.col("state").isin(TERMINAL_STATES).cast("long")
-    open_rows = running(log, ["job_id"], slot, [F.col(c) for c in order], sums={"_ended": ends}).where(
-        F.col("_ended") - ends == 0).drop("_ended")
+    open_rows = stage(running(log, ["job_id"], slot, [F.col(c) for c in order], sums={"_ended": ends}).where(
+        F.col("_ended") - ends == 0).drop("_ended"))
     near = previous(open_rows, ["job_id"], slot, order, ["state", "meta"])
     return near.where(~(F.col("prev_state").eqNullSafe(F.col("state")) & F.col("prev_meta").eqNullSafe(F.col("meta")))).drop(
         "prev_state", "prev_meta")

@@ -12,7 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    "spark.sql.parquet.filterPushdown": "true",
+    # Call-site capture costs several gateway calls per column expression.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 _own_dirs: dict[str, str] = {}

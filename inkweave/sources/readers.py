@@ -17,8 +17,17 @@ FETCH_LOG_SCHEMA = T.StructType([
 ])
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for an input of fewer splits than cores; a large input is left as it is.
+
+    Only planning is needed to know the number of splits. Columns a query drops do not travel.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    return spread(spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet"))
 
 
 def latest_fetch(log: DataFrame) -> DataFrame:
