@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from inkweave.operators.joins import BROADCAST_ROWS
 from inkweave.operators.ordered import numbered_by_range, position_slot, running
-from inkweave.session import shared_dir, stage
+from inkweave.session import shared_dir, stage, width
 
 FOLD_EVERY = 16
 PARENTS_PER_SLOT = 4096
@@ -18,7 +18,7 @@ PARENTS_PER_SLOT = 4096
 def bucketed(df: DataFrame, *keys: str, buckets: int | None = None) -> DataFrame:
     """Write a table bucketed by its join keys, so that no round of a walk shuffles it again."""
     spark = df.sparkSession
-    count = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    count = buckets or width(spark)
     name = f"inkweave_{uuid.uuid4().hex}"
     (df.write.format("parquet").option("path", f"{shared_dir(spark)}/buckets/{name}")
      .bucketBy(count, *keys).sortBy(*keys).saveAsTable(name))

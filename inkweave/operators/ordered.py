@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkweave.session import stage
+from inkweave.session import stage, width
 
 SLOT_ROWS = 65_536
 _SLOT = "_slot"
@@ -69,8 +69,7 @@ def numbered_by_range(df: DataFrame, group: list[str], order: list[str], name: s
     Range partitioning splits a hot group at its own order keys. The partition number is written
     with the rows, so both uses below see the same cut.
     """
-    width = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = stage(df.repartitionByRange(width, *group, *order).withColumn("_part", F.spark_partition_id().cast("long")))
+    cut = stage(df.repartitionByRange(partitions or width(df.sparkSession), *group, *order).withColumn("_part", F.spark_partition_id().cast("long")))
     return numbered(cut, group, F.col("_part"), [F.col(c) for c in order], name).drop("_part")
 
 

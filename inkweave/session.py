@@ -48,6 +48,11 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[app]
 
 
+def width(spark: SparkSession) -> int:
+    """Partitions for a written cut: the shuffle setting, but no more than a few per core."""
+    return min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, keeps real statistics."""
     spark = df.sparkSession
