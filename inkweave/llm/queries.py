@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkweave.llm import sentencepiece_codec
+from inkweave.llm import sentencepiece_codec, sharding
 from inkweave.llm.text import documents
+from inkweave.session import shared_dir
 
 #: The vocabulary file of operator 1; a parameter of the operator.
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -22,6 +24,16 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of near equal bytes, by version 1 of a stored slot map."""
+    rows = sharding.measured(documents(spark, sf_dir))
+    path = f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}"
+    sharding.store_map(sharding.first_map(sharding.slot_sizes(rows), 40), path)
+    out = sharding.placed(rows, sharding.load_map(spark, path, 1))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_sentencepiece": (op1_sentencepiece, None),
+    "op4_sharding": (op4_sharding, None),
 }
