@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkweave.llm import sentencepiece_codec, sharding
+from inkweave.llm import quality, secrets, sentencepiece_codec, sharding
 from inkweave.llm.text import documents
 from inkweave.session import shared_dir
 
@@ -33,7 +33,24 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of the line-first rules for every document."""
+    return quality.clean_lines(documents(spark, sf_dir)).drop("cleaned")
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, with the verdicts of their owners' counts."""
+    found = secrets.scan(documents(spark, sf_dir))
+    base = F.filter("spans", lambda x: x["order"] < 3)
+    text = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    many = lambda name, value: F.size(F.filter("spans", lambda x: x[name] == value)).cast("long")
+    return found.select("doc_id", many("order", 0).alias("n_assign"), many("order", 1).alias("n_access"), many("order", 2).alias("n_hex"), F.sha2(text(base), 256).alias("base_sha256"),
+                        text(F.col("spans")).alias("spans"), many("verdict", "live").alias("n_live"), many("verdict", "copied").alias("n_copied"))
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_sentencepiece": (op1_sentencepiece, None),
+    "op6_quality": (op6_quality, None),
+    "op7_secrets": (op7_secrets, None),
     "op4_sharding": (op4_sharding, None),
 }
