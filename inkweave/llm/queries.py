@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkweave.llm import quality, secrets, sentencepiece_codec, sharding
+from inkweave.llm import language, licenses, quality, secrets, sentencepiece_codec, sharding
 from inkweave.llm.text import documents
 from inkweave.session import shared_dir
 
@@ -33,6 +33,13 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those that are not held out."""
+    docs = documents(spark, sf_dir)
+    out = language.predict(docs, language.fit(docs))
+    return out.withColumn("held_out", language.held_out("doc_id"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of the line-first rules for every document."""
     return quality.clean_lines(documents(spark, sf_dir)).drop("cleaned")
@@ -48,8 +55,15 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
                         text(F.col("spans")).alias("spans"), many("verdict", "live").alias("n_live"), many("verdict", "copied").alias("n_copied"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and labels of every document."""
+    return licenses.scan(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_sentencepiece": (op1_sentencepiece, None),
+    "op5_language": (op5_language, None),
+    "op8_licenses": (op8_licenses, None),
     "op6_quality": (op6_quality, None),
     "op7_secrets": (op7_secrets, None),
     "op4_sharding": (op4_sharding, None),
