@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkweave.llm import language, licenses, quality, secrets, sentencepiece_codec, sharding
+from inkweave.llm import language, licenses, line_dedup, quality, secrets, sentencepiece_codec, sharding
 from inkweave.llm.text import documents
 from inkweave.session import shared_dir
 
@@ -60,8 +60,30 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without lines that three or more documents share, but for the last holder."""
+    out = line_dedup.dedup(documents(spark, sf_dir))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL_LINES = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents
+), keyed AS (
+  SELECT doc_id, line, pos, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines
+), common AS (
+  SELECT k, max(doc_id) AS top FROM keyed WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3
+), marked AS (
+  SELECT keyed.doc_id, line, pos, common.k IS NOT NULL AND keyed.doc_id < top AS gone FROM keyed LEFT JOIN common ON keyed.k = common.k
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_sentencepiece": (op1_sentencepiece, None),
+    "op3_line_dedup": (op3_line_dedup, SQL_LINES),
     "op5_language": (op5_language, None),
     "op8_licenses": (op8_licenses, None),
     "op6_quality": (op6_quality, None),

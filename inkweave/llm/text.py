@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one step of an Arrow operator works on; a longer text is a step of its own.
 STEP = 4 << 20
@@ -125,3 +126,9 @@ def listed(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.List
     offsets = np.zeros(len(counts) + 1, np.int32)
     np.cumsum(counts, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
+
+
+def buckets_for(docs: DataFrame, text_col: str = "text", each: int = 4 << 20) -> int:
+    """Number of hash buckets for ``each`` bytes of text a bucket, from the text that is there."""
+    total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string"))).alias("n")).first()["n"]
+    return max(64, -(-(total or 0) // each))
