@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkweave.llm import language, licenses, line_dedup, quality, secrets, sentencepiece_codec, sharding
+from inkweave.llm import jaccard_join, language, licenses, line_dedup, quality, secrets, sentencepiece_codec, sharding
 from inkweave.llm.text import documents
 from inkweave.session import shared_dir
 
@@ -60,6 +60,11 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose five-word shingles have a Jaccard similarity of 0.8 or more."""
+    return jaccard_join.join(documents(spark, sf_dir))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without lines that three or more documents share, but for the last holder."""
     out = line_dedup.dedup(documents(spark, sf_dir))
@@ -83,6 +88,7 @@ FROM marked GROUP BY doc_id
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_sentencepiece": (op1_sentencepiece, None),
+    "op2_jaccard_join": (op2_jaccard_join, None),
     "op3_line_dedup": (op3_line_dedup, SQL_LINES),
     "op5_language": (op5_language, None),
     "op8_licenses": (op8_licenses, None),
