@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkweave.llm import jaccard_join, language, licenses, line_dedup, quality, secrets, sentencepiece_codec, sharding
+from inkweave.llm import jaccard_join, language, licenses, line_dedup, quality, secrets, sentencepiece_codec, sharding, substring_dedup
 from inkweave.llm.text import documents
 from inkweave.session import shared_dir
 
@@ -71,6 +71,12 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of 50-word windows that an earlier document holds."""
+    out = substring_dedup.dedup(documents(spark, sf_dir))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 SQL_LINES = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents
@@ -94,5 +100,6 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_licenses": (op8_licenses, None),
     "op6_quality": (op6_quality, None),
     "op7_secrets": (op7_secrets, None),
+    "op9_substring_dedup": (op9_substring_dedup, None),
     "op4_sharding": (op4_sharding, None),
 }
