@@ -19,6 +19,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,7 +85,7 @@ MASK = np.uint64((1 << 48) - 1)
 
 
 def _screened(docs: DataFrame, ngram: int, percent: int, buckets: int) -> DataFrame:
-    """``part`` (48 bits of a node), ``shared``: how many of a set's first tokens in hash order other sets hold too, if any.
+    """``part`` (48 bits of a node) of the sets that share enough of their first tokens in hash order with others.
 
     Hashes travel packed, by bucket, with 48 bits; a collision can only keep a set. A token that
     several sets of a step hold is sent once, as held twice, and counted where it was met.
@@ -104,21 +105,25 @@ def _screened(docs: DataFrame, ngram: int, percent: int, buckets: int) -> DataFr
             heads = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
             size = np.diff(np.append(heads, len(token)))
             met = np.repeat(size > 1, size)
-            local, times = np.unique(node[met], return_counts=True)
+            filled = once[counts[once] > 0]  # in the order of nodes
+            local, times = nodes[filled], np.zeros(len(filled), np.int64)
+            np.add.at(times, np.searchsorted(local, node[met]), 1)
+            wanted = take[filled] - counts[filled] + need(counts[filled], percent)
             token, node = token[heads], np.where(size > 1, 0, node[heads]).astype(np.uint64)
             of = (token % np.uint64(buckets)).astype(np.int64)
             home = (local % np.uint64(buckets)).astype(np.int64)
             order, order2 = np.argsort(of, kind="stable"), np.argsort(home, kind="stable")
             for_bucket, cuts = np.unique(of[order], return_index=True)
-            rows = [(int(b), _six(token[x] // np.uint64(buckets)), _six(node[x]), None) for b, x in zip(for_bucket, np.split(order, cuts[1:]), strict=True)] if len(order) else []
+            rows = [(int(b), _six(token[x] // np.uint64(buckets)), _six(node[x]), None, None) for b, x in zip(for_bucket, np.split(order, cuts[1:]), strict=True)] if len(order) else []
             home_bucket, cuts = np.unique(home[order2], return_index=True)
-            rows += [(int(b), None, _six(local[x]), times[x].astype(np.int64).tobytes()) for b, x in zip(home_bucket, np.split(order2, cuts[1:]), strict=True)] if len(order2) else []
+            rows += [(int(b), None, _six(local[x]), times[x].tobytes(), wanted[x].astype(np.int64).tobytes()) for b, x in zip(home_bucket, np.split(order2, cuts[1:]), strict=True)] if len(order2) else []
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.int32(), *[pa.binary()] * 3], strict=True)], ["bucket", "tokens", "nodes", "times"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.int32(), *[pa.binary()] * 4], strict=True)], ["bucket", "tokens", "nodes", "times", "wanted"])
 
     def meet(table: pa.Table) -> pa.Table:
         sent = [(t, n) for t, n in zip(table["tokens"].to_pylist(), table["nodes"].to_pylist(), strict=True) if t is not None]
-        own = [(n, k) for t, n, k in zip(table["tokens"].to_pylist(), table["nodes"].to_pylist(), table["times"].to_pylist(), strict=True) if t is None]
+        own = table.filter(pc.is_null(table["tokens"]))
+        mine, times, wanted = (b"".join(own[c].to_pylist()) for c in ("nodes", "times", "wanted"))
         token, node = _wide(b"".join(t for t, _ in sent)), _wide(b"".join(n for _, n in sent))
         order = np.lexsort((node, token))
         token, node = token[order], node[order]
@@ -128,13 +133,14 @@ def _screened(docs: DataFrame, ngram: int, percent: int, buckets: int) -> DataFr
         heads = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
         size = np.diff(np.append(heads, len(token)))
         several = np.repeat((size > 1) | (node[heads] == 0), size) & (node > 0) if len(token) else np.zeros(0, bool)
-        nodes = np.concatenate([node[several], _wide(b"".join(n for n, _ in own))])
-        times = np.concatenate([np.ones(int(several.sum()), np.int64), np.frombuffer(b"".join(k for _, k in own), np.int64)])
-        part, which = np.unique(nodes, return_inverse=True)
-        return pa.table({"part": pa.array(part.astype(np.int64)), "shared": pa.array(np.bincount(which, times, len(part)).astype(np.int64))})
+        part, shared = np.unique(node[several], return_counts=True)
+        mine, times, wanted = _wide(mine), np.frombuffer(times, np.int64), np.frombuffer(wanted, np.int64)
+        return pa.table({"part": pa.array(np.concatenate([part, mine]).astype(np.int64)), "shared": pa.array(np.concatenate([shared, times]).astype(np.int64)),
+                         "wanted": pa.array(np.concatenate([np.zeros(len(part), np.int64), wanted]), mask=np.arange(len(part) + len(mine)) < len(part))})
 
-    sent = docs.select("id", "text").mapInArrow(send, "bucket int, tokens binary, nodes binary, times binary")
-    return sent.groupBy("bucket").applyInArrow(meet, "part long, shared long").groupBy("part").agg(F.sum("shared").alias("shared"))
+    sent = docs.select("id", "text").mapInArrow(send, "bucket int, tokens binary, nodes binary, times binary, wanted binary")
+    met = sent.groupBy("bucket").applyInArrow(meet, "part long, shared long, wanted long")
+    return met.groupBy("part").agg(F.sum("shared").alias("shared"), F.min("wanted").alias("wanted")).where(F.col("shared") >= F.col("wanted")).select("part")
 
 
 def first_tokens(n: np.ndarray, percent: int) -> np.ndarray:
@@ -144,7 +150,7 @@ def first_tokens(n: np.ndarray, percent: int) -> np.ndarray:
 
 def _sets(docs: DataFrame, ngram: int, percent: int, screened: DataFrame) -> DataFrame:
     """``id``, ``node``, ``n`` of every row and the ``tokens`` of those that may pass the screen, once for each node and step."""
-    # a hash filter of fixed size; what it lets through is joined with the exact counts later
+    # a hash filter of fixed size; what it lets through is joined with the exact list later
     spot = F.pmod(F.col("part"), F.lit(FILTER_BITS))
     maps = screened.select(F.bitmap_bucket_number(spot).alias("k"), F.bitmap_bit_position(spot).alias("p")).groupBy("k").agg(F.bitmap_construct_agg("p").alias("bits"))
     bits = np.zeros(FILTER_BITS // 8 + 4096, np.uint8)
@@ -253,8 +259,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram:
     named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     found = stage(_screened(named, ngram, percent, buckets_for(named)))
     rows = stage(_sets(named, ngram, percent, found))
-    sets = rows.where(F.col("tokens").isNotNull()).dropDuplicates(["node"]).select("node", "n", "tokens")
-    sets = stage(_after_screen(sets, found, percent))
+    part = F.col("node").bitwiseAND(F.lit(int(MASK)))
+    sets = rows.where(F.col("tokens").isNotNull()).withColumn("part", part).join(found, "part", "left_semi")
+    sets = stage(sets.dropDuplicates(["node"]).select("node", "n", "tokens"))
     each = sets.select("node", F.explode("tokens").alias("token"))
     often = each.groupBy("token").agg(F.count("*").cast("int").alias("df")).where(F.col("df") > 1)
     held = each.join(often, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("held"))
@@ -270,15 +277,6 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram:
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", F.when(F.col("n") == 0, F.col("id"))).alias("component_id"))
 
 
-def _after_screen(sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """The sets that share enough of their first tokens; others can have no link."""
-    n = F.col("n")
-    least = n - F.ceil(n * percent / F.lit(100.0))
-    wanted = F.least(n, least + F.greatest(F.lit(1), F.ceil(n / F.lit(10.0)))) - least
-    part = F.col("node").bitwiseAND(F.lit((1 << 48) - 1))
-    return sets.withColumn("part", part).join(found, "part").where(F.col("shared") >= wanted).drop("part", "shared")
-
-
 def _links(sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Verified pairs that make the components of the join."""
     spark = sigs.sparkSession
