@@ -1,7 +1,74 @@
-"""The corpus pipeline; its stages follow as the operators are written."""
+"""The corpus pipeline: five stages, each written as Parquet and read again as the next one's documents."""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from inkweave.llm import decontamination, jaccard_join, language, line_dedup, sentencepiece_codec
+from inkweave.llm.text import bounded, documents
+from inkweave.session import stage
+
+#: The vocabulary file of the last stage; a parameter.
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+#: Stands for a null id.
+NO_ID = -(2**63)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language; those without a letter and ambiguous ones go."""
+    bounded(spark)
+    return language.accepted(docs, language.fit(docs))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that three or more documents share stay in the last one only; n_chars follows the text."""
+    bounded(spark)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    out = line_dedup.dedup(docs, keep=rest)
+    columns = {"text": F.col("kept"), "n_chars": F.length("kept").cast(docs.schema["n_chars"].dataType)}
+    return out.select(*[columns.get(c, F.col(c)).alias(c) for c in docs.columns])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least id of each group of near copies. Rows with one id count as one document, and so do rows without an id."""
+    bounded(spark)
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    groups = jaccard_join.join(docs)
+    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("__key")).distinct()
+    return docs.join(first, key == F.col("__key"), "left_semi")
+
+
+def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item."""
+    bounded(spark)
+    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every text, and digests of them and of the text that they decode to."""
+    bounded(spark)
+    out = sentencepiece_codec.encode_decode(docs, PIECES)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                      F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", dedup_lines),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", benchmark_free),
+    ("sentencepiece", tokens),
+]
+
+#: Merge rounds, learned weights and edit distances are beyond SQL; tests hold the run against plain Python.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``."""
+    docs = documents(spark, sf_dir)
+    for _, function in STAGES[:-1]:
+        docs = stage(function(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

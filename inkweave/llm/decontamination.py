@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from inkweave.llm.text import raw, steps
 
@@ -200,6 +201,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     """
     source = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
     key, item = source.schema["key"].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
+    item_type = to_arrow_type(benchmark.schema[item_col].dataType)
     out = None
     for items in blocks(benchmark, item_col, item_text, q, rate):
         shared = docs.sparkSession.sparkContext.broadcast(items)  # at most about BLOCK bytes of items
@@ -209,7 +211,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
                 found = shared.value.find(batch.column(1), q)
                 if found:
                     row, which, start, end, edits = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array([shared.value.ids[i] for i in which]), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(edits, pa.int32())],
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array([shared.value.ids[i] for i in which], item_type), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(edits, pa.int32())],
                                                      ["key", "item", "start_at", "end_at", "edits"])
 
         part = source.mapInArrow(run, f"key {key}, item {item}, start_at long, end_at long, edits int")

@@ -178,7 +178,7 @@ def _sets(docs: DataFrame, ngram: int, percent: int, screened: DataFrame) -> Dat
     return docs.select("id", "text").mapInArrow(run, f"id {kind}, node long, n long, tokens array<long>")
 
 
-def _signatures(sets: DataFrame, percent: int) -> DataFrame:
+def _signatures(sets: DataFrame, percent: int, rare_up_to: int) -> DataFrame:
     """``sig``, ``node`` from ``node``, ``n``, ``held`` (sorted array of df, token with df above 1)."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,7 +191,7 @@ def _signatures(sets: DataFrame, percent: int) -> DataFrame:
                 left = n - int(need(np.array(n), percent)) + 1 - (n - len(df))
                 if left <= 0:
                     continue
-                rare = int((df <= RARE).sum())
+                rare = int((df <= rare_up_to).sum())
                 sigs = [mix(token[: min(left, rare)])]
                 left -= rare
                 if left > 0:
@@ -243,7 +243,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = NGRAM, percent: int = PERCENT, rare: int = RARE) -> DataFrame:
     """``id_col``, n_shingles, component_id of every row.
 
     A row's tokens are its distinct ``ngram``-word shingles (A-Z lower-cased); with fewer words
@@ -266,7 +266,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram:
     often = each.groupBy("token").agg(F.count("*").cast("int").alias("df")).where(F.col("df") > 1)
     held = each.join(often, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("held"))
     sets_held = held.join(sets.select("node", "n"), "node").where(F.size("held") * 100 >= F.col("n") * percent)
-    sigs = stage(_signatures(sets_held, percent))
+    sigs = stage(_signatures(sets_held, percent, rare))
     links = _links(sigs, sets, percent)
     label = components(links)
     nodes = rows.where(F.col("n") > 0).groupBy("node").agg(F.min("id").alias("least"))

@@ -182,3 +182,20 @@ def predict(docs: DataFrame, codes: Codes, id_col: str = "doc_id", text_col: str
     columns = ", ".join(["__key " + kinds[0], *[f"__{i} {kinds[i + 2]}" for i in range(len(keep))]])
     out = source.mapInArrow(run, f"{columns}, lang_pred string, score double, lang_second string, ambiguous boolean")
     return out.toDF(id_col, *keep, "lang_pred", "score", "lang_second", "ambiguous")
+
+
+def accepted(docs: DataFrame, codes: Codes, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text has a language that is not ambiguous."""
+    shared, place = docs.sparkSession.sparkContext.broadcast(codes), docs.columns.index(text_col)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            named = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows)), batch.column(place)], ["i", "text"])
+            keep = np.zeros(batch.num_rows, bool)
+            for part in steps([named]):
+                if shared.value.languages:
+                    best, score, _ = shared.value.predict(part.column(1))
+                    keep[part.column(0).to_numpy()] = (best >= 0) & (score >= AMBIGUOUS)
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -166,13 +166,13 @@ def frequent(runs: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
     return runs.mapInArrow(read, "key binary, top long")
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_DOCS) -> DataFrame:
-    """``id_col``, ``kept`` (text without the dropped lines), n_lines, n_dropped of every row.
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_DOCS, keep: list[str] | None = None) -> DataFrame:
+    """``id_col``, ``keep`` columns, ``kept`` (text without the dropped lines), n_lines, n_dropped of every row.
 
     A line whose key (at least LEAST_POINTS code points) stands in ``least`` rows is dropped unless
     its row has the largest id among them. Ids are integers; a null id is smaller than all others.
     Repeated rows count each and, if they share the largest id, all keep the line. A null or empty
-    text is one empty line. Other columns are ignored; an empty table gives an empty result.
+    text is one empty line. Columns not named are ignored; an empty table gives an empty result.
 
     A line in a third of all rows meets one row of counts, in a join that splits large partitions.
     """
@@ -185,8 +185,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
 
     held = docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(pairs, "key binary, holder long")
     drops = held.join(common, "key").where(F.col("holder") < F.col("top")).groupBy("holder").agg(F.collect_set("key").alias("keys"))
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    joined = source.join(drops, F.coalesce(F.col("id").cast("long"), F.lit(NO_ID)) == F.col("holder"), "left").select("id", "text", "keys")
+    keep = keep or []
+    rest = [f"__{i}" for i in range(len(keep))]
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(r) for c, r in zip(keep, rest, strict=True)])
+    joined = source.join(drops, F.coalesce(F.col("id").cast("long"), F.lit(NO_ID)) == F.col("holder"), "left").select("id", "text", "keys", *rest)
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
@@ -198,7 +200,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
                 texts.append("\n".join(kept))
                 counts.append(len(lines))
                 dropped.append(len(lines) - len(kept))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(dropped, pa.int64())], ["id", "kept", "n_lines", "n_dropped"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[3:], pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(dropped, pa.int64())], ["id", *rest, "kept", "n_lines", "n_dropped"])
 
-    kind = joined.schema["id"].dataType.simpleString()
-    return joined.mapInArrow(cut, f"id {kind}, kept string, n_lines long, n_dropped long").withColumnRenamed("id", id_col)
+    kinds = "".join(f"{c} {joined.schema[c].dataType.simpleString()}, " for c in ("id", *rest))
+    return joined.mapInArrow(cut, f"{kinds}kept string, n_lines long, n_dropped long").toDF(id_col, *keep, "kept", "n_lines", "n_dropped")

@@ -24,11 +24,16 @@ _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 2**64)
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents table; Arrow batches are bounded in rows and bytes whatever the length of a text."""
+def bounded(spark: SparkSession) -> SparkSession:
+    """Bound Arrow batches in rows and bytes, whatever the length of a text."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spark
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents table."""
+    return bounded(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def steps(batches: Iterable[pa.RecordBatch], limit: int = STEP) -> Iterator[pa.RecordBatch]:
