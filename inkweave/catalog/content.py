@@ -138,13 +138,18 @@ SQL_MAIN_V2 = _sql_main(["article", "main", 'div[role="main"]', ".main-content",
 SQL_MAIN_V1 = _sql_main(["body", "main", 'div[role="main"]', "body", "main", "body"], "{x}", "opened || inside || closed")
 
 
+NOISE_EXTRA = "<video-player>keep1</video-player><p>keep2</p><video>z</video><object><object>x</object>y</object><p>keep3</p>"
+NOISE_LEFT = "<video-player>keep1</video-player><p>keep2</p><p>keep3</p>"
+
+
 def noise_removed(spark, folder):
-    pages = load(spark, folder, "pages")
+    """Every page also has an element whose name begins like a noise element, media, and nested objects."""
+    pages = load(spark, folder, "pages").withColumn("html", F.replace("html", F.lit("</body>"), F.lit(NOISE_EXTRA + "</body>")))
     return pages.select("page_id", F.md5(H.drop_noise("html")).alias("quiet_md5"), F.md5(H.drop_comments("html")).alias("open_md5"))
 
 
-SQL_NOISE = f"""SELECT page_id, md5({_NOISE_SQL.format(x='html')}) AS quiet_md5,
-  md5(regexp_replace(html, '(?s)<!--.*?-->', '', 'g')) AS open_md5 FROM pages"""
+SQL_NOISE = f"""SELECT page_id, md5({_NOISE_SQL.format(x=f"replace(html, '</body>', '{NOISE_LEFT}</body>')")}) AS quiet_md5,
+  md5(regexp_replace(replace(html, '</body>', '{NOISE_EXTRA}</body>'), '(?s)<!--.*?-->', '', 'g')) AS open_md5 FROM pages"""
 
 
 def body_furniture(spark, folder):

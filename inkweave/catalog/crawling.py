@@ -202,7 +202,7 @@ def navigation_or_discovery(spark, folder):
     """Order list per page as its own seed: navigation links for even pages, plain links for the rest."""
     pages = load(spark, folder, "pages")
     job = F.col("page_id").cast("string").alias("job_id")
-    nav = links.resolve(links.navigation_links(pages.where("html like '%<nav%'")), "v1").where(
+    nav = links.resolve(links.navigation_links(pages), "v1").where(
         urls.is_html_v1("dst")).select(job, "pos", F.col("dst").alias("url"))
     nav = first_occurrence(nav, ["job_id", "url"], ["pos"]).join(
         pages.where("length(html) % 2 = 0").select(job), "job_id", "left_semi")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from inkweave.operators.joins import salted_join
 from inkweave.catalog.common import SQL_FIRST, SQL_HOST, SQL_JOBS, SQL_ORIGIN, SQL_PATH, host_jobs, load, text_list
 from inkweave.functions import scope, urls
 from inkweave.operators import jobs as J
@@ -122,7 +123,7 @@ def scope_report(spark, folder):
     links = L.resolve(L.extract_links(pages)).select(urls.host("url").alias("job_id"), "dst")
     jobs = host_jobs(pages).drop("k")
     hit = scope.in_scope_v2("dst", "host", "seed_prefixes", "include_prefixes", "exclude_regexes")
-    per_link = links.join(jobs, "job_id").groupBy("job_id").agg(
+    per_link = salted_join(links, jobs, ["job_id"], F.col("dst")).groupBy("job_id").agg(
         F.count("*").alias("n_links"), F.countDistinct("dst").alias("n_targets"), F.count_if(hit).alias("n_in_scope"))
     return pages.groupBy(urls.host("url").alias("job_id")).agg(F.count("*").alias("n_pages")).join(per_link, "job_id")
 
@@ -149,7 +150,7 @@ SELECT job_id, unnest(CASE WHEN len(includes) > 0 THEN [trim(includes[1], '/')]
 def _scoped(spark, folder, hit):
     pages = load(spark, folder, "pages").select("page_id", "url", urls.host("url").alias("host"))
     jobs = host_jobs(load(spark, folder, "pages"))
-    return pages.join(jobs, "host").select("job_id", "page_id", hit.alias("in_scope"))
+    return salted_join(pages, jobs, ["host"], F.col("page_id")).select("job_id", "page_id", hit.alias("in_scope"))
 
 
 def in_scope_v1(spark, folder):

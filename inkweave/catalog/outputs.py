@@ -77,9 +77,11 @@ def last_write_wins(spark, folder):
 
 
 def job_summary(spark, folder):
-    """Every third host has nothing crawled."""
+    """Every third host has nothing crawled; some jobs are refused for a pattern that does not compile or a seed without host."""
     pages = load(spark, folder, "pages")
-    jobs = host_jobs(pages)
+    k = F.col("k")
+    jobs = host_jobs(pages).withColumn("exclude_regexes", F.when(k % 7 == 1, F.array(F.lit("(unclosed"))).when(k % 7 == 2, F.array(F.lit("/{id}/"))).otherwise(F.col("exclude_regexes"))).withColumn(
+        "seed_url", F.when(k % 11 == 3, F.lit("/no/host")).otherwise(F.col("seed_url")))
     counts = pages.groupBy(urls.host("url").alias("job_id")).agg(
         F.when(F.min("page_id") % 3 == 0, 0).otherwise(F.count("*")).alias("n_crawled"), F.count("*").alias("n_fetched"))
     got = bundle.summary(jobs, counts, now())
@@ -91,13 +93,13 @@ def job_summary(spark, folder):
 SQL_SUMMARY = f"""
 WITH {SQL_JOBS},
 n AS (SELECT {SQL_HOST} AS job_id, CASE WHEN min(page_id) % 3 = 0 THEN 0 ELSE count(*) END AS crawled, count(*) AS fetched FROM pages GROUP BY 1),
-s AS (SELECT *, CASE WHEN output_format = 'pdf' THEN 'Invalid output_format'
-    WHEN crawled = 0 AND output_format = 'single_md' THEN 'all_docs.md missing for single_md export' END AS error,
+s AS (SELECT * REPLACE (CASE WHEN k % 11 = 3 THEN '/no/host' ELSE seed_url END AS seed_url),
+  CASE WHEN k % 11 = 3 THEN 'Invalid URL' WHEN k % 7 IN (1, 2) THEN 'Invalid exclude pattern' WHEN output_format = 'pdf' THEN 'Invalid output_format'
+    WHEN crawled = 0 AND output_format = 'single_md' THEN 'all_docs.md missing for single_md export' WHEN crawled = 0 THEN 'ZIP creation failed' END AS error,
   job_id || '/' || CASE WHEN output_format = 'single_md' THEN 'all_docs.md' ELSE 'docs_export_' || epoch(TIMESTAMP '{NOW}')::BIGINT || '.zip' END AS key
   FROM jobs JOIN n USING (job_id))
 SELECT job_id, seed_url AS site_url, CASE WHEN error IS NULL THEN 'SUCCESS' ELSE 'FAILURE' END AS state,
-  CASE WHEN error IS NULL THEN CASE WHEN crawled = 0 THEN 'Completed. No pages were crawled or matched criteria. Total pages fetched: ' || fetched || '.'
-    ELSE 'Completed. Output: ' || output_format || '. Artifact: ' || key || '. Pages crawled: ' || crawled || '. Total fetched: ' || fetched || '.' END
+  CASE WHEN error IS NULL THEN 'Completed. Output: ' || output_format || '. Artifact: ' || key || '. Pages crawled: ' || crawled || '. Total fetched: ' || fetched || '.'
     || CASE WHEN strict_limit THEN ' (Strict page limit: ' || max_pages || ')' ELSE '' END END AS status,
   error, crawled AS pages_crawled, fetched AS total_pages_fetched, CASE WHEN error IS NULL THEN key END AS object_key, output_format, max_pages,
   CASE WHEN error IS NULL THEN epoch_us(TIMESTAMP '{NOW}' + INTERVAL 1 HOUR) END AS expires_us FROM s"""

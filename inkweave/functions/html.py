@@ -61,11 +61,14 @@ def decode_entities(text: Column | str) -> Column:
                       F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
 
     def one(piece: Column, index: Column) -> Column:
-        ref = F.regexp_extract(piece, r"^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
+        ref = F.regexp_extract(piece, r"^(#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);", 1)
+        # any number of digits; without leading zeros a longer one is no code point
+        digits = F.regexp_replace(ref, "^#[xX]?0*", "")
         char = (
             F.when(ref == "", F.lit(None).cast("string"))
-            .when(ref.rlike("^#[xX]"), from_code(F.conv(F.substr(ref, F.lit(3)), 16, 10).cast("long")))
-            .when(ref.startswith("#"), from_code(F.substr(ref, F.lit(2)).try_cast("long")))
+            .when(ref.startswith("#") & (F.length(digits) > 7), F.lit(None).cast("string"))
+            .when(ref.rlike("^#[xX]"), from_code(F.conv(digits, 16, 10).cast("long")))
+            .when(ref.startswith("#"), from_code(digits.try_cast("long")))
             .otherwise(F.try_element_at(table, ref))
         )
         plain = F.concat(F.lit("&"), piece)
@@ -91,11 +94,19 @@ def title_v2(html: Column | str, url: Column | str) -> Column:
 
 
 def drop_noise(html: Column | str) -> Column:
-    """Comments, scripts, styles, media and other elements without content, in one pass."""
-    paired, void = "|".join(NOISE_PAIRED), "|".join(NOISE_VOID)
-    return F.regexp_replace(
-        as_col(html),
-        rf"(?is)<!--.*?-->|<({paired})\b{ATTRS}>.*?</\1\s*>|</?(?:{void}|{paired})\b{ATTRS}>", "")
+    """Comments, scripts, styles, media and other elements without content; nested objects to their own end."""
+    void, end = "|".join(NOISE_VOID), r"(?![\w\-])"
+
+    def cut(text: Column, paired: list[str]) -> Column:
+        names = "|".join(paired)
+        return F.regexp_replace(text, rf"(?is)<!--.*?-->|<({names}){end}{ATTRS}>.*?</\1\s*>|</?(?:{void}|{names}){end}{ATTRS}>", "")
+
+    def nested(text: Column) -> Column:
+        # an object that is never closed loses its tag only
+        balanced = F.regexp_count(text, F.lit(rf"(?is)<object{end}")) == F.regexp_count(text, F.lit(r"(?is)</object\s*>"))
+        return F.when(balanced, drop_elements(text, "object")).otherwise(cut(text, ["object"]))
+
+    return only_if(cut(as_col(html), [n for n in NOISE_PAIRED if n != "object"]), lambda t: t.rlike(rf"(?i)</?object{end}"), nested)
 
 
 def drop_comments(html: Column | str) -> Column:

@@ -22,11 +22,11 @@ ZERO_WIDTH_MOJIBAKE = "\u00e2\u20ac\u2039"
 NO_BREAK_SPACE = "\u00a0"
 
 # Leftover tags taken out of finished Markdown.
-LEFTOVER_TAGS = (
-    "div span font section article header footer aside nav figure figcaption details summary button"
-    " form input label textarea select option iframe canvas map area audio video source track embed"
-    " object param"
-).split()
+LEFTOVER_TAGS = [
+    "div", "span", "font", "section", "article", "header", "footer", "aside", "nav", "figure", "figcaption", "details",
+    "summary", "button", "form", "input", "label", "textarea", "select", "option", "iframe", "canvas", "map", "area", "audio",
+    "video", "source", "track", "embed", "object", "param",
+]
 # Signs of a decorative image.
 DECORATIVE = ["spacer", "pixel", "icon"]
 DECORATIVE_MAX_SRC = 10

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from inkweave.functions import as_col, strip_space
 from inkweave.functions import urls
@@ -51,17 +47,10 @@ def joined_regexes(excludes: Column | str) -> Column:
     return F.when(given(excludes), F.array_join(as_col(excludes), "\n"))
 
 
-@F.pandas_udf(T.BooleanType())
-def patterns_compile(patterns: pd.Series) -> pd.Series:
-    """Checked once per job row, so a bad pattern fails its job and not the whole query."""
-    def good(values) -> bool:
-        try:
-            for value in ([] if values is None else values):
-                re.compile(value.replace("(?<", "(?P<").replace("(?P<=", "(?<=").replace("(?P<!", "(?<!"))
-        except re.error:
-            return False
-        return True
-    return patterns.map(good)
+def patterns_compile(patterns: Column | str) -> Column:
+    """Whether the engine's own dialect takes every pattern, so a bad one fails its job and not the whole query."""
+    compiled = lambda p: F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), p).isNotNull()
+    return F.coalesce(F.forall(as_col(patterns), lambda p: p.isNotNull() & compiled(p)), F.lit(True))
 
 
 def seed_prefixes_v2(seed_url: Column | str, includes: Column | str) -> Column:

@@ -11,17 +11,17 @@ import mimetypes
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from inkweave.functions import as_col, blank_to_null, let
+from inkweave.functions import as_col, blank_to_null, let, only_if
 
 _SPLIT = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 _HOST = r"(?s)^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^:/?#]*)"
 
 # Extensions the command-line profile takes as non-HTML.
-NON_HTML_EXTENSIONS = (
-    ".zip .pdf .tar .bz2 .gz .rar .7z .png .jpg .jpeg .gif .svg .webp .bmp .ico .mp3 .mp4 .avi"
-    " .mov .ogg .webm .exe .msi .dmg .deb .rpm .whl .txt .csv .json .xml .yaml .yml .css .js"
-    " .doc .docx .xls .xlsx .ppt .pptx .odt"
-).split()
+NON_HTML_EXTENSIONS = [
+    ".zip", ".pdf", ".tar", ".bz2", ".gz", ".rar", ".7z", ".png", ".jpg", ".jpeg", ".gif", ".svg", ".webp", ".bmp", ".ico",
+    ".mp3", ".mp4", ".avi", ".mov", ".ogg", ".webm", ".exe", ".msi", ".dmg", ".deb", ".rpm", ".whl", ".txt", ".csv", ".json",
+    ".xml", ".yaml", ".yml", ".css", ".js", ".doc", ".docx", ".xls", ".xlsx", ".ppt", ".pptx", ".odt",
+]
 # Extensions and content types the job profile decides on.
 HTML_EXTENSIONS = ["", ".html", ".htm", ".asp", ".aspx", ".php", ".jsp"]
 NON_HTML_TYPES = [
@@ -93,9 +93,15 @@ def _normal_path(base_path: Column, href_path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(joined, r"^$", "/"), r"^([^/])", "/$1")
 
 
+def clean_href(href: Column) -> Column:
+    """Line ends and tabs go, as do blanks and control characters at both ends."""
+    inner = only_if(href, lambda h: h.rlike(r"[\t\n\r]"), lambda h: F.regexp_replace(h, r"[\t\n\r]", ""))
+    return only_if(inner, lambda h: h.rlike(r"^[\x00-\x20]|[\x00-\x20]$"), lambda h: F.regexp_replace(h, r"^[\x00-\x20]+|[\x00-\x20]+$", ""))
+
+
 def join(base: Column | str, href: Column | str) -> Column:
     """Resolve a reference against its page, as browsers and RFC 3986 do."""
-    base, href = as_col(base), as_col(href)
+    base, href = as_col(base), clean_href(as_col(href))
 
     def resolved(pair: Column) -> Column:
         b, h = pair["b"], pair["h"]

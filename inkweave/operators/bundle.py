@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from inkweave.functions import markdown as M
 from inkweave.functions import urls
 from inkweave.functions.fetching import expires_at
-from inkweave.operators.jobs import OUTPUT_FORMATS
+from inkweave.operators.jobs import with_status
 from inkweave.operators.ordered import last_occurrence
 
 # Names inside a bundle.
@@ -76,26 +76,23 @@ def depth_counts(visits: DataFrame) -> DataFrame:
 
 
 def summary(jobs: DataFrame, counts: DataFrame, finished: Column) -> DataFrame:
-    """One result row per job. ``finished`` is the end time, given so that results repeat."""
+    """One result row per job. ``finished`` is the end time, given so that results repeat.
+
+    A job that was refused, or whose bundle would be empty, is a FAILURE with its reason.
+    """
+    refused = jobs if "error" in jobs.columns else with_status(jobs)
     n = F.coalesce("n_crawled", F.lit(0))
     fetched = F.coalesce("n_fetched", F.lit(0))
     artifact = F.when(F.col("output_format") == "single_md", F.lit(ALL_DOCS)).otherwise(urls.export_name(finished))
     key = urls.object_key("job_id", artifact)
-    known = F.col("output_format").isin(OUTPUT_FORMATS)
-    has_host = urls.host("seed_url").isNotNull()
-    error = (
-        F.when(~has_host, "Invalid URL")
-        .when(~known, "Invalid output_format")
-        .when((n == 0) & (F.col("output_format") == "single_md"), "all_docs.md missing for single_md export")
-    )
-    status = F.when(n == 0, F.concat(
-        F.lit("Completed. No pages were crawled or matched criteria. Total pages fetched: "),
-        fetched.cast("string"), F.lit("."))).otherwise(F.concat(
-            F.lit("Completed. Output: "), F.col("output_format"), F.lit(". Artifact: "), key,
-            F.lit(". Pages crawled: "), n.cast("string"), F.lit(". Total fetched: "), fetched.cast("string"), F.lit(".")))
+    empty = F.when(F.col("output_format") == "single_md", "all_docs.md missing for single_md export").otherwise("ZIP creation failed")
+    error = F.coalesce(F.col("error"), F.when(n == 0, empty))
+    status = F.concat(
+        F.lit("Completed. Output: "), F.col("output_format"), F.lit(". Artifact: "), key,
+        F.lit(". Pages crawled: "), n.cast("string"), F.lit(". Total fetched: "), fetched.cast("string"), F.lit("."))
     suffix = F.when(F.coalesce("strict_limit", F.lit(False)), F.concat(
         F.lit(" (Strict page limit: "), F.col("max_pages").cast("string"), F.lit(")"))).otherwise("")
-    return jobs.join(counts, "job_id", "left").select(
+    return refused.join(counts, "job_id", "left").select(
         "job_id", F.col("seed_url").alias("site_url"),
         F.when(error.isNull(), "SUCCESS").otherwise("FAILURE").alias("state"),
         F.when(error.isNull(), F.concat(status, suffix)).alias("status"), error.alias("error"),

@@ -7,7 +7,6 @@ import uuid
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from inkweave.operators.joins import BROADCAST_ROWS
 from inkweave.operators.ordered import numbered_by_range, position_slot, running
 from inkweave.session import shared_dir, stage, width
 
@@ -25,10 +24,9 @@ def bucketed(df: DataFrame, *keys: str, buckets: int | None = None) -> DataFrame
     return spark.table(name)
 
 
-def _expand(front: DataFrame, edges: DataFrame, rows: int) -> DataFrame:
+def _expand(front: DataFrame, edges: DataFrame) -> DataFrame:
     """Targets of the front, each with its earliest finder."""
     near = front.select("job_id", F.col("url").alias("src"), F.col("queue_pos").alias("parent_pos"))
-    near = F.broadcast(near) if rows <= BROADCAST_ROWS else near
     return edges.join(near, ["job_id", "src"]).groupBy("job_id", F.col("dst").alias("url")).agg(
         F.min(F.struct("parent_pos", "pos")).alias("found"))
 
@@ -76,7 +74,7 @@ def crawl(edges: DataFrame, captured: DataFrame, seeds: DataFrame, max_depth: in
         depth += 1
         before = level.groupBy("job_id").agg(
             F.max("max_pages").alias("max_pages"), F.max("queue_pos").alias("seen"), F.max("done").alias("done"))
-        found = _expand(level.where("gives_links"), graph, rows).join(
+        found = _expand(level.where("gives_links"), graph).join(
             visited.select("job_id", "url"), ["job_id", "url"], "left_anti")
         level, rows = settle(place(found.select("job_id", "url", "found.parent_pos", "found.pos"), before, depth))
         visited = visited.unionByName(level)
@@ -103,7 +101,6 @@ def reachable(edges: DataFrame, nodes: DataFrame, seeds: DataFrame) -> DataFrame
     while rows:
         depth += 1
         near = level.select("job_id", F.col("url").alias("src"))
-        near = F.broadcast(near) if rows <= BROADCAST_ROWS else near
         found = graph.join(near, ["job_id", "src"]).select("job_id", F.col("dst").alias("url")).distinct()
         level, rows = settle(found.join(visited.select("job_id", "url"), ["job_id", "url"], "left_anti").withColumn(
             "depth", F.lit(depth)))

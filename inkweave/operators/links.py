@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from inkweave.functions import as_col, let, scope, strip_space, urls
 from inkweave.functions.html import ATTRS, attribute, decode_entities
-from inkweave.operators.joins import join_checked
+from inkweave.operators.joins import salted_join
 from inkweave.operators.ordered import first_occurrence
 
 _LINK = rf"(?is)<a(?![\w\-])({ATTRS})>"
@@ -17,7 +17,7 @@ _NAME = r"^</?([A-Za-z][A-Za-z0-9]*)"
 
 def _visible(html: Column | str) -> Column:
     """Text a parser sees as tags: comments, scripts and styles off."""
-    return F.regexp_replace(as_col(html), rf"(?is)<!--.*?-->|<(script|style)\b{ATTRS}>.*?</\1\s*>", "")
+    return F.regexp_replace(as_col(html), rf"(?is)<!--.*?-->|<(script|style)(?![\w\-]){ATTRS}>.*?</\1\s*>", "")
 
 
 def _href(tag_inside: Column) -> Column:
@@ -125,7 +125,7 @@ def job_edges(links: DataFrame, jobs: DataFrame, profile: str = "v2") -> DataFra
     """
     targets = resolve(links, profile).select(
         urls.host("dst").alias("host"), F.col("url").alias("src"), urls.strip_fragment("dst").alias("dst"), "pos")
-    joined = join_checked(targets, jobs.select(
+    joined = salted_join(targets, jobs.select(
         "job_id", "host", "seed_prefix", "seed_prefixes", "include_prefixes", "exclude_regexes"),
         ["host"], spread=F.col("src"))
     if profile == "v1":

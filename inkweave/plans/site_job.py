@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from inkweave.functions import urls
 from inkweave.operators import bundle, content, graph, links, toc
 from inkweave.operators.jobs import with_scope, with_status
-from inkweave.operators.joins import BROADCAST_ROWS
-from inkweave.operators.ordered import first_occurrence
+from inkweave.operators.ordered import first_occurrence, last_occurrence
 from inkweave.session import stage
 from inkweave.sources.readers import captured_pages
 from inkweave.sources import sinks
@@ -39,10 +38,10 @@ class Corpus:
 
 
 def _captured(pages: DataFrame, fetch_log: DataFrame | None) -> DataFrame:
-    """One captured page per address (page_id, url, outcome); no page body in it."""
+    """One captured page per address (page_id, url, outcome): a good one before others, the latest among equals."""
     known = captured_pages(pages, fetch_log)
-    return first_occurrence(
-        known.select("page_id", urls.strip_fragment("url").alias("url"), "outcome"), ["url"], ["page_id"])
+    named = known.select("page_id", urls.strip_fragment("url").alias("url"), "outcome", (F.col("outcome") == "ok").alias("good"))
+    return last_occurrence(named, ["url"], ["good", "page_id"]).drop("good")
 
 
 def _addressed(pages: DataFrame, known: DataFrame) -> DataFrame:
@@ -53,9 +52,7 @@ def _addressed(pages: DataFrame, known: DataFrame) -> DataFrame:
 
 def _converted(pages: DataFrame, wanted: DataFrame, profile: str) -> DataFrame:
     """(page_id, title, md) of the wanted pages, each converted once however many jobs share it."""
-    ids = wanted.select("page_id").distinct()
-    few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return content.to_markdown(pages.join(F.broadcast(ids) if few else ids, "page_id", "left_semi"), profile)
+    return content.to_markdown(pages.join(wanted.select("page_id").distinct(), "page_id", "left_semi"), profile)
 
 
 def run_v2(pages: DataFrame, jobs: DataFrame, finished: Column, generated: Column,
@@ -75,13 +72,14 @@ def run_v2(pages: DataFrame, jobs: DataFrame, finished: Column, generated: Colum
     files = bundle.page_files(job_pages, generated)
     parts = toc.stitched_v2(job_pages)
     return Corpus(visits, job_pages, files, parts, bundle.manifest(files, parts),
-                  bundle.summary(jobs, bundle.crawl_counts(visits), finished))
+                  bundle.summary(checked, bundle.crawl_counts(visits), finished))
 
 
 def run_v1(pages: DataFrame, jobs: DataFrame, finished: Column, generated: Column,
            fetch_log: DataFrame | None = None) -> Corpus:
     """Two passes: discover within the limit, then save reachable pages in address order."""
-    valid = with_scope(with_status(jobs).where(F.col("error").isNull()).drop("error"))
+    checked = with_status(jobs)
+    valid = with_scope(checked.where(F.col("error").isNull()).drop("error"))
     known = stage(_captured(pages, fetch_log))
     good = _addressed(pages, known)
     edges = stage(links.job_edges(links.extract_links(good), valid, "v1"))
@@ -111,4 +109,4 @@ def run_v1(pages: DataFrame, jobs: DataFrame, finished: Column, generated: Colum
     parts = toc.stitched_v1(ordered)
     counts = bundle.crawl_counts(visits).drop("n_crawled").join(
         job_pages.groupBy("job_id").agg(F.count("*").alias("n_crawled")), "job_id", "left")
-    return Corpus(visits, job_pages, files, parts, bundle.manifest(files, parts), bundle.summary(jobs, counts, finished))
+    return Corpus(visits, job_pages, files, parts, bundle.manifest(files, parts), bundle.summary(checked, counts, finished))

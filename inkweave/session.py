@@ -49,8 +49,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def width(spark: SparkSession) -> int:
-    """Partitions for a written cut: the shuffle setting, but no more than a few per core."""
-    return min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    """Partitions for a written cut where the caller names no number: the session's shuffle setting."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def stage(df: DataFrame) -> DataFrame:
