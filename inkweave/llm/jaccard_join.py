@@ -29,7 +29,9 @@ from inkweave.session import stage
 
 NGRAM, PERCENT = 5, 80
 #: Sets up to which a token is rare and makes a signature by itself.
-RARE = 32
+RARE = 64
+#: Tokens of a cluster of candidates that one task searches; larger clusters are searched in distributed rounds.
+CLUSTER_TOKENS = 6_000_000
 #: Bits of the fixed-size filter that spares the join most sets (1 MB whatever the data).
 FILTER_BITS = 1 << 23
 
@@ -41,7 +43,7 @@ def need(n: np.ndarray, percent: int) -> np.ndarray:
 
 def parts(n: int) -> list[int]:
     """Numbers of parts for the sizes that a set of n can be linked to; linked sets have one in common."""
-    return sorted({max(1, (1 << max(int(x), 1).bit_length() - 1) // 16) for x in (n, n * 5 // 4)})
+    return sorted({max(1, (1 << max(int(x), 1).bit_length() - 1) // 4) for x in (n, n * 5 // 4)})
 
 
 def token_sets(text: pa.Array, ngram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -243,7 +245,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = NGRAM, percent: int = PERCENT, rare: int = RARE) -> DataFrame:
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = NGRAM, percent: int = PERCENT, rare: int = RARE, cluster_tokens: int = CLUSTER_TOKENS) -> DataFrame:
     """``id_col``, n_shingles, component_id of every row.
 
     A row's tokens are its distinct ``ngram``-word shingles (A-Z lower-cased); with fewer words
@@ -252,9 +254,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram:
     least id that links reach, null ids apart (null if there is no other). Repeated rows have equal
     sets and so one component; other columns are ignored; an empty table gives an empty result.
 
-    Signatures that many nodes share never make all pairs: each round compares the nodes of a
-    signature with one of them and components grow, until the pairs of different components are
-    few (no more than a few for each row of the signatures) or no round links any more.
+    Signatures that many nodes share never make all pairs. Nodes that signatures connect are a
+    cluster; one task searches it breadth first, each set against those not reached yet. A cluster
+    of more than ``cluster_tokens`` tokens is searched in rounds over the whole cluster instead.
     """
     named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     found = stage(_screened(named, ngram, percent, buckets_for(named)))
@@ -267,8 +269,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram:
     held = each.join(often, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("held"))
     sets_held = held.join(sets.select("node", "n"), "node").where(F.size("held") * 100 >= F.col("n") * percent)
     sigs = stage(_signatures(sets_held, percent, rare))
-    links = _links(sigs, sets, percent)
-    label = components(links)
+    label = components(_clustered(sigs, sets, percent, cluster_tokens))
     nodes = rows.where(F.col("n") > 0).groupBy("node").agg(F.min("id").alias("least"))
     tagged = nodes.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = tagged.groupBy("label").agg(F.min("least").alias("component_id"))
@@ -277,6 +278,61 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram:
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", F.when(F.col("n") == 0, F.col("id"))).alias("component_id"))
 
 
+def _reached(flat: np.ndarray, sizes: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """(first set, set) of every set that links reach from an earlier first one; sets are given by their tokens, one after another."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    _, token, times = np.unique(flat, return_inverse=True, return_counts=True)
+    keep = times[token] > 1
+    owner, token = owner[keep], token[keep]
+    bounds = np.searchsorted(owner, np.arange(len(sizes) + 1))
+    order = np.argsort(token, kind="stable")
+    holders, starts = owner[order], np.searchsorted(token[order], np.arange(len(times) + 1))
+    open_ = np.ones(len(sizes), bool)
+    indexed, out = len(sizes), []
+    for first in range(len(sizes)):
+        if not open_[first]:
+            continue
+        open_[first] = False
+        queue = [first]
+        while queue:
+            x = queue.pop()
+            left = int(open_.sum())
+            if left < indexed // 2:  # the index keeps only sets that are not reached yet
+                stay = open_[holders]
+                starts = np.concatenate([[0], np.cumsum(stay)])[starts]
+                holders, indexed = holders[stay], left
+            mine = token[bounds[x] : bounds[x + 1]]
+            count = starts[mine + 1] - starts[mine]
+            ends = np.cumsum(count)
+            at = np.repeat(starts[mine] - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)
+            same = np.bincount(holders[at], minlength=len(sizes))
+            linked = np.flatnonzero(open_ & (same > 0) & (100 * same >= percent * (sizes[x] + sizes - same)))
+            open_[linked] = False
+            queue += linked.tolist()
+            out += [(first, int(y)) for y in linked]
+    return out
+
+
+def _clustered(sigs: DataFrame, sets: DataFrame, percent: int, cluster_tokens: int) -> DataFrame:
+    """Pairs (a, b) that have the components of the join."""
+    heads = sigs.groupBy("sig").agg(F.min("node").alias("a"), F.count("*").alias("k")).where("k > 1").select("sig", "a")
+    edges = sigs.join(heads, "sig").where(F.col("a") != F.col("node")).select("a", F.col("node").alias("b")).distinct()
+    cluster = stage(components(edges).join(sets.select("node", "n"), "node"))
+    large = cluster.groupBy("label").agg(F.sum("n").alias("tokens")).where(F.col("tokens") > cluster_tokens).select("label")
+    small = cluster.join(large, "label", "left_anti").join(sets.select("node", "tokens"), "node").select("label", "node", "tokens")
+
+    def search(table: pa.Table) -> pa.Table:
+        lists = table["tokens"].combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        nodes = table["node"].to_numpy()
+        pairs = np.array(_reached(lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64), percent), np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(nodes[pairs[:, 0]]), "b": pa.array(nodes[pairs[:, 1]])})
+
+    found = stage(small.groupBy("label").applyInArrow(search, "a long, b long"))
+    hard = stage(sigs.join(cluster.join(large, "label", "left_semi").select("node"), "node", "left_semi"))
+    return found if hard.isEmpty() else found.unionByName(_links(hard, sets, percent))
+
+
 def _links(sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Verified pairs that make the components of the join."""
     spark = sigs.sparkSession

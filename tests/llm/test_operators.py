@@ -57,8 +57,8 @@ def test_sentencepiece_decodes_any_ids():
     assert got == [library.decode(row) for row in rows]
 
 
-@pytest.mark.parametrize("rare", [3, 32])
-def test_jaccard_join(spark, rare):
+@pytest.mark.parametrize(("rare", "cluster"), [(3, 6_000_000), (32, 6_000_000), (3, 2000)])
+def test_jaccard_join(spark, rare, cluster):
     r = random.Random(3)
     base, hot, pool = letters(r, 200), letters(r, 60), [letters(r, 30) for _ in range(8)]
     rows = []
@@ -72,7 +72,7 @@ def test_jaccard_join(spark, rare):
     rows += [" ".join(base[: r.choice([1, 2, 4, 5, 6, 8, 10, 12, 30])]) for _ in range(30)] + ["A b", "a B", *ODD]
     r.shuffle(rows)
     named = [(i, t) for i, t in enumerate(rows)]
-    got = {x[0]: (x[1], x[2]) for x in jaccard_join.join(table(spark, rows), rare=rare).collect()}
+    got = {x[0]: (x[1], x[2]) for x in jaccard_join.join(table(spark, rows), rare=rare, cluster_tokens=cluster).collect()}
     assert got == {i: x for (i, _), x in zip(named, plain.components(named), strict=True)}
 
 
