@@ -6,12 +6,14 @@ progress log a user is a job.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from inkweave.catalog.common import load, now
 from inkweave.functions import fetching
 from inkweave.operators import politeness, progress
-from inkweave.session import prepare
+from inkweave.session import prepare, shared_dir
 from inkweave.sources.readers import captured_pages
 from inkweave.streaming import live
 
@@ -223,8 +225,11 @@ def expired_count(spark, folder):
 
 
 def retention_stream(spark, folder):
-    stream = progress.expired(as_artifacts(_event_stream(spark, folder)), now())
-    return live.drain(stream.select("key", (F.unix_seconds(now()) - F.unix_seconds("modified")).alias("age")), "append")
+    """Sweeps of one listing at two times, the second one twice: each expired key once."""
+    listing, removed = as_artifacts(load(spark, folder, "events")), f"{shared_dir(spark)}/removed-{uuid.uuid4().hex}"
+    for at in (now() - F.expr("INTERVAL 20 MINUTES"), now(), now()):
+        live.sweep(listing, at, removed)
+    return listing.join(spark.read.parquet(removed), "key").select("key", (F.unix_seconds(now()) - F.unix_seconds("modified")).alias("age"))
 
 
 ENTRIES = {

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
@@ -33,14 +34,23 @@ def adaptive_delay(log: DataFrame) -> DataFrame:
         statefulProcessor=AdaptiveDelay(), outputStructType=DELAY_SCHEMA, outputMode="Update", timeMode="None")
 
 
-def retention(artifacts: DataFrame, now: Column, removed_path: str, checkpoint: str,
-              every: str | None = "1 hour") -> StreamingQuery:
-    """Append the keys of expired artifacts to ``removed_path``, hourly or once with ``every=None``."""
-    def sweep(batch: DataFrame, batch_id: int) -> None:
-        expired(batch, now).select("key").write.mode("append").parquet(removed_path)
+def sweep(listing: DataFrame, now: Column, removed_path: str) -> None:
+    """Append the keys that are expired at ``now`` and were not removed before; run again it adds nothing."""
+    spark = listing.sparkSession
+    kinds = f"key {listing.schema['key'].dataType.simpleString()}"
+    spark.createDataFrame([], kinds).write.mode("append").parquet(removed_path)
+    removed = spark.read.schema(kinds).parquet(removed_path)
+    expired(listing, now).select("key").distinct().join(removed, "key", "left_anti").write.mode("append").parquet(removed_path)
 
-    writer = artifacts.writeStream.foreachBatch(sweep).option("checkpointLocation", checkpoint)
-    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+def retention(spark: SparkSession, listing: Callable[[], DataFrame], now: Callable[[], Column], removed_path: str, checkpoint: str, every: str = "1 hour") -> StreamingQuery:
+    """Sweep the whole listing, as it is then, at every tick of a clock.
+
+    An artifact that is fresh at one tick is looked at again at the next. A retried tick adds no key.
+    """
+    clock = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return (clock.writeStream.foreachBatch(lambda batch, batch_id: sweep(listing(), now(), removed_path))
+            .option("checkpointLocation", checkpoint).trigger(processingTime=every).start())
 
 
 def drain(stream: DataFrame, mode: str = "update") -> DataFrame:

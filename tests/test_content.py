@@ -96,3 +96,10 @@ def test_deep_and_long_pages_do_not_overflow(spark):
     long = "<article>" + "<p>" + "word <b>b</b> " * 20000 + "</p></article>"
     got = {r.page_id: r.md for r in C.to_markdown(pages(spark, f"<body>{deep}</body>", long)).collect()}
     assert got[0] == "x\n" and got[1].count("**b**") == 20000
+
+
+def test_noise_keeps_custom_elements_and_drops_nested_objects(spark):
+    html = "<video-player>keep1</video-player><p>keep2</p><video>z</video><OBJECT a='1'><object>x</object>y</OBJECT><p>keep3</p>"
+    assert evaluate(spark, html, H.drop_noise) == "<video-player>keep1</video-player><p>keep2</p><p>keep3</p>"
+    assert evaluate(spark, "<object>a<p>b", H.drop_noise) == "a<p>b"
+    assert evaluate(spark, "&#x000000E9;&#000000233;&#x110000;&#99999999999;", H.decode_entities) == "éé&#x110000;&#99999999999;"

@@ -130,3 +130,20 @@ def test_collisions(spark):
     pages = spark.createDataFrame([("j", 1, "https://h/a?x=1"), ("j", 2, "https://h/a?x=2"), ("j", 3, "https://h/b")],
                                   "job_id string, pos long, url string")
     assert [(r.filename, r.n_urls) for r in bundle.filename_collisions(pages).collect()] == [("a.md", 2)]
+
+
+def test_best_capture_of_an_address_wins(spark):
+    pages = spark.createDataFrame([(1, "https://h/a#x", ""), (2, "https://h/a", "<p>good</p>"), (3, "https://h/a#y", None), (4, "https://h/b", "<p>1</p>"), (5, "https://h/b#z", "<p>2</p>")], "page_id long, url string, html string")
+    got = {r.url: (r.page_id, r.outcome) for r in site_job._captured(pages, None).collect()}
+    assert got == {"https://h/a": (2, "ok"), "https://h/b": (5, "ok")}
+
+
+def test_refused_and_empty_jobs_fail(spark):
+    from inkweave.operators import bundle
+    rows = [("a", "https://h/", ["("], "zip"), ("b", "https://h/", [], "zip"), ("c", "https://h/", [], "single_md"), ("d", "/x", [], "zip"), ("e", "https://h/", [], "pdf"), ("f", "https://h/", [], "zip")]
+    jobs = spark.createDataFrame(rows, "job_id string, seed_url string, exclude_regexes array<string>, output_format string").withColumns(
+        {"include_prefixes": F.array().cast("array<string>"), "max_pages": F.lit(5), "strict_limit": F.lit(False)})
+    counts = spark.createDataFrame([("f", 2, 3), ("a", 0, 0)], "job_id string, n_crawled long, n_fetched long")
+    got = {r.job_id: (r.state, r.error, r.object_key is None) for r in bundle.summary(jobs, counts, F.lit("2024-01-01").cast("timestamp")).collect()}
+    assert got == {"a": ("FAILURE", "Invalid exclude pattern", True), "b": ("FAILURE", "ZIP creation failed", True), "c": ("FAILURE", "all_docs.md missing for single_md export", True),
+                   "d": ("FAILURE", "Invalid URL", True), "e": ("FAILURE", "Invalid output_format", True), "f": ("SUCCESS", None, False)}

@@ -63,3 +63,10 @@ def test_normalise_round_trip(spark):
 
 def test_named_groups_are_translated(check):
     check("p string, want string", [(r"(?P<a>x)(?P=a)", r"(?<a>x)\k<a>")], scope.java_pattern(F.col("p")))
+
+
+def test_patterns_of_either_dialect_fail_their_job_alone(spark):
+    from inkweave.functions import scope
+    rows = [(1, ["a+", r"\\.html$"], True), (2, ["/{id}/"], False), (3, ["(open"], False), (4, ["(?P<x>a)"], False), (5, None, True), (6, [], True), (7, ["[a&&b]", "a*+"], True)]
+    got = spark.createDataFrame(rows, "id int, p array<string>, want boolean").select("id", "want", scope.patterns_compile("p").alias("got")).collect()
+    assert all(r.want == r.got for r in got), got

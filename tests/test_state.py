@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -111,9 +112,19 @@ def test_streams_over_many_batches_match_batch(spark, tmp_path):
 
 def test_periodic_retention(spark, tmp_path):
     rows = [("old", BASE, None), ("new", BASE + dt.timedelta(hours=2), None)]
-    schema = "key string, modified timestamp, expiration timestamp"
-    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "list"))
-    query = live.retention(spark.readStream.schema(schema).parquet(str(tmp_path / "list")),
-                           F.lit("2024-01-01 02:30:00").cast("timestamp"), str(tmp_path / "gone"), str(tmp_path / "check"), every=None)
-    query.awaitTermination()
-    assert [r.key for r in spark.read.parquet(str(tmp_path / "gone")).collect()] == ["old"]
+    listing = spark.createDataFrame(rows, "key string, modified timestamp, expiration timestamp")
+    gone, keys = str(tmp_path / "gone"), lambda: sorted(r.key for r in spark.read.parquet(str(tmp_path / "gone")).collect())
+    first, later = (F.lit(f"2024-01-01 {t}:30:00").cast("timestamp") for t in ("02", "09"))
+    live.sweep(listing, first, gone)
+    assert keys() == ["old"]
+    live.sweep(listing, first, gone)
+    assert keys() == ["old"]
+    query = live.retention(spark, lambda: listing, lambda: later, gone, str(tmp_path / "check"), every="1 second")
+    try:
+        for _ in range(60):
+            if keys() == ["new", "old"]:
+                break
+            time.sleep(1)
+    finally:
+        query.stop()
+    assert keys() == ["new", "old"]

@@ -95,3 +95,9 @@ def test_names_of_artifacts(check):
         (None, "", "single_md", "docs_export_J.md")],
         urls.attachment_name("d", "k", F.lit("J"), "f"))
     check("d string, k string, want string", [("/cdn.x/", "/j/a.md", "https://cdn.x/j/a.md")], urls.public_url("d", "k"))
+
+
+def test_hrefs_lose_outer_blanks_and_line_ends(check):
+    check("b string, h string, want string", [
+        ("https://h/p/", " /x", "https://h/x"), ("https://h/p/", "\n/y\n", "https://h/y"), ("https://h/p/", "a\tb ", "https://h/p/ab"),
+        ("https://h/p/", "/a b", "https://h/a b")], urls.join("b", "h"))
