@@ -97,15 +97,55 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
+SQL_SHINGLES = r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM texts WHERE len(w) >= 5)
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM texts WHERE len(w) BETWEEN 1 AND 4
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)
+), both_ways AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, b FROM reach JOIN both_ways ON a = r
+)
+SELECT reach.doc_id, coalesce(min(n), 0) AS n_shingles, min(r) AS component_id FROM reach LEFT JOIN sizes USING (doc_id) GROUP BY reach.doc_id
+"""
+
+SQL_WINDOWS = r"""
+WITH texts AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), words AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM texts
+), windows AS (
+  SELECT doc_id, pos, md5(array_to_string(w[pos:pos + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS pos FROM texts WHERE len(w) >= 50)
+), firsts AS (
+  SELECT h, min(doc_id) AS f FROM windows GROUP BY h
+), again AS (
+  SELECT doc_id, pos FROM windows JOIN firsts USING (h) WHERE f < doc_id
+), marked AS (
+  SELECT words.doc_id, word, words.pos, count(again.pos) OVER (PARTITION BY words.doc_id ORDER BY words.pos ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) > 0 AS gone
+  FROM words LEFT JOIN again ON again.doc_id = words.doc_id AND again.pos = words.pos
+), kept AS (
+  SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE gone) AS g, string_agg(word, ' ' ORDER BY pos) FILTER (WHERE NOT gone) AS t FROM marked GROUP BY doc_id
+)
+SELECT documents.doc_id, coalesce(n, 0) AS n_words, coalesce(g, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM documents LEFT JOIN kept USING (doc_id)
+"""
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_sentencepiece": (op1_sentencepiece, None),
-    "op2_jaccard_join": (op2_jaccard_join, None),
+    "op2_jaccard_join": (op2_jaccard_join, SQL_SHINGLES),
     "op3_line_dedup": (op3_line_dedup, SQL_LINES),
     "op5_language": (op5_language, None),
     "op8_licenses": (op8_licenses, None),
     "op6_quality": (op6_quality, None),
     "op7_secrets": (op7_secrets, None),
-    "op9_substring_dedup": (op9_substring_dedup, None),
+    "op9_substring_dedup": (op9_substring_dedup, SQL_WINDOWS),
     "op10_decontamination": (op10_decontamination, None),
     "op4_sharding": (op4_sharding, None),
 }
