@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from inkweave.catalog.common import NOW, NOW_ISO, SQL_HOST, SQL_JOBS, SQL_ORIGIN, SQL_PATH, host_jobs, load, now
@@ -9,7 +11,8 @@ from inkweave.catalog.content import sql_article_md, sql_clean
 from inkweave.catalog.documents import SQL_TITLED, titled_pages
 from inkweave.functions import urls
 from inkweave.operators import bundle, content, toc
-from inkweave.session import stage
+from inkweave.session import shared_dir, stage
+from inkweave.sources import readers, sinks
 
 
 def job_pages(spark, folder):
@@ -104,7 +107,37 @@ SELECT job_id, seed_url AS site_url, CASE WHEN error IS NULL THEN 'SUCCESS' ELSE
   error, crawled AS pages_crawled, fetched AS total_pages_fetched, CASE WHEN error IS NULL THEN key END AS object_key, output_format, max_pages,
   CASE WHEN error IS NULL THEN epoch_us(TIMESTAMP '{NOW}' + INTERVAL 1 HOUR) END AS expires_us FROM s"""
 
+def _written_order(spark, folder):
+    """The order list of every host, written as job folders."""
+    path = f"{shared_dir(spark)}/order-{uuid.uuid4().hex}"
+    pages = load(spark, folder, "pages")
+    sinks.write_order(pages.select(urls.host("url").alias("job_id"), F.col("page_id").alias("pos"), "url"), path)
+    return path
+
+
+def order_list_scan(spark, folder):
+    """Order lists written by the sink and read again."""
+    return readers.order_lists(spark, _written_order(spark, folder)).select("job_id", F.col("pos").cast("long").alias("pos"), "url")
+
+
+def artifact_scan(spark, folder):
+    """Listing of the order lists' files: bytes of every job."""
+    listing = readers.artifact_listing(spark, _written_order(spark, folder)).where("key like '%part-%' and modified is not null")
+    return listing.groupBy(F.regexp_extract("key", "job_id=([^/]*)/", 1).alias("job_id")).agg(F.sum("length").alias("n_bytes"))
+
+
+def markdown_scan(spark, folder):
+    """Page files written by the sink and read again."""
+    path = f"{shared_dir(spark)}/pages-{uuid.uuid4().hex}"
+    sinks.write_pages(bundle.last_write_wins(_files(spark, folder)), path)
+    return readers.stored_pages(spark, path).select("job_id", "filename", F.md5("md").alias("md_md5"))
+
+
 ENTRIES = {
+    "order_list_scan": (order_list_scan, f"SELECT {SQL_HOST} AS job_id, row_number() OVER (PARTITION BY {SQL_HOST} ORDER BY page_id) - 1 AS pos, url FROM pages"),
+    "artifact_scan": (artifact_scan, f"SELECT {SQL_HOST} AS job_id, sum(strlen(url) + 1)::BIGINT AS n_bytes FROM pages GROUP BY 1"),
+    "markdown_scan": (markdown_scan, f"""WITH {SQL_PAGES}, kept AS (SELECT *, row_number() OVER (PARTITION BY job_id, filename ORDER BY pos DESC) AS r FROM files)
+        SELECT job_id, filename, md5(content) AS md_md5 FROM kept WHERE r = 1"""),
     "page_files": (page_files, f"WITH {SQL_PAGES} SELECT job_id, pos, filename, flat_name, md5(content) AS content_md5 FROM files"),
     "stitched_v2": (stitched_v2, f"WITH {SQL_PAGES} SELECT job_id, section, pos, md5(text) AS text_md5 FROM parts"),
     "bundle_manifest": (bundle_manifest, SQL_MANIFEST),

@@ -9,7 +9,6 @@ from inkweave.functions import markdown as M
 from inkweave.functions import urls
 from inkweave.functions.fetching import expires_at
 from inkweave.operators.jobs import with_status
-from inkweave.operators.ordered import last_occurrence
 
 # Names inside a bundle.
 DOCS_FOLDER, ALL_DOCS, ORDER_LIST = "docs", "all_docs.md", "order.txt"
@@ -35,8 +34,9 @@ def filename_collisions(pages: DataFrame) -> DataFrame:
 
 
 def last_write_wins(files: DataFrame) -> DataFrame:
-    """One row per file name: the page written last."""
-    return last_occurrence(files, ["job_id", "filename"], ["pos"])
+    """One row per file name: the page written last. The winners are found without the pages' text."""
+    last = files.groupBy("job_id", "filename").agg(F.max("pos").alias("pos"))
+    return files.join(last, ["job_id", "filename", "pos"], "left_semi").select(*files.columns)
 
 
 def manifest(files: DataFrame, parts: DataFrame) -> DataFrame:

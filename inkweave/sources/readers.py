@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,22 +45,38 @@ def requests(spark: SparkSession, path: str, source: str = "job") -> DataFrame:
     return normalise(spark.read.schema(REQUEST_SCHEMA).json(path), source)
 
 
+def _job_of_path() -> Column:
+    """Folder of a file; the sinks name it ``job_id=<escaped id>``."""
+    folder = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
+    stored = F.url_decode(F.url_decode(F.replace(F.regexp_replace(folder, "^job_id=", ""), F.lit("+"), F.lit("%2B"))))
+    return F.when(folder.startswith("job_id="), stored).otherwise(folder)
+
+
 def order_lists(spark: SparkSession, path: str) -> DataFrame:
-    """(job_id, pos, url) of ``<job>/order.txt`` files: a URL per line, blanks dropped.
+    """(job_id, pos, url) of ``<job>/order.txt`` files, or of what ``write_order`` wrote: a URL per line, blanks dropped.
 
-    Line numbers come from the text itself, so one file is one row; a list is far below that bound.
+    Line numbers come from the text itself, so one file is one row; a list of many files is
+    numbered through in the order of their names.
     """
-    files = spark.read.text(path, wholetext=True, pathGlobFilter="order.txt", recursiveFileLookup=True).select(
-        F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1).alias("job_id"), "value")
-    lines = files.select("job_id", F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("pos", "line"))
-    return lines.select("job_id", "pos", F.trim("line").alias("url")).where(F.col("url") != "")
+    files = spark.read.text(path, wholetext=True, pathGlobFilter="{order.txt,part-*}", recursiveFileLookup=True).select(
+        _job_of_path().alias("job_id"), F.col("_metadata.file_name").alias("file"),
+        F.split(F.regexp_replace("value", r"(\r\n|\r|\n)\z", ""), r"\r\n|\r|\n").alias("lines"))
+    before = F.sum("n").over(Window.partitionBy("job_id").orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
+    starts = files.select("job_id", "file", F.size("lines").alias("n")).withColumn("start", F.coalesce(before, F.lit(0))).drop("n")
+    lines = files.join(starts, ["job_id", "file"]).select("job_id", "start", F.posexplode("lines").alias("pos", "line"))
+    return lines.select("job_id", (F.col("start") + F.col("pos")).cast("int").alias("pos"), F.trim("line").alias("url")).where(F.col("url") != "")
 
 
 def markdown_folder(spark: SparkSession, path: str) -> DataFrame:
     """(job_id, filename, md) of ``<job>/*.md`` files."""
     return spark.read.text(path, wholetext=True, pathGlobFilter="*.md", recursiveFileLookup=True).select(
-        F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1).alias("job_id"),
-        F.col("_metadata.file_name").alias("filename"), F.col("value").alias("md"))
+        _job_of_path().alias("job_id"), F.col("_metadata.file_name").alias("filename"), F.col("value").alias("md"))
+
+
+def stored_pages(spark: SparkSession, path: str) -> DataFrame:
+    """(job_id, filename, md) of what ``write_pages`` wrote."""
+    kinds = "url string, filename string, content string, job_id string"
+    return spark.read.schema(kinds).parquet(path).select("job_id", "filename", F.col("content").alias("md"))
 
 
 def artifact_listing(spark: SparkSession, path: str, expirations: DataFrame | None = None) -> DataFrame:

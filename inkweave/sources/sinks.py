@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def write_pages(files: DataFrame, path: str) -> None:
-    """Page files as a table partitioned by job."""
-    files.select("job_id", "url", "filename", "content").write.mode("overwrite").partitionBy("job_id").parquet(path)
+    """Page files as a table partitioned by job; a large job takes many tasks, a task few jobs."""
+    ranged = files.repartitionByRange("job_id", "filename")
+    ranged.select("job_id", "url", "filename", "content").write.mode("overwrite").partitionBy("job_id").parquet(path)
 
 
 def write_document(parts: DataFrame, path: str, order: list[str], profile: str = "v2") -> None:
@@ -31,4 +32,4 @@ def write_order(ordering: DataFrame, path: str, position: str = "pos") -> None:
 
 
 def write_manifest(manifest: DataFrame, path: str) -> None:
-    manifest.write.mode("overwrite").partitionBy("job_id").parquet(path)
+    manifest.repartitionByRange("job_id", "arcname").write.mode("overwrite").partitionBy("job_id").parquet(path)
