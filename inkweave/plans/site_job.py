@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -44,10 +45,13 @@ def _captured(pages: DataFrame, fetch_log: DataFrame | None) -> DataFrame:
     return last_occurrence(named, ["url"], ["good", "page_id"]).drop("good")
 
 
-def _addressed(pages: DataFrame, known: DataFrame) -> DataFrame:
-    """Well captured pages under the address the walk knows them by."""
-    good = pages.join(known.where("outcome = 'ok'").select("page_id"), "page_id", "left_semi")
-    return good.withColumn("url", urls.strip_fragment("url"))
+def _of_good(pages: DataFrame, known: DataFrame, extract: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``extract`` takes out of the well captured pages, under the address the walk knows them by.
+
+    Rows are taken out in the scan; only they, not the pages' text, meet the list of good pages.
+    """
+    taken = extract(pages.withColumn("url", urls.strip_fragment("url")))
+    return taken.join(known.where("outcome = 'ok'").select("page_id"), "page_id", "left_semi")
 
 
 def _converted(pages: DataFrame, wanted: DataFrame, profile: str) -> DataFrame:
@@ -61,8 +65,7 @@ def run_v2(pages: DataFrame, jobs: DataFrame, finished: Column, generated: Colum
     checked = with_status(jobs)
     valid = with_scope(checked.where(F.col("error").isNull()).drop("error"))
     known = stage(_captured(pages, fetch_log))
-    good = _addressed(pages, known)
-    edges = links.job_edges(links.extract_links(good), valid)
+    edges = links.job_edges(_of_good(pages, known, links.extract_links), valid)
     seeds = valid.select("job_id", urls.strip_fragment("seed_url").alias("url"), "max_pages")
     visits = graph.crawl(edges, known, seeds)
     crawled = visits.where("state = 'crawled'").join(known.select("page_id", "url"), "url")
@@ -81,8 +84,7 @@ def run_v1(pages: DataFrame, jobs: DataFrame, finished: Column, generated: Colum
     checked = with_status(jobs)
     valid = with_scope(checked.where(F.col("error").isNull()).drop("error"))
     known = stage(_captured(pages, fetch_log))
-    good = _addressed(pages, known)
-    edges = stage(links.job_edges(links.extract_links(good), valid, "v1"))
+    edges = stage(links.job_edges(_of_good(pages, known, links.extract_links), valid, "v1"))
     seeds = valid.select("job_id", urls.strip_fragment("seed_url").alias("url"), "max_pages", "strict_limit")
     visits = graph.crawl(edges, known, seeds.drop("strict_limit"))
     found = visits.where("state = 'crawled'")
@@ -95,7 +97,7 @@ def run_v1(pages: DataFrame, jobs: DataFrame, finished: Column, generated: Colum
     job_pages = saved.select("job_id", "page_id", "url", F.col("save_pos").alias("pos")).join(done, "page_id").select(
         "job_id", "pos", "url", "title", "md")
     files = bundle.page_files(job_pages, generated, "v1")
-    nav = links.resolve(links.navigation_links(good, "v1"), "v1").select(
+    nav = links.resolve(_of_good(pages, known, lambda p: links.navigation_links(p, "v1")), "v1").select(
         urls.strip_fragment("url").alias("seed"), urls.strip_fragment("dst").alias("url"), "pos")
     own = nav.join(seeds.select("job_id", F.col("url").alias("seed")), "seed").join(
         edges.select("job_id", F.col("src").alias("seed"), F.col("dst").alias("url")), ["job_id", "seed", "url"], "left_semi")

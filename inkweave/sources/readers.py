@@ -34,9 +34,10 @@ def captured_pages(pages: DataFrame, fetch_log: DataFrame | None = None) -> Data
     body = F.coalesce(F.length("html") > 0, F.lit(False))
     if fetch_log is None:
         return pages.withColumn("outcome", fetch_outcome("url", F.lit(200), F.lit("text/html"), body))
-    joined = pages.join(latest_fetch(fetch_log).drop("ts"), "url", "left")
+    # tested in the scan, so that a plan without ``html`` does not join it
+    joined = pages.withColumn("_body", body).join(latest_fetch(fetch_log).drop("ts"), "url", "left")
     return joined.withColumn("outcome", fetch_outcome(
-        "url", F.coalesce("status", F.lit(200)), F.coalesce("content_type", F.lit("text/html")), body)).select(
+        "url", F.coalesce("status", F.lit(200)), F.coalesce("content_type", F.lit("text/html")), F.col("_body"))).select(
         *pages.columns, "outcome")
 
 
