@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from inkweave.llm.text import mix, steps
 
+#: Bytes of text of a step: each takes some 60 bytes of arrays.
+STEP = 1 << 20
 #: Hash buckets of n-grams.
 BUCKETS = 1 << 15
 #: Expected number of training rows of each language (a documented bound of the fit; prediction covers all rows).
@@ -136,7 +138,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in steps(batches):
+        for batch in steps(batches, STEP):
             buckets, letters = features(batch.column(1))
             of = batch.column(0).to_pylist()
             cuts = np.concatenate([[0], np.cumsum(2 * letters)])
@@ -167,7 +169,7 @@ def predict(docs: DataFrame, codes: Codes, id_col: str = "doc_id", text_col: str
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         names = np.array([*model.languages, "und"], object)
-        for batch in steps(batches):
+        for batch in steps(batches, STEP):
             n = batch.num_rows
             if model.languages:
                 best, score, second = model.predict(batch.column(1))
@@ -192,7 +194,7 @@ def accepted(docs: DataFrame, codes: Codes, text_col: str = "text") -> DataFrame
         for batch in batches:
             named = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows)), batch.column(place)], ["i", "text"])
             keep = np.zeros(batch.num_rows, bool)
-            for part in steps([named]):
+            for part in steps([named], STEP):
                 if shared.value.languages:
                     best, score, _ = shared.value.predict(part.column(1))
                     keep[part.column(0).to_numpy()] = (best >= 0) & (score >= AMBIGUOUS)

@@ -23,7 +23,7 @@ from inkweave.llm.text import STEP, listed, raw, span_hashes, steps
 NONE = np.int32(2**31 - 1)
 SPACE = "▁"
 #: Words kept with their ids in one Python worker; beyond it the memory of words starts anew.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 300_000
 #: Rounds after which a word (a run of thousands of equally ranked pairs) is merged pair by pair.
 ROUNDS = 128
 

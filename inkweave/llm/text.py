@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one step of an Arrow operator works on; a longer text is a step of its own.
-STEP = 4 << 20
+STEP = 2 << 20
 
 _RANDOM = np.random.default_rng(20240229)
 _LETTER = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64)
@@ -48,6 +48,7 @@ def steps(batches: Iterable[pa.RecordBatch], limit: int = STEP) -> Iterator[pa.R
             stop = max(start + 1, int(np.searchsorted(size, before + limit, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+    pa.default_memory_pool().release_unused()  # a worker that waits for other tasks keeps nothing
 
 
 def raw(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
