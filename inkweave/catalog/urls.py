@@ -73,9 +73,13 @@ def is_html_url_v1(spark, folder):
     return _typed(spark, folder).select("page_id", "url", urls.is_html_v1("url").alias("is_html"))
 
 
+# Fixed values, written out again for the check.
+SQL_NON_HTML = """'.zip', '.pdf', '.tar', '.bz2', '.gz', '.rar', '.7z', '.png', '.jpg', '.jpeg', '.gif', '.svg', '.webp', '.bmp', '.ico', '.mp3', '.mp4',
+  '.avi', '.mov', '.ogg', '.webm', '.exe', '.msi', '.dmg', '.deb', '.rpm', '.whl', '.txt', '.csv', '.json', '.xml', '.yaml', '.yml', '.css', '.js',
+  '.doc', '.docx', '.xls', '.xlsx', '.ppt', '.pptx', '.odt'"""
 SQL_HTML_V1 = f"""
 WITH {SQL_TYPED}
-SELECT page_id, url, lower(regexp_extract({SQL_PATH}, '[^/](\\.[^./]*)$', 1)) NOT IN ({', '.join(f"'{e}'" for e in urls.NON_HTML_EXTENSIONS)}) AS is_html
+SELECT page_id, url, lower(regexp_extract({SQL_PATH}, '[^/](\\.[^./]*)$', 1)) NOT IN ({SQL_NON_HTML}) AS is_html
 FROM typed"""
 
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from inkweave.operators.ordered import numbered_by_range, position_slot, running
@@ -14,14 +16,24 @@ FOLD_EVERY = 16
 PARENTS_PER_SLOT = 4096
 
 
-def bucketed(df: DataFrame, *keys: str, buckets: int | None = None) -> DataFrame:
-    """Write a table bucketed by its join keys, so that no round of a walk shuffles it again."""
-    spark = df.sparkSession
-    count = buckets or width(spark)
-    name = f"inkweave_{uuid.uuid4().hex}"
-    (df.write.format("parquet").option("path", f"{shared_dir(spark)}/buckets/{name}")
-     .bucketBy(count, *keys).sortBy(*keys).saveAsTable(name))
-    return spark.table(name)
+@contextmanager
+def bucket_tables(spark: SparkSession) -> Iterator[Callable[..., DataFrame]]:
+    """Gives a function that writes a table bucketed by its join keys, so that no round of a walk shuffles it again.
+
+    The tables, files included, are dropped at the end of the block.
+    """
+    base = f"inkweave_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {base} LOCATION '{shared_dir(spark)}/buckets/{base}'")
+
+    def write(df: DataFrame, *keys: str, buckets: int | None = None) -> DataFrame:
+        name = f"{base}.t{uuid.uuid4().hex}"
+        df.write.format("parquet").bucketBy(buckets or width(spark), *keys).sortBy(*keys).saveAsTable(name)
+        return spark.table(name)
+
+    try:
+        yield write
+    finally:
+        spark.sql(f"DROP DATABASE {base} CASCADE")
 
 
 def _expand(front: DataFrame, edges: DataFrame) -> DataFrame:
@@ -39,12 +51,15 @@ def crawl(edges: DataFrame, captured: DataFrame, seeds: DataFrame, max_depth: in
     once, at its first finder; only ``ok`` pages count against ``max_pages`` and give links; URLs
     behind the limit stay ``queued``. Order inside a depth is finder order, then link order.
     """
-    graph = bucketed(edges, "job_id", "src")
-    outcomes = bucketed(captured.select("url", "outcome"), "url")
+    with bucket_tables(edges.sparkSession) as bucketed:
+        return _crawl(bucketed(edges, "job_id", "src"), bucketed(captured.select("url", "outcome"), "url"), seeds, max_depth)
 
+
+def _crawl(graph: DataFrame, outcomes: DataFrame, seeds: DataFrame, max_depth: int | None) -> DataFrame:
     def place(found: DataFrame, before: DataFrame, depth: int) -> DataFrame:
         """Number the finds behind what each job has seen. Only the level before is needed for that."""
-        known = found.join(outcomes, "url", "left").withColumn("outcome", F.coalesce("outcome", F.lit("failed")))
+        # written once: the running totals read it twice
+        known = stage(found.join(outcomes, "url", "left").withColumn("outcome", F.coalesce("outcome", F.lit("failed"))))
         order = [F.col("parent_pos"), F.col("pos")]
         counted = running(known, ["job_id"], position_slot(F.col("parent_pos"), PARENTS_PER_SLOT), order, sums={
             "rank": F.lit(1).cast("long"), "hits": (F.col("outcome") == "ok").cast("long")}).join(before, "job_id")
@@ -89,7 +104,11 @@ def reachable(edges: DataFrame, nodes: DataFrame, seeds: DataFrame) -> DataFrame
     ``nodes(url)`` are the keys of the graph: neighbours outside of it are not followed.
     """
     inside = edges.join(nodes.select(F.col("url").alias("dst")), "dst", "left_semi").select("job_id", "src", "dst", "pos")
-    graph = bucketed(inside, "job_id", "src")
+    with bucket_tables(edges.sparkSession) as bucketed:
+        return _reach(bucketed(inside, "job_id", "src"), nodes, seeds)
+
+
+def _reach(graph: DataFrame, nodes: DataFrame, seeds: DataFrame) -> DataFrame:
     def settle(level: DataFrame) -> tuple[DataFrame, int]:
         watch = Observation()
         written = stage(level.observe(watch, F.count(F.lit(1)).alias("n")))
