@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,19 +50,26 @@ def failure_text(url: Column) -> Column:
         "_\n\nContent might be malformed or too complex for automated conversion.\n"))
 
 
+@cache
+def _conversion(profile: str) -> tuple[Column, Column, Column]:
+    """Markdown of ``html``, clean-up of ``_md`` and plain text of ``html``: long expressions by name, built once."""
+    content = H.content_html_v2("html") if profile == "v2" else H.content_html_v1("html")
+    clean = M.clean_v2 if profile == "v2" else M.clean_v1
+    return H.html_to_md(content, profile), clean("_md"), H.plain_text("html")
+
+
 def to_markdown(pages: DataFrame, profile: str = "v2") -> DataFrame:
     """(…pages columns but html, title, md, conversion_status).
 
     Narrow from end to end: one scan, no shuffle. Conversion that leaves nothing falls back to
     the page's plain text, then to a failure notice.
     """
-    content = H.content_html_v2("html") if profile == "v2" else H.content_html_v1("html")
-    clean = M.clean_v2 if profile == "v2" else M.clean_v1
+    converted, clean, plain = _conversion(profile)
     titled = with_title(pages, profile)
-    rough = titled.withColumn("_md", H.html_to_md(content, profile))
-    cleaned = rough.withColumn("_md", clean("_md"))
+    rough = titled.withColumn("_md", converted)
+    cleaned = rough.withColumn("_md", clean)
     blank = ~F.col("_md").rlike(r"(?U)\S")
-    rescued = cleaned.withColumn("_plain", F.when(blank, H.plain_text("html")))
+    rescued = cleaned.withColumn("_plain", F.when(blank, plain))
     return rescued.select(
         *[c for c in pages.columns if c != "html"], "title",
         F.when(~blank, F.col("_md")).when(F.col("_plain") != "", F.concat("_plain", F.lit("\n"))).otherwise(

@@ -18,7 +18,13 @@ FETCH_LOG_SCHEMA = T.StructType([
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    """A table of a folder. ``spark.inkweave.scanPartitions``, unset by default, deals its rows anew.
+
+    A file of one row group is one task however many cores there are; a user with such files may
+    name the number of tasks. Nothing is decided by the size of the input or the cluster.
+    """
+    rows, dealt = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet"), spark.conf.get("spark.inkweave.scanPartitions", None)
+    return rows.repartition(int(dealt)) if dealt else rows
 
 
 def latest_fetch(log: DataFrame) -> DataFrame:
