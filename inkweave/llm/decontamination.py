@@ -22,7 +22,7 @@ from inkweave.llm.text import raw, steps
 
 Q = 12
 #: Edits allowed for each byte of an item.
-RATE = 0.04
+RATE = 0.07
 #: Bytes of items that one pass over the documents searches for; more items take more passes.
 BLOCK = 16 << 20
 _BITS = 1 << 24

@@ -78,7 +78,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items in documents, with up to 4 edits for each 100 bytes."""
+    """Benchmark items in documents, with up to 7 edits for each 100 bytes."""
     return decontamination.matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
