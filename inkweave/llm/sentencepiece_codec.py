@@ -324,8 +324,12 @@ _encoders: dict[int, Encoder] = {}
 
 
 def worker_encoder(shared: Broadcast) -> Encoder:
-    """The encoder of this Python worker, which serves many tasks."""
-    return _encoders.setdefault(id(shared.value), Encoder(shared.value))
+    """The encoder of this Python worker, which serves many tasks; that of an earlier model is dropped."""
+    model = shared.value
+    if id(model) not in _encoders:
+        _encoders.clear()
+        _encoders[id(model)] = Encoder(model)
+    return _encoders[id(model)]
 
 
 def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
