@@ -241,6 +241,42 @@ def test_decontamination(spark):
     assert {x["doc_id"] for x in decontamination.clean(frame, bench).collect()} == set(range(len(rows))) - {d for d, _ in got}
 
 
+def test_passages_of_items(spark):
+    r = random.Random(6)
+    items = [" ".join("".join(r.choice("abcdeé") for _ in range(r.randint(2, 7))) for _ in range(r.randint(8, 30))) for _ in range(8)]
+    rows = []
+    for n in range(60):
+        x = r.choice(items)
+        start = r.randrange(len(x))
+        x = list(x[start : start + r.randint(30, 70)])
+        for _ in range(r.randint(0, 4)):
+            at = r.randrange(len(x))
+            x[at] = r.choice(["x", x[at] + "z", ""]) or " "
+        rows.append(" ".join(letters(r, n % 9)) + "".join(x) + " ".join(letters(r, r.randint(0, 9))))
+    rows += items[:2] + ODD[:6]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id int, text string")
+    frame, length = table(spark, rows), decontamination.PASSAGE
+    got = {(x["doc_id"], x["item_id"]): x for x in decontamination.matches(frame, bench, passage=length).collect()}
+    whole = {(x["doc_id"], x["item_id"]) for x in decontamination.matches(frame, bench).collect()}
+    seen = 0
+    for i, item in enumerate(items):
+        p = plain.normal(item)
+        pieces = [p[s : s + length] for s in range(len(p) - length + 1)]
+        for d, text in enumerate(rows):
+            if (d, i) in whole:
+                assert (d, i) in got
+                continue
+            # three edits cut 50 bytes into four parts, one of which has 11 bytes or more
+            near = [x for x in pieces if any(x[s : s + 8] in plain.normal(text) for s in range(length - 8))]
+            edits = min((plain.least_edits(x, plain.normal(text)) for x in near), default=99)
+            assert (edits <= int(length * decontamination.RATE)) == ((d, i) in got)
+            if (d, i) in got:
+                assert got[d, i]["edits"] == edits
+                seen += 1
+    assert seen > 10 and len(whole) >= 2
+    assert {x["doc_id"] for x in decontamination.clean(frame, bench, passage=length).collect()} == set(range(len(rows))) - {d for d, _ in got}
+
+
 def test_blocks_of_items_cover_all(spark, docs):
     bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
     parts = list(decontamination.blocks(bench, "item_id", "text", 12, 0.04, block=3000))

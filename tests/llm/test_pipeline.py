@@ -32,3 +32,15 @@ def test_stages_against_plain_python(spark):
         assert r["decoded_sha256"] == plain.sha(library.decode(r["ids"]))
     assert set(kept["sentencepiece"]) == set(kept["decontamination"])
     assert corpus_pipeline.run(spark, DATA).count() == len(kept["sentencepiece"])
+
+
+def test_items_torn_by_line_dedup_are_found(spark, tmp_path):
+    first = "which of the rivers of the north carries the most water in spring and why"
+    item = f"{first}\ndoes it freeze before the others of the land do\ngive the name"
+    texts = [f"{i} boats {item} {i} end" for i in range(3)] + [f"3 boats {first[:40]} and more"] + [f"4 boats {first.replace('north', 'nOrrh').replace('most', 'mst')} 4 end"]
+    kinds = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").schema
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in enumerate(texts)], kinds)
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    torn = stage(corpus_pipeline.dedup_lines(spark, docs, str(tmp_path)))
+    assert [plain.normal(item) in plain.normal(r["text"]) for r in torn.orderBy("doc_id").collect()] == [False, False, True, False, False]
+    assert [r["doc_id"] for r in corpus_pipeline.benchmark_free(spark, torn, str(tmp_path)).collect()] == [3]
