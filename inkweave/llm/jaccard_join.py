@@ -41,9 +41,10 @@ def need(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-n * percent // 100)
 
 
-def parts(n: int) -> list[int]:
+def parts(n: int, percent: int) -> list[int]:
     """Numbers of parts for the sizes that a set of n can be linked to; linked sets have one in common."""
-    return sorted({max(1, (1 << max(int(x), 1).bit_length() - 1) // 4) for x in (n, n * 5 // 4)})
+    low, high = (max(x, 1).bit_length() - 1 for x in (n, n * 100 // percent))
+    return sorted({max(1, (1 << x) // 4) for x in range(low, high + 1)})
 
 
 def token_sets(text: pa.Array, ngram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -198,7 +199,7 @@ def _signatures(sets: DataFrame, percent: int, rare_up_to: int) -> DataFrame:
                 left -= rare
                 if left > 0:
                     often = token[rare:]
-                    for p in parts(n):
+                    for p in parts(n, percent):
                         sigs.append(_pairs(often, p, left))
                 sigs = np.unique(np.concatenate(sigs))
                 out.append(sigs)

@@ -76,6 +76,18 @@ def test_jaccard_join(spark, rare, cluster):
     assert got == {i: x for (i, _), x in zip(named, plain.components(named), strict=True)}
 
 
+@pytest.mark.parametrize(("percent", "more"), [(60, 50), (40, 120)])
+def test_jaccard_join_links_sets_of_other_sizes(spark, percent, more):
+    r = random.Random(7)
+    base, tail = letters(r, 100), letters(r, more)
+    rows = [" ".join(base + letters(r, 2)) for _ in range(10)] + [" ".join(base + tail + letters(r, 2)) for _ in range(10)]
+    named = list(enumerate(rows))
+    want = {i: x for (i, _), x in zip(named, plain.components(named, percent=percent), strict=True)}
+    assert {c for _, c in want.values()} == {0}
+    assert {x[0]: (x[1], x[2]) for x in jaccard_join.join(table(spark, rows), percent=percent, rare=3).collect()} == want
+    assert all(jaccard_join.parts(n, 80) == sorted({max(1, (1 << x.bit_length() - 1) // 4) for x in (n, n * 5 // 4)}) for n in range(1, 3000))
+
+
 def test_jaccard_join_of_the_table(docs, texts):
     rows = sorted(texts.items())
     got = {x[0]: (x[1], x[2]) for x in jaccard_join.join(docs).collect()}
