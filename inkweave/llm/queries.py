@@ -9,12 +9,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkweave.llm import decontamination, jaccard_join, language, licenses, line_dedup, quality, secrets, sentencepiece_codec, sharding, substring_dedup
+from inkweave.llm import decontamination, jaccard_join, language, licenses, line_dedup, quality, secrets, sentencepiece_codec, sharding, substring_dedup, token_files
 from inkweave.llm.text import documents
 from inkweave.session import shared_dir
 
 #: The vocabulary file of operator 1; a parameter of the operator.
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
+#: The tokenizer of operator 12 and the id that ends a document; parameters of the operator.
+WORD_TOKENS, END_ID = public_tokenizers.path("word_bpe_49k.json"), 2
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +84,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed token files of all documents, read back: place, size and checksum of each document."""
+    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    token_files.write(documents(spark, sf_dir), path, WORD_TOKENS, END_ID)
+    out = token_files.read(spark, path, as_bytes=True)
+    return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 SQL_LINES = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents
@@ -148,4 +158,5 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op9_substring_dedup": (op9_substring_dedup, SQL_WINDOWS),
     "op10_decontamination": (op10_decontamination, None),
     "op4_sharding": (op4_sharding, None),
+    "op12_token_files": (op12_token_files, None),
 }
