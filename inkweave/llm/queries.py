@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkweave.llm import decontamination, jaccard_join, language, licenses, line_dedup, quality, secrets, sentencepiece_codec, sharding, substring_dedup, token_files
-from inkweave.llm.text import documents
+from inkweave.llm import conversation_repair, decontamination, jaccard_join, language, licenses, line_dedup, quality, secrets, sentencepiece_codec, sharding, substring_dedup, token_files
+from inkweave.llm.text import bounded, documents
 from inkweave.session import shared_dir
 
 #: The vocabulary file of operator 1; a parameter of the operator.
@@ -92,6 +92,12 @@ def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation after the contract's damage."""
+    turns = bounded(spark).read.parquet(f"{sf_dir}/conversations.parquet")
+    return conversation_repair.summary(conversation_repair.damaged(turns), F.col("present"))
+
+
 SQL_LINES = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents
@@ -147,6 +153,55 @@ WITH texts AS (
 SELECT documents.doc_id, coalesce(n, 0) AS n_words, coalesce(g, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM documents LEFT JOIN kept USING (doc_id)
 """
 
+SQL_CONVERSATIONS = r"""
+WITH RECURSIVE coded AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(list_reduce(
+      list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ord(c)::BIGINT),
+      lambda c, b: list_reduce(range(8), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END, xor(c, b)), 4294967295), 4294967295) % 20 AS kind
+  FROM conversations
+), hurt AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM coded CROSS JOIN range(2) AS copy(n) WHERE n < CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END
+), seen AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS again FROM hurt
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, again) AS i FROM seen
+), marked AS (
+  SELECT *, left(role, 1) AS r, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS p, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 1 WHEN again > 1 THEN 2
+    WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*$') THEN 3 ELSE 0 END AS fault FROM placed
+), counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 1) AS blank, count(*) FILTER (WHERE fault = 2) AS duplicate,
+    count(*) FILTER (WHERE fault = 3) AS truncated, count(*) FILTER (WHERE p || r NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM marked GROUP BY conv_id
+), walk AS (
+  SELECT conv_id, 0 AS i, {'c': 0::BIGINT, 'a': '', 't': ''} AS e, {'c': 1000000000::BIGINT, 'a': '', 't': ''} AS s,
+    {'c': 2::BIGINT, 'a': 'I', 't': chr(10) || 'user:'} AS u, {'c': 4::BIGINT, 'a': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'} AS a FROM counted
+  UNION ALL
+  SELECT conv_id, i, e, s, u, list_min([a, {'c': u.c + 2, 'a': u.a || 'I', 't': u.t || chr(10) || 'assistant:'}]) FROM (
+    SELECT conv_id, i, e, s, a, list_min([u, {'c': e.c + 2, 'a': e.a || 'I', 't': e.t || chr(10) || 'user:'}, {'c': s.c + 2, 'a': s.a || 'I', 't': s.t || chr(10) || 'user:'},
+      {'c': a.c + 2, 'a': a.a || 'I', 't': a.t || chr(10) || 'user:'}]) AS u FROM (
+      SELECT conv_id, i, {'c': e.c + 3, 'a': e.a || 'D', 't': e.t} AS e,
+        list_min([{'c': s.c + 3, 'a': s.a || 'D', 't': s.t}, {'c': e.c + keep + CASE r WHEN 's' THEN 0 ELSE 1000000000::BIGINT END, 'a': e.a || 'K', 't': e.t || kept}]) AS s,
+        list_min([{'c': u.c + 3, 'a': u.a || 'D', 't': u.t}, {'c': e.c + as_user, 'a': e.a || 'K', 't': e.t || kept}, {'c': s.c + as_user, 'a': s.a || 'K', 't': s.t || kept},
+          {'c': a.c + as_user, 'a': a.a || 'K', 't': a.t || kept}, {'c': e.c + keep + 2, 'a': e.a || 'R', 't': e.t || chr(10) || 'user:' || text},
+          {'c': s.c + keep + 2, 'a': s.a || 'R', 't': s.t || chr(10) || 'user:' || text}, {'c': a.c + keep + 2, 'a': a.a || 'R', 't': a.t || chr(10) || 'user:' || text}]) AS u,
+        list_min([{'c': a.c + 3, 'a': a.a || 'D', 't': a.t}, {'c': u.c + keep + CASE r WHEN 'a' THEN 0 ELSE 1000000000::BIGINT END, 'a': u.a || 'K', 't': u.t || kept},
+          {'c': u.c + keep + 2, 'a': u.a || 'R', 't': u.t || chr(10) || 'assistant:' || text}]) AS a
+      FROM (
+        SELECT walk.conv_id, marked.i, e, s, u, a, text, r, chr(10) || role || ':' || text AS kept, CASE fault WHEN 0 THEN 0 WHEN 3 THEN 1 ELSE 1000000000::BIGINT END AS keep,
+          CASE fault WHEN 0 THEN 0 WHEN 3 THEN 1 ELSE 1000000000::BIGINT END + CASE r WHEN 'u' THEN 0 ELSE 1000000000::BIGINT END AS as_user
+        FROM walk JOIN marked ON walk.conv_id IS NOT DISTINCT FROM marked.conv_id AND marked.i = walk.i + 1)))
+), done AS (
+  SELECT walk.conv_id, list_min([e, walk.a]) AS best FROM walk JOIN counted ON walk.conv_id IS NOT DISTINCT FROM counted.conv_id AND walk.i = counted.n
+)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(best.c, 0) AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(substr(best.t, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counted ON o.conv_id IS NOT DISTINCT FROM counted.conv_id LEFT JOIN done ON o.conv_id IS NOT DISTINCT FROM done.conv_id
+"""
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_sentencepiece": (op1_sentencepiece, None),
     "op2_jaccard_join": (op2_jaccard_join, SQL_SHINGLES),
@@ -159,4 +214,5 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op10_decontamination": (op10_decontamination, None),
     "op4_sharding": (op4_sharding, None),
     "op12_token_files": (op12_token_files, None),
+    "op13_conversation_repair": (op13_conversation_repair, SQL_CONVERSATIONS),
 }
