@@ -9,12 +9,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkweave.llm import conversation_repair, decontamination, jaccard_join, language, licenses, line_dedup, quality, secrets, sentencepiece_codec, sharding, substring_dedup, token_files
+from inkweave.llm import conversation_repair, decontamination, jaccard_join, language, licenses, line_dedup, quality, secrets, sentencepiece_codec, sharding, substring_dedup, token_alignment, token_files
 from inkweave.llm.text import bounded, documents
 from inkweave.session import shared_dir
 
 #: The vocabulary file of operator 1; a parameter of the operator.
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
+#: The other tokenizer of operator 11.
+BYTE_TOKENS = public_tokenizers.path("byte_bpe_50k.json")
 #: The tokenizer of operator 12 and the id that ends a document; parameters of the operator.
 WORD_TOKENS, END_ID = public_tokenizers.path("word_bpe_49k.json"), 2
 
@@ -84,6 +86,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of two tokenizers aligned in every document, with corpus-wide counts of linked ids."""
+    return token_alignment.links(documents(spark, sf_dir), BYTE_TOKENS, PIECES)
+
+
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packed token files of all documents, read back: place, size and checksum of each document."""
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
@@ -213,6 +220,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op9_substring_dedup": (op9_substring_dedup, SQL_WINDOWS),
     "op10_decontamination": (op10_decontamination, None),
     "op4_sharding": (op4_sharding, None),
+    "op11_token_alignment": (op11_token_alignment, None),
     "op12_token_files": (op12_token_files, None),
     "op13_conversation_repair": (op13_conversation_repair, SQL_CONVERSATIONS),
 }
