@@ -73,35 +73,30 @@ edges AS (SELECT s, '/p/' || i AS src, href AS dst, min(pos) AS pos FROM every_l
 got AS (SELECT s, '/p/' || i AS url, CASE WHEN i % 7 = 3 THEN 'failed' WHEN i % 11 = 5 THEN 'not_html' ELSE 'ok' END AS outcome FROM site)"""
 
 
-def _level(n):
-    before = " UNION ALL ".join(f"SELECT s, url, crawl_pos FROM l{m}" for m in range(n))
-    found = "SELECT s, '/p/0' AS url, 0 AS pp, 0 AS pos FROM jobs" if n == 0 else f"""
-      SELECT e.s, e.dst AS url, min((p.queue_pos, e.pos)) AS f, min((p.queue_pos, e.pos))[1] AS pp, min((p.queue_pos, e.pos))[2] AS pos
-      FROM l{n - 1} p JOIN edges e ON e.s = p.s AND e.src = p.url WHERE p.gives
-        AND NOT EXISTS (SELECT 1 FROM ({before}) b WHERE b.s = e.s AND b.url = e.dst) GROUP BY e.s, e.dst"""
-    seen = "0" if n == 0 else f"coalesce((SELECT count(*) FROM ({before}) b WHERE b.s = f.s), 0)"
-    done = "0" if n == 0 else f"coalesce((SELECT count(crawl_pos) FROM ({before}) b WHERE b.s = f.s), 0)"
-    return f"""c{n} AS MATERIALIZED (SELECT f.s, f.url, f.pp, coalesce(g.outcome, 'failed') AS outcome,
-      {seen} + row_number() OVER w AS queue_pos,
-      {done} + count(*) FILTER (WHERE coalesce(g.outcome, 'failed') = 'ok') OVER (PARTITION BY f.s ORDER BY f.pp, f.pos) AS hits
-      FROM ({found}) f LEFT JOIN got g ON g.s = f.s AND g.url = f.url WINDOW w AS (PARTITION BY f.s ORDER BY f.pp, f.pos)),
-    l{n} AS MATERIALIZED (SELECT c.s, c.url, {n} AS depth, c.queue_pos,
-      CASE WHEN outcome = 'ok' AND hits - 1 < max_pages THEN hits END AS crawl_pos,
-      CASE WHEN hits - (outcome = 'ok')::INT >= max_pages THEN 'queued' WHEN outcome = 'ok' THEN 'crawled' ELSE outcome END AS state,
-      outcome = 'ok' AND hits < max_pages AS gives FROM c{n} c JOIN jobs USING (s))"""
-
-
-LEVELS = 14
+#: Every level of the walk until none is left; ``walk`` keeps one row per address, the first.
 SQL_WALK = f"""{SQL_SITE},
-{','.join(_level(n) for n in range(LEVELS))},
-visits AS ({' UNION ALL '.join(f'SELECT * FROM l{n}' for n in range(LEVELS))})"""
+walk(s, url, depth, queue_pos, crawl_pos, state, gives) USING KEY (s, url) AS (
+  SELECT jobs.s, '/p/0', 0, 1, CASE WHEN outcome = 'ok' AND max_pages > 0 THEN 1 END, CASE WHEN max_pages <= 0 THEN 'queued' WHEN outcome = 'ok' THEN 'crawled' ELSE outcome END,
+    outcome = 'ok' AND 1 < max_pages
+  FROM jobs JOIN (SELECT j.s, coalesce(g.outcome, 'failed') AS outcome FROM jobs j LEFT JOIN got g ON g.s = j.s AND g.url = '/p/0') USING (s)
+  UNION
+  SELECT n.s, n.url, n.depth, n.queue_pos, CASE WHEN outcome = 'ok' AND hits - 1 < max_pages THEN hits END,
+    CASE WHEN hits - (outcome = 'ok')::INT >= max_pages THEN 'queued' WHEN outcome = 'ok' THEN 'crawled' ELSE outcome END, outcome = 'ok' AND hits < max_pages
+  FROM (
+    SELECT f.s, f.url, f.depth, coalesce(g.outcome, 'failed') AS outcome, b.seen + row_number() OVER (PARTITION BY f.s ORDER BY f.first) AS queue_pos,
+      b.done + count(*) FILTER (WHERE g.outcome = 'ok') OVER (PARTITION BY f.s ORDER BY f.first) AS hits
+    FROM (SELECT e.s, e.dst AS url, p.depth + 1 AS depth, min((p.queue_pos, e.pos)) AS first FROM walk p JOIN edges e ON e.s = p.s AND e.src = p.url
+      LEFT JOIN recurring.walk old ON old.s = e.s AND old.url = e.dst WHERE p.gives AND old.url IS NULL GROUP BY e.s, e.dst, p.depth) f
+    JOIN (SELECT s, count(*) AS seen, count(crawl_pos) AS done FROM recurring.walk GROUP BY s) b ON b.s = f.s
+    LEFT JOIN got g ON g.s = f.s AND g.url = f.url) n JOIN jobs ON jobs.s = n.s),
+visits AS (SELECT * FROM walk)"""
 
 
 def bfs_crawl(spark, folder):
     return walk(spark, folder).select("job_id", "url", F.col("depth").cast("long").alias("depth"), "queue_pos", "crawl_pos", "state")
 
 
-SQL_BFS = f"""WITH {SQL_WALK}
+SQL_BFS = f"""WITH RECURSIVE {SQL_WALK}
 SELECT 'job' || s AS job_id, 'https://site' || s || '.test' || url AS url, depth, queue_pos, crawl_pos, state FROM visits"""
 
 
@@ -109,7 +104,7 @@ def crawl_order_limited(spark, folder):
     return walk(spark, folder).where("state = 'crawled'").select("job_id", "crawl_pos", "url")
 
 
-SQL_ORDER = f"""WITH {SQL_WALK}
+SQL_ORDER = f"""WITH RECURSIVE {SQL_WALK}
 SELECT 'job' || s AS job_id, crawl_pos, 'https://site' || s || '.test' || url AS url FROM visits WHERE state = 'crawled'"""
 
 
@@ -118,7 +113,7 @@ def depth_counts(spark, folder):
         "job_id", F.col("depth").cast("long").alias("depth"), "n_urls", "n_crawled")
 
 
-SQL_DEPTHS = f"""WITH {SQL_WALK}
+SQL_DEPTHS = f"""WITH RECURSIVE {SQL_WALK}
 SELECT 'job' || s AS job_id, depth, count(*) AS n_urls, count(*) FILTER (WHERE state = 'crawled') AS n_crawled FROM visits GROUP BY ALL"""
 
 
@@ -126,7 +121,7 @@ def crawl_counters(spark, folder):
     return bundle.crawl_counts(walk(spark, folder))
 
 
-SQL_COUNTERS = f"""WITH {SQL_WALK}
+SQL_COUNTERS = f"""WITH RECURSIVE {SQL_WALK}
 SELECT 'job' || s AS job_id, count(*) AS n_queued, count(*) FILTER (WHERE state = 'crawled') AS n_crawled,
   count(*) FILTER (WHERE state IN ('crawled', 'not_html')) AS n_fetched, count(*) FILTER (WHERE state = 'failed') AS n_failed,
   count(*) FILTER (WHERE state = 'not_html') AS n_not_html, count(*) FILTER (WHERE state = 'queued') AS n_pending
@@ -148,9 +143,9 @@ def reachable(spark, folder):
 
 SQL_REACH = f"""{SQL_SITE},
 good AS (SELECT s, url FROM got WHERE outcome = 'ok'),
-walked AS (SELECT s, '/p/0' AS url, 0 AS depth FROM jobs
-  UNION SELECT w.s, e.dst, w.depth + 1 FROM walked w JOIN edges e ON e.s = w.s AND e.src = w.url
-  JOIN good g ON g.s = e.s AND g.url = e.dst WHERE w.depth < 40),
+walked(s, url, depth) USING KEY (s, url) AS (SELECT jobs.s, '/p/0', 0 FROM jobs JOIN good g ON g.s = jobs.s AND g.url = '/p/0'
+  UNION SELECT e.s, e.dst, w.depth + 1 FROM walked w JOIN edges e ON e.s = w.s AND e.src = w.url JOIN good g ON g.s = e.s AND g.url = e.dst
+  LEFT JOIN recurring.walked old ON old.s = e.s AND old.url = e.dst WHERE old.url IS NULL),
 reached AS (SELECT s, url, min(depth) AS depth FROM walked GROUP BY ALL)"""
 
 
@@ -250,7 +245,7 @@ def site_corpus_v2(spark, folder):
 _CORPUS_WALK = SQL_WALK.replace("WHEN i % 11 = 5 THEN 'not_html'", "WHEN i % 11 = 5 THEN 'failed'")
 _SITE_MD = f"""SELECT page_id, {sql_article_md()} || chr(10) || chr(10) || '[x](/p/' || (2 * (page_id // {SITES}) + 1) || ')[x](/p/' || (2 * (page_id // {SITES}) + 2)
   || ')[x](/p/' || (3 * (page_id // {SITES}) + 1) || ')[x](/p/' || (page_id // {SITES} // 2) || ')' || chr(10) AS md FROM pages"""
-SQL_CORPUS = f"""WITH {_CORPUS_WALK},
+SQL_CORPUS = f"""WITH RECURSIVE {_CORPUS_WALK},
 {sql_clean(_SITE_MD)},
 done AS (SELECT v.s, v.url, v.crawl_pos, site.page_id, trim(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)', 1),
   '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&')) AS title FROM visits v JOIN site ON site.s = v.s AND '/p/' || site.i = v.url WHERE state = 'crawled')

@@ -1,3 +1,6 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from inkweave.operators import graph as G
@@ -103,3 +106,86 @@ def test_salted_join_matches_plain_join(spark):
     a = large.join(small, ["k"]).select("k", "id", "v")
     b = salted_join(large, small, ["k"], F.col("id"), salts=4).select("k", "id", "v")
     assert a.count() == b.count() == 2000 and a.exceptAll(b).count() == 0
+
+
+def plain_crawl(edges, ok, seeds):
+    """{(job, url): (depth, queue place, crawl place, state)} by a queue."""
+    out = {}
+    for job, seed, limit in seeds:
+        links = {}
+        for j, a, b, pos in sorted(edges, key=lambda e: e[3]):
+            if j == job:
+                links.setdefault(a, []).append(b)
+        queue, depth, crawled, at = [seed], {seed: 0}, 0, 0
+        states = {}
+        while at < len(queue):
+            url, at = queue[at], at + 1
+            if crawled >= limit:
+                states[url] = (None, "queued")
+                continue
+            if url not in ok:
+                states[url] = (None, "failed")
+                continue
+            crawled += 1
+            states[url] = (crawled, "crawled")
+            for nxt in links.get(url, []) if crawled < limit else []:
+                if nxt not in depth:
+                    depth[nxt] = depth[url] + 1
+                    queue.append(nxt)
+        out.update({(job, u): (depth[u], k + 1, *states[u]) for k, u in enumerate(queue)})
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_crawl_equals_a_queue(spark, monkeypatch, seed):
+    monkeypatch.setattr(G, "FOLD_EVERY", 2)
+    monkeypatch.setattr(G, "FAN_IN", 2)
+    monkeypatch.setattr(G, "SMALL_FRONT", (0, 3, 100)[seed])
+    r = random.Random(seed)
+    edges = [(j, f"{a}", f"{b}", k) for j in "ab" for a in range(40) for k, b in enumerate(dict.fromkeys(min(45, a + r.choice([-9, 1, 1, 2, 7])) for _ in range(3)))]
+    ok = [f"{n}" for n in range(44) if n % 9 != 4]
+    seeds = [("a", "0", 1000), ("b", "3", 14), ("c", "0", 0), ("d", "none", 5)]
+    got = {key: (r.depth, r.queue_pos, r.crawl_pos, r.state) for key, r in walk(spark, edges, ok, seeds).items()}
+    assert got == plain_crawl(edges, set(ok), seeds)
+
+
+def test_a_round_does_not_move_visited_pages(spark):
+    with G.bucket_tables(spark) as bucketed:
+        visited = G.Visited(spark, bucketed.base, "v INT")
+        visited.add(spark.range(100).withColumn("v", F.lit(1)))
+        visited.add(spark.range(100, 150).withColumn("v", F.lit(2)))
+        found = spark.range(0, 300, 3).groupBy(F.col("id")).agg(F.count("*").alias("n"))
+        new = visited.unseen(found)
+        plan = new._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and plan.count("Exchange") == 1 and "Bucketed: true" in plan
+        assert sorted(r.id for r in new.collect()) == list(range(150, 300, 3))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_reachable_equals_a_search(spark, seed):
+    r = random.Random(seed)
+    chain = [("a", f"{n}", f"{n + 1}", 0) for n in range(60)] + [("a", "30", "2", 1), ("a", "61", "62", 0), ("a", "62", "61", 0), ("a", "20", "90", 1)] + [("a", f"{n}", f"{n + 1}", 0) for n in range(90, 100)] + [("a", "100", "55", 0)]
+    loose = [("b", f"{r.randrange(70)}", f"{r.randrange(70)}", k) for k in range((60, 90, 150)[seed])]
+    edges = chain + list({e[1:3]: e for e in loose}.values())
+    nodes = [f"{n}" for n in range(105) if n % 41 != 40]
+    seeds = [("a", "0", 1), ("b", "7", 1), ("c", "40", 1)]
+    want = {}
+    for job, start, _ in seeds:
+        level, depth = ({start} & set(nodes)), 0
+        while level:
+            want.update({(job, u): depth for u in level})
+            level = {b for j, a, b, _ in edges if j == job and a in level and b in nodes and (job, b) not in want}
+            depth += 1
+    e, n, s = tables(spark, edges, nodes, seeds)
+    got = {(x.job_id, x.url): x.depth for x in G.reachable(e, n.select("url"), s).collect()}
+    assert got == want
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    rounds = []
+    for owner, name in ((G, "stage"), (G.Visited, "add")):
+        monkeypatch.setattr(owner, name, lambda *a, _f=getattr(owner, name), **k: (rounds.append(1), _f(*a, **k))[1])
+    edges = [("j", f"{n}", f"{n + 1}", 0) for n in range(1000)]
+    e, n, s = tables(spark, edges, [f"{n}" for n in range(1001)], [("j", "0", 1)])
+    got = {x.url: x.depth for x in G.reachable(e, n.select("url"), s).collect()}
+    assert got == {f"{n}": n for n in range(1001)} and len(rounds) <= 14  # 12 and the writes of pages and of the result
