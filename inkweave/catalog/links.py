@@ -9,6 +9,7 @@ from inkweave.catalog.common import SQL_FIRST, SQL_HOST, SQL_JOBS, SQL_ORIGIN, S
 from inkweave.functions import scope, urls
 from inkweave.operators import jobs as J
 from inkweave.operators import links as L
+from inkweave.operators import patterns as P
 
 # Every page also gets links outside of its navigation and an area marked by class.
 _EXTRA = ('<p><a href="/outside?a=1&amp;b=2#x">o</a> <a href="mailto:m@x">m</a> <a name="k">n</a> '
@@ -220,7 +221,46 @@ SQL_INVALID = """
 SELECT page_id::VARCHAR AS job_id, CASE WHEN page_id % 7 = 1 THEN 'Invalid URL' WHEN page_id % 5 = 2 THEN 'Invalid exclude pattern'
   WHEN page_id % 4 = 3 THEN 'Invalid output_format' END AS error FROM pages"""
 
+
+
+def _page_patterns(spark, folder):
+    """Two patterns of every page for its host: a path prefix, and an expression with or without a text that must occur."""
+    k, path = F.col("page_id"), urls.path("url")
+    prefix = F.when(k % 3 == 0, path).when(k % 3 == 1, F.substring_index(path, "/", 2)).otherwise(F.concat(F.substring_index(path, "/", 2), F.lit("/")))
+    pattern = F.when(k % 5 == 0, F.lit(r"\.html$")).when(k % 5 == 1, F.concat(path, F.lit(r"\b"))).when(k % 5 == 2, F.lit(r"[?&](?:page|ref)=\w+&")).when(
+        k % 5 == 3, F.concat(F.lit("^https?://[^/]+"), path, F.lit("/?(utm|$)"))).otherwise(F.concat(F.expr("substring(url, instr(url, '.'), 9)"), F.lit(".*[0-9]{3}")))
+    return load(spark, folder, "pages").select(F.concat(F.lit("job"), (k % 7).cast("string")).alias("job_id"), urls.host("url").alias("host"), prefix.alias("prefix"), pattern.alias("pattern"))
+
+
+SQL_PATTERNS = f"""patterns AS (SELECT 'job' || page_id % 7 AS job_id, {SQL_HOST} AS host,
+  CASE page_id % 3 WHEN 0 THEN {SQL_PATH} WHEN 1 THEN '/' || split_part({SQL_PATH}, '/', 2) ELSE '/' || split_part({SQL_PATH}, '/', 2) || '/' END AS prefix,
+  CASE page_id % 5 WHEN 0 THEN '\\.html$' WHEN 1 THEN {SQL_PATH} || '\\b' WHEN 2 THEN '[?&](?:page|ref)=\\w+&' WHEN 3 THEN '^https?://[^/]+' || {SQL_PATH} || '/?(utm|$)'
+    ELSE substring(url, instr(url, '.'), 9) || '.*[0-9]{{3}}' END AS pattern FROM pages)"""
+
+
+def include_prefix_index(spark, folder):
+    """Addresses that the include prefixes of each job take, all patterns of a host at once."""
+    return P.include_matches(load(spark, folder, "pages").select("url").distinct(), _page_patterns(spark, folder))
+
+
+SQL_INCLUDE_INDEX = f"""
+WITH {SQL_PATTERNS}
+SELECT DISTINCT url, job_id FROM pages JOIN patterns ON {SQL_HOST} = host
+AND CASE WHEN ends_with(prefix, '/') THEN starts_with({SQL_PATH}, prefix) ELSE {SQL_PATH} = prefix OR starts_with({SQL_PATH}, prefix || '/') END"""
+
+
+def exclude_regex_index(spark, folder):
+    """Addresses that the expressions of each job exclude, all patterns of a host at once."""
+    return P.exclude_matches(load(spark, folder, "pages").select("url").distinct(), _page_patterns(spark, folder))
+
+
+SQL_EXCLUDE_INDEX = f"""
+WITH {SQL_PATTERNS}
+SELECT DISTINCT url, job_id FROM pages JOIN patterns ON {SQL_HOST} = host AND (regexp_matches(url, pattern) OR regexp_matches({SQL_PATH}, pattern))"""
+
 ENTRIES = {
+    "include_prefix_index": (include_prefix_index, SQL_INCLUDE_INDEX),
+    "exclude_regex_index": (exclude_regex_index, SQL_EXCLUDE_INDEX),
     "extract_links": (extract_links, f"WITH {SQL_LINKS} SELECT page_id, pos, href FROM links"),
     "href_filter": (href_filter, SQL_FILTER),
     "nav_links_v1": (nav_links_v1, SQL_NAV),
