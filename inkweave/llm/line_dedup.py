@@ -1,8 +1,10 @@
 """Line dedup with levelled sorted runs of line hashes.
 
-Every step of text is a batch: its distinct line hashes, sorted. In a hash bucket each new batch is
-merge-anti-joined with the runs that are there: hashes met before add to their counts, the others
-become a run of their own. FANOUT runs of a level are compacted into one run of the next level.
+A task sorts the line hashes of its text in batches of some million and deals each batch to hash
+buckets. In a bucket what comes in is put together to batches of BATCH hashes, so the work follows the
+hashes and not the number of tasks. Each new batch is merge-anti-joined with the runs that are
+there: hashes met before add to their counts, the others become a run of their own. FANOUT runs of
+a level are compacted into one run of the next level.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from inkweave.llm.text import buckets_for, steps
 from inkweave.session import stage
 
 FANOUT = 4
+#: Hashes that a task sends at once, and hashes that a bucket merges at once.
+SENT, BATCH = 1 << 20, 1 << 16
 #: Code points of the shortest key that counts, and documents from which on it is dropped.
 LEAST_POINTS, LEAST_DOCS = 20, 3
 STRIPPED = " \t\n\v\f\r"
@@ -109,45 +113,65 @@ class Levels:
             self.put(level + 1, whole)
 
 
-def _keys(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Per step the distinct (key, row id) pairs as 16-byte keys and ids."""
-    for batch in steps(batches):
-        keys, ids = [], []
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            found = {k for k in map(line_key, text.split("\n")) if k} if text else ()
-            keys.extend(found)
-            ids.extend([NO_ID if i is None else i] * len(found))
-        yield np.frombuffer(b"".join(keys), np.uint64).reshape(-1, 2), np.array(ids, np.int64)
+def _keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (key, row) pairs of a step as 16-byte keys and rows."""
+    keys, rows = [], []
+    for row, text in enumerate(batch.column(1).to_pylist()):
+        found = {k for k in map(line_key, text.split("\n")) if k} if text else ()
+        keys.extend(found)
+        rows.extend([row] * len(found))
+    return np.frombuffer(b"".join(keys), np.uint64).reshape(-1, 2), np.array(rows, np.int64)
+
+
+def _ids(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False)
 
 
 def line_runs(docs: DataFrame, buckets: int, id_col: str = "doc_id", text_col: str = "text", earlier: DataFrame | None = None) -> DataFrame:
     """The runs of all line hashes of ``docs`` (columns of RUN), continuing ``earlier`` runs of the same number of buckets.
 
-    A step sends each hash once, whatever the number of its lines that share it.
+    A batch of a task sends each hash once, whatever the number of its lines that share it.
     """
+    names = ["bucket", "level", "batch", "high", "low", "docs", "top"]
+    kinds = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4]
+
+    def rows_of(out: list[tuple]) -> list[pa.Array]:
+        return [pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * len(kinds), kinds, strict=True)]
+
+    def dealt(run: Run, number: int) -> pa.RecordBatch:
+        of = (run.high % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(of, kind="stable")  # hashes stay in order inside a bucket
+        cuts = np.flatnonzero(np.diff(of[order], prepend=-1))
+        return pa.RecordBatch.from_arrays(rows_of([(int(of[part[0]]), -1, number, *run.take(part).packed()) for part in np.split(order, cuts[1:])]), names)
+
     def batched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
-        for keys, ids in _keys(batches):
-            run = Run.of([Run(keys[:, 0], keys[:, 1], np.ones(len(ids), np.int64), ids)])
-            of = (run.high % np.uint64(buckets)).astype(np.int64)
-            rows = [(int(b), -1, number, *run.take(np.flatnonzero(of == b)).packed()) for b in np.unique(of)]
-            number += 1
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4], strict=True)],
-                                                 ["bucket", "level", "batch", "high", "low", "docs", "top"])
+        number, parts, size = TaskContext.get().partitionId() << 32, [], 0
+        for batch in steps(batches):
+            keys, rows = _keys(batch)
+            if len(rows):
+                parts.append(Run.of([Run(keys[:, 0], keys[:, 1], np.ones(len(rows), np.int64), _ids(batch)[rows])]))
+                size += len(parts[-1].high)
+            if size >= SENT:
+                yield dealt(Run.of(parts), number)
+                number, parts, size = number + 1, [], 0
+        if parts:
+            yield dealt(Run.of(parts), number)
 
     def fold(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: (-r["level"] if r["level"] >= 0 else 1, r["batch"]))
-        all_levels = Levels()
-        for r in rows:
+        all_levels, parts, size = Levels(), [], 0
+        for i, r in enumerate(rows):
             run = Run.unpacked(r["high"], r["low"], r["docs"], r["top"])
             if r["level"] >= 0:
                 all_levels.put(r["level"], run)
             else:
-                all_levels.add(run)
+                parts.append(run)
+                size += len(run.high)
+            if parts and (size >= BATCH or i == len(rows) - 1):
+                all_levels.add(Run.of(parts))
+                parts, size = [], 0
         out = [(rows[0]["bucket"], level, i, *run.packed()) for level, runs in enumerate(all_levels.levels) for i, run in enumerate(runs) if len(run.high)]
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4], strict=True)] if out else [pa.array([], k) for k in (pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4)],
-                        names=["bucket", "level", "batch", "high", "low", "docs", "top"])
+        return pa.table(rows_of(out), names=names)
 
     new = docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(batched, RUN)
     return (new.unionByName(earlier) if earlier is not None else new).groupBy("bucket").applyInArrow(fold, RUN)
@@ -179,16 +203,19 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     common = stage(frequent(line_runs(docs, buckets_for(docs, text_col), id_col, text_col), least))
 
     def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, ids in _keys(batches):
+        for batch in steps(batches):
+            keys, rows = _keys(batch)
             data = keys.tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([data[i : i + 16] for i in range(0, len(data), 16)], pa.binary()), pa.array(ids)], ["key", "holder"])
+            yield pa.RecordBatch.from_arrays([pa.array([data[i : i + 16] for i in range(0, len(data), 16)], pa.binary()), pa.array(_ids(batch)[rows]), batch.column(2).take(pa.array(rows))], ["key", "holder", "which"])
 
-    held = docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(pairs, "key binary, holder long")
-    drops = held.join(common, "key").where(F.col("holder") < F.col("top")).groupBy("holder").agg(F.collect_set("key").alias("keys"))
+    # Rows that share an id are told apart by a hash of their text, so no id gathers the lines of many rows.
+    held = docs.select(F.col(id_col).cast("long"), text_col, F.xxhash64(F.col(text_col))).mapInArrow(pairs, "key binary, holder long, which long")
+    drops = held.join(common, "key").where(F.col("holder") < F.col("top")).groupBy("holder", "which").agg(F.collect_set("key").alias("keys"))
     keep = keep or []
     rest = [f"__{i}" for i in range(len(keep))]
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(r) for c, r in zip(keep, rest, strict=True)])
-    joined = source.join(drops, F.coalesce(F.col("id").cast("long"), F.lit(NO_ID)) == F.col("holder"), "left").select("id", "text", "keys", *rest)
+    holder = F.coalesce(F.col("id").cast("long"), F.lit(NO_ID)) == F.col("holder")
+    joined = source.join(drops, holder & (F.xxhash64("text") == F.col("which")), "left").select("id", "text", "keys", *rest)
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
