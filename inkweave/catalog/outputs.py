@@ -12,7 +12,7 @@ from inkweave.catalog.documents import SQL_TITLED, titled_pages
 from inkweave.functions import urls
 from inkweave.operators import bundle, content, toc
 from inkweave.session import shared_dir, stage
-from inkweave.sources import readers, sinks
+from inkweave.sources import placed, readers, sinks
 
 
 def job_pages(spark, folder):
@@ -133,7 +133,25 @@ def markdown_scan(spark, folder):
     return readers.stored_pages(spark, path).select("job_id", "filename", F.md5("md").alias("md_md5"))
 
 
+def markdown_files(spark, folder):
+    """Page files written as ``.md`` files in job folders and read again."""
+    path = f"{shared_dir(spark)}/markdown-{uuid.uuid4().hex}"
+    placed.write_markdown(bundle.last_write_wins(_files(spark, folder)), path)
+    return readers.markdown_folder(spark, path).select("job_id", "filename", F.md5("md").alias("md_md5"))
+
+
+def single_document(spark, folder):
+    """The stitched document of every host written as one file and read again."""
+    path = f"{shared_dir(spark)}/document-{uuid.uuid4().hex}"
+    placed.write_single(toc.stitched_v2(stage(job_pages(spark, folder))), path, ["section", "pos"])
+    return placed.single_documents(spark, path).select("job_id", "n_bytes", F.sha2("content", 256).alias("document_sha256"))
+
+
 ENTRIES = {
+    "markdown_files": (markdown_files, f"""WITH {SQL_PAGES}, kept AS (SELECT *, row_number() OVER (PARTITION BY job_id, filename ORDER BY pos DESC) AS r FROM files)
+        SELECT job_id, filename, md5(content) AS md_md5 FROM kept WHERE r = 1"""),
+    "single_document": (single_document, f"""WITH {SQL_PAGES} SELECT job_id, sum(strlen(text))::BIGINT AS n_bytes, sha256(string_agg(text, '' ORDER BY section, pos)) AS document_sha256
+        FROM parts GROUP BY job_id"""),
     "order_list_scan": (order_list_scan, f"SELECT {SQL_HOST} AS job_id, row_number() OVER (PARTITION BY {SQL_HOST} ORDER BY page_id) - 1 AS pos, url FROM pages"),
     "artifact_scan": (artifact_scan, f"SELECT {SQL_HOST} AS job_id, sum(strlen(url) + 1)::BIGINT AS n_bytes FROM pages GROUP BY 1"),
     "markdown_scan": (markdown_scan, f"""WITH {SQL_PAGES}, kept AS (SELECT *, row_number() OVER (PARTITION BY job_id, filename ORDER BY pos DESC) AS r FROM files)

@@ -52,9 +52,10 @@ def requests(spark: SparkSession, path: str, source: str = "job") -> DataFrame:
     return normalise(spark.read.schema(REQUEST_SCHEMA).json(path), source)
 
 
-def _job_of_path() -> Column:
-    """Folder of a file; the sinks name it ``job_id=<escaped id>``."""
-    folder = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
+def job_of_path(path: Column) -> Column:
+    """Folder of a file; the sinks name it ``job_id=<escaped id>``, and file pages may lie deeper."""
+    own, near = F.regexp_extract(path, r"/(job_id=[^/]+)/", 1), F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)
+    folder = F.when(own != "", own).otherwise(near)
     stored = F.url_decode(F.url_decode(F.replace(F.regexp_replace(folder, "^job_id=", ""), F.lit("+"), F.lit("%2B"))))
     return F.when(folder.startswith("job_id="), stored).otherwise(folder)
 
@@ -66,7 +67,7 @@ def order_lists(spark: SparkSession, path: str) -> DataFrame:
     numbered through in the order of their names.
     """
     files = spark.read.text(path, wholetext=True, pathGlobFilter="{order.txt,part-*}", recursiveFileLookup=True).select(
-        _job_of_path().alias("job_id"), F.col("_metadata.file_name").alias("file"),
+        job_of_path(F.col("_metadata.file_path")).alias("job_id"), F.col("_metadata.file_name").alias("file"),
         F.split(F.regexp_replace("value", r"(\r\n|\r|\n)\z", ""), r"\r\n|\r|\n").alias("lines"))
     before = F.sum("n").over(Window.partitionBy("job_id").orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
     starts = files.select("job_id", "file", F.size("lines").alias("n")).withColumn("start", F.coalesce(before, F.lit(0))).drop("n")
@@ -75,9 +76,11 @@ def order_lists(spark: SparkSession, path: str) -> DataFrame:
 
 
 def markdown_folder(spark: SparkSession, path: str) -> DataFrame:
-    """(job_id, filename, md) of ``<job>/*.md`` files."""
+    """(job_id, filename, md) of ``<job>/*.md`` files; a file of a ``job_id=`` folder keeps its folders in its name. Files without a byte give no row."""
+    place = F.col("_metadata.file_path")
+    name = F.when(place.contains("/job_id="), F.url_decode(F.replace(F.regexp_extract(place, r"/job_id=[^/]+/(.*)$", 1), F.lit("+"), F.lit("%2B")))).otherwise(F.col("_metadata.file_name"))
     return spark.read.text(path, wholetext=True, pathGlobFilter="*.md", recursiveFileLookup=True).select(
-        _job_of_path().alias("job_id"), F.col("_metadata.file_name").alias("filename"), F.col("value").alias("md"))
+        job_of_path(place).alias("job_id"), name.alias("filename"), F.col("value").alias("md"))
 
 
 def stored_pages(spark: SparkSession, path: str) -> DataFrame:
