@@ -8,6 +8,7 @@ from inkweave.catalog.common import SQL_HOST, SQL_PATH, load
 from inkweave.functions import html as H
 from inkweave.functions import markdown as M
 from inkweave.operators import content as C
+from inkweave.operators import tokens
 
 # Written into every article, {id} being the page: elements the captured pages do not use.
 BLOCK = """<h2 class="x">Sec {id}</h2>
@@ -122,6 +123,36 @@ def _main(profile):
     return query
 
 
+def main_content_tokens(spark, folder):
+    """The main element by the interval-coded token table."""
+    got = tokens.main_content(wrapped_pages(spark, folder))
+    return got.select("page_id", "selector", F.md5("content").alias("content_md5"), F.length("content").cast("long").alias("n_chars"))
+
+
+def token_table(spark, folder):
+    """Tokens of every page: how many of each kind, the deepest one, and the texts put together."""
+    got = tokens.token_table(load(spark, folder, "pages"))
+    ordered = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "source"))), lambda x: x["source"]), "")
+    return got.groupBy("page_id").agg(
+        F.count("*").alias("n_tokens"), F.count_if(F.col("kind") == "text").alias("n_text"), F.count_if(F.col("kind").isin("open", "void")).alias("n_opened"),
+        F.count_if(F.col("until").isNotNull()).alias("n_closed"), F.max("depth").alias("depth"), F.md5(ordered).alias("html_md5"))
+
+
+#: The closing tag of an opening one is the next of its name that brings the count of open ones below; depth counts the pairs around a token.
+SQL_TOKENS = r"""
+WITH one AS (SELECT page_id, unnest(t) AS x, unnest(range(len(t))) AS pos FROM (SELECT page_id,
+  regexp_extract_all(html, '(?s:<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>)|</?[A-Za-z][^>]*>|<![^>]*>|[^<]+|<') AS t FROM pages)),
+named AS (SELECT *, lower(regexp_extract(x, '^</?([A-Za-z][^\s/>]*)', 1)) AS name FROM one),
+stepped AS (SELECT *, CASE WHEN name IN ('', 'script', 'style', 'meta', 'link', 'br', 'hr', 'img', 'input') OR x LIKE '%/>' THEN 0 WHEN x LIKE '</%' THEN -1 ELSE 1 END AS step FROM named),
+leveled AS (SELECT *, sum(step) OVER (PARTITION BY page_id, name ORDER BY pos) AS level FROM stepped),
+pairs AS (SELECT o.page_id, o.pos, min(c.pos) AS until FROM leveled o JOIN leveled c ON c.page_id = o.page_id AND c.name = o.name AND c.pos > o.pos AND c.step = -1 AND c.level = o.level - 1
+  WHERE o.step = 1 GROUP BY o.page_id, o.pos),
+depths AS (SELECT page_id, max(n) AS depth FROM (SELECT t.page_id, t.pos, count(p.pos) AS n FROM one t LEFT JOIN pairs p ON p.page_id = t.page_id AND p.pos < t.pos AND t.pos < p.until GROUP BY ALL) GROUP BY page_id)
+SELECT page_id, count(*) AS n_tokens, count(*) FILTER (WHERE x NOT LIKE '<%') AS n_text, count(*) FILTER (WHERE name NOT IN ('', 'script', 'style') AND x NOT LIKE '</%') AS n_opened,
+  (SELECT count(*) FROM pairs p WHERE p.page_id = s.page_id) AS n_closed, any_value(depth) AS depth, md5(string_agg(x, '' ORDER BY pos)) AS html_md5
+FROM stepped s JOIN depths USING (page_id) GROUP BY page_id"""
+
+
 def _sql_main(selectors, body, inner):
     return f"""
 WITH {SQL_WRAPPED},
@@ -267,6 +298,8 @@ ENTRIES = {
     "page_title": (page_title, SQL_TITLE),
     "main_content_v1": (_main("v1"), SQL_MAIN_V1),
     "main_content_v2": (_main("v2"), SQL_MAIN_V2),
+    "main_content_tokens": (main_content_tokens, SQL_MAIN_V2),
+    "token_table": (token_table, SQL_TOKENS),
     "noise_removed": (noise_removed, SQL_NOISE),
     "body_furniture": (body_furniture, SQL_FURNITURE),
     "html_to_markdown": (html_to_markdown, f"SELECT page_id, {SQL_RICH_MD} AS md FROM pages"),

@@ -10,6 +10,7 @@ from inkweave.functions import scope, urls
 from inkweave.operators import jobs as J
 from inkweave.operators import links as L
 from inkweave.operators import patterns as P
+from inkweave.operators import tokens as T
 
 # Every page also gets links outside of its navigation and an area marked by class.
 _EXTRA = ('<p><a href="/outside?a=1&amp;b=2#x">o</a> <a href="mailto:m@x">m</a> <a name="k">n</a> '
@@ -56,6 +57,11 @@ def nav_links_v2(spark, folder):
     return L.navigation_links(linked_pages(spark, folder), "v2").select("page_id", "pos", "href")
 
 
+def nav_links_tokens(spark, folder):
+    """Navigation links by the interval-coded token table."""
+    return T.navigation_links(T.token_table(linked_pages(spark, folder))).select("page_id", "pos", "href")
+
+
 SQL_NAV = f"WITH {SQL_LINKS} SELECT page_id, pos, href FROM links WHERE pos < n_nav OR href = '/in-toc'"
 
 
@@ -263,6 +269,7 @@ ENTRIES = {
     "exclude_regex_index": (exclude_regex_index, SQL_EXCLUDE_INDEX),
     "extract_links": (extract_links, f"WITH {SQL_LINKS} SELECT page_id, pos, href FROM links"),
     "href_filter": (href_filter, SQL_FILTER),
+    "nav_links_tokens": (nav_links_tokens, SQL_NAV),
     "nav_links_v1": (nav_links_v1, SQL_NAV),
     "nav_links_v2": (nav_links_v2, SQL_NAV),
     "union_links": (union_links, SQL_UNION),
