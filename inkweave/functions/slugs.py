@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import types as T
 
 from inkweave.functions import as_col, blank_to_null, let, strip_space
 from inkweave.functions.scope import LINE_END
@@ -56,28 +57,30 @@ def file_anchor(filename: Column | str, index: Column | str, full_unicode: bool
                       F.concat(F.lit("file-"), as_col(index).cast("string")))
 
 
+@F.udf(returnType=T.ArrayType(T.StringType()), useArrow=True)
+def _unique(entries):
+    """Needed only where a counted name meets another heading's own name; linear by the set of taken names."""
+    taken, tried, out = set(), {}, []
+    for entry in entries or []:
+        name, stem = entry["slug"], entry["slug"]
+        if name in taken:
+            n = max(tried.get(stem, 0), entry["seen"], 1)
+            while f"{stem}-{n}" in taken:
+                n += 1
+            name, tried[stem] = f"{stem}-{n}", n + 1
+        taken.add(name)
+        out.append(name)
+    return out
+
+
 def unique_slugs(entries: Column | str) -> Column:
     """Sequential uniqueness in one file: a taken slug gets the first free number.
 
     Entries are struct(slug, seen), ``seen`` counting equal slugs before. ``a, a, a-1`` gives
     ``a, a-1, a-1-1``. The k-th equal slug can skip the numbers its forerunners took, so the
-    numbers tried are those other headings may hold.
+    numbers tried start behind them.
     """
-    def first_free(taken: Column, entry: Column) -> Column:
-        stem = F.concat(entry["slug"], F.lit("-"))
-        rivals = F.size(F.filter(taken, lambda t: t.startswith(stem))) - entry["seen"] + 1
-        tries = F.transform(
-            F.sequence(entry["seen"], entry["seen"] + F.greatest(rivals, F.lit(0))),
-            lambda n: F.concat(stem, n.cast("string")))
-        return F.get(F.filter(tries, lambda t: ~F.array_contains(taken, t)), F.lit(0))
-
-    def number(taken: Column, entry: Column) -> Column:
-        start = F.struct(entry["slug"].alias("slug"), F.greatest(entry["seen"], F.lit(1)).alias("seen"))
-        return F.when(F.array_contains(taken, entry["slug"]), first_free(taken, start)).otherwise(entry["slug"])
-
-    return F.aggregate(
-        as_col(entries), F.expr("cast(array() as array<string>)"),
-        lambda taken, entry: F.concat(taken, F.array(number(taken, entry))))
+    return _unique(as_col(entries))
 
 
 def display_text(text: Column | str) -> Column:

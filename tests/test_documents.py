@@ -1,3 +1,5 @@
+import time
+
 import random
 
 from pyspark.sql import functions as F
@@ -147,3 +149,11 @@ def test_refused_and_empty_jobs_fail(spark):
     got = {r.job_id: (r.state, r.error, r.object_key is None) for r in bundle.summary(jobs, counts, F.lit("2024-01-01").cast("timestamp")).collect()}
     assert got == {"a": ("FAILURE", "Invalid exclude pattern", True), "b": ("FAILURE", "ZIP creation failed", True), "c": ("FAILURE", "all_docs.md missing for single_md export", True),
                    "d": ("FAILURE", "Invalid URL", True), "e": ("FAILURE", "Invalid output_format", True), "f": ("SUCCESS", None, False)}
+
+
+def test_a_page_of_equal_headings_that_clash_is_linear(spark):
+    rows = [("x\n\n# a-1\n" + "# a\n" * 20_000,)]
+    files = spark.createDataFrame(rows, "md string").withColumn("id", F.lit(1))
+    start = time.time()
+    got = [r.slug for r in toc.headings(files, ["id"]).orderBy("pos").collect()]
+    assert got[:4] == ["a-1", "a", "a-2", "a-3"] and len(set(got)) == 20_001 and time.time() - start < 30
