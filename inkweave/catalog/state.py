@@ -14,8 +14,9 @@ from inkweave.catalog.common import load, now
 from inkweave.functions import fetching
 from inkweave.operators import politeness, progress
 from inkweave.session import prepare, shared_dir
-from inkweave.sources.readers import captured_pages
+from inkweave.sources.readers import FETCH_LOG_SCHEMA, captured_pages
 from inkweave.streaming import live
+from inkweave.streaming.latest import LatestTable
 
 SPEED = 2000
 
@@ -145,6 +146,22 @@ SELECT page_id, CASE WHEN k IN (0, 1) THEN 'limited' WHEN k = 2 THEN 'failed' WH
   WHEN k = 4 THEN 'not_html' ELSE 'ok' END AS outcome FROM k"""
 
 
+def fetch_outcome_stream(spark, folder):
+    """Outcomes by a fetch log that arrives in five files, some retries before the attempt they follow."""
+    clean = F.regexp_replace("url", r"/([?#]|$)", "$1")
+    log = fetch_log(spark, folder).withColumn("url", clean)
+    base = f"{shared_dir(spark)}/fetches-{uuid.uuid4().hex}"
+    dealt = log.withColumn("file", F.pmod(F.xxhash64("url", "ts"), F.lit(5)))
+    for number in range(5):
+        dealt.where(F.col("file") == number).drop("file").coalesce(1).write.mode("append").parquet(f"{base}/log")
+    latest = LatestTable(spark, f"{base}/latest", FETCH_LOG_SCHEMA, ["url"], ["ts"], fold_every=3)
+    source = spark.readStream.schema(FETCH_LOG_SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{base}/log")
+    latest.follow(source, f"{base}/checkpoint").awaitTermination()
+    body = F.when(F.col("page_id") % 9 == 7, "").otherwise(F.col("html"))
+    pages = load(spark, folder, "pages").select("page_id", clean.alias("url"), body.alias("html"))
+    return captured_pages(pages, latest.read()).select("page_id", "outcome")
+
+
 def _shown(changes):
     return changes.select("job_id", "event_id", F.unix_micros("ts").alias("ts_us"), "state", progress.payload("state", "meta").alias("payload"))
 
@@ -240,6 +257,7 @@ ENTRIES = {
     "request_pace": (request_pace, f"""{_sql_walk(SQL_STEP_V2)}
         SELECT host, event_id, CASE WHEN coalesce(ts < until, false) THEN 5.0 ELSE delay END::DOUBLE AS waited FROM walk WHERE n > 0"""),
     "retry_after": (retry_after, SQL_RETRY),
+    "fetch_outcome_stream": (fetch_outcome_stream, SQL_OUTCOME),
     "fetch_outcome": (fetch_outcome, SQL_OUTCOME),
     "progress_changes": (progress_changes, SQL_CHANGES),
     "job_status": (job_status, SQL_SNAPSHOT),
