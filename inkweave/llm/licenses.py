@@ -1,8 +1,10 @@
 """Licence scan by a positional index of templates' rarest words. DataFrame functions only.
 
-A template is a sequence of words with a mandatory key phrase. A file can hold the phrase only if
-it holds all its words; then the positions of the phrase's two words of highest IDF, each minus
-its place in the template, are intersected, and every common place is verified word by word.
+A template is a sequence of words with a mandatory key phrase. The index has postings (template,
+place in the phrase) for the two words of highest IDF of every phrase. A file looks its words up
+in it; each hit gives a template and the word where its phrase would start. Starts that both
+words of a template agree on are intersected, and the phrase is verified there word by word. The
+index is a constant of the plan, whose size does not grow with the number of templates.
 """
 
 from __future__ import annotations
@@ -60,34 +62,45 @@ TEMPLATES = [
     Template("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
     Template("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
+    Template("agpl-3.0", "this program is licensed under the gnu affero general public license version 3", "gnu affero general public license"),
+    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "permission to use copy modify and or distribute this software"),
+    Template("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
+    Template("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "waived all copyright and related or neighboring rights"),
+    Template("zlib", "this software is provided as is without any express or implied warranty", "without any express or implied warranty"),
+    Template("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", "eclipse public license"),
+    Template("boost", "boost software license version 1 0", "boost software license"),
+    Template("artistic-2.0", "you may copy and distribute verbatim copies under the terms of the artistic license 2 0", "artistic license 2 0"),
+    Template("ofl-1.1", "this font software is licensed under the sil open font license version 1 1", "sil open font license"),
+    Template("cc-by-nd", "licensed under cc by nd 4 0", "cc by nd"),
     Template("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
 ]
 
 
-def _offsets(tokens: Column, word: str, phrase: list[str]) -> Column:
-    """Where the phrase would start for each place of the word in the file and in the phrase."""
-    places = F.array_compact(F.transform(tokens, lambda x, i: F.when(x == word, i)))
-    less = lambda q: lambda p: p - q
-    starts = [F.transform(places, less(q)) for q, w in enumerate(phrase) if w == word]
-    return F.concat(*starts) if len(starts) > 1 else starts[0]
+def _index(every: list[Template], idf: dict[str, float]) -> dict[str, list[str]]:
+    """Postings ``template:place:turn`` of each phrase's two rarest words; a phrase of one word has it in both turns."""
+    out: dict[str, list[str]] = {}
+    for t, template in enumerate(every):
+        rare = sorted(set(template.phrase), key=lambda w: (-idf[w], w))[:2]
+        for turn, word in enumerate((rare * 2)[:2]):
+            out.setdefault(word, []).extend(f"{t}:{place}:{turn}" for place, w in enumerate(template.phrase) if w == word)
+    return out
 
 
-def _places(tokens: Column, template: Template, idf: dict[str, float]) -> Column:
-    """Starts of the phrase, ascending."""
-    rare = sorted(set(template.phrase), key=lambda w: (-idf[w], w))[:2]
-    starts = F.array_distinct(_offsets(tokens, rare[0], template.phrase))
-    if len(rare) > 1:
-        starts = F.array_intersect(starts, _offsets(tokens, rare[1], template.phrase))
-    whole = lambda o: F.coalesce(F.forall(F.array(*[F.coalesce(F.get(tokens, o + j) == w, F.lit(False)) for j, w in enumerate(template.phrase)]), lambda x: x), F.lit(False))
-    return F.sort_array(F.filter(starts, whole))
+def _starts(tokens: Column, index: dict[str, list[str]]) -> Column:
+    """struct(t, o): template and the word its phrase would start with, where both of its rarest words agree."""
+    postings = F.str_to_map(F.lit(";".join(f"{w}={' '.join(p)}" for w, p in index.items())), F.lit(";"), F.lit("="))
+    seen = F.filter(F.transform(tokens, lambda x, i: F.when(x.isin(*index), F.struct(x.alias("w"), i.alias("i")))), lambda x: x.isNotNull())
 
+    def looked_up(hit: Column) -> Column:
+        def start(posting: Column) -> Column:
+            part = F.split(posting, ":")
+            return F.struct(part[2].alias("turn"), F.struct(part[0].cast("int").alias("t"), (hit["i"] - part[1].cast("int")).alias("o")).alias("at"))
 
-def _share(tokens: Column, places: Column, template: Template) -> Column:
-    """Largest share of the template's words that stand where the template has them."""
-    def met(o: Column) -> Column:
-        return sum((F.coalesce((F.get(tokens, o + (j - template.at)) == w).cast("int"), F.lit(0)) for j, w in enumerate(template.words)), F.lit(0)) / F.lit(float(len(template.words)))
+        return F.transform(F.split(F.element_at(postings, hit["w"]), " "), start)
 
-    return F.coalesce(F.array_max(F.transform(places, met)), F.lit(0.0))
+    hits = F.flatten(F.transform(seen, looked_up))
+    turn = lambda all_hits, n: F.transform(F.filter(all_hits, lambda x: x["turn"] == n), lambda x: x["at"])
+    return F.element_at(F.transform(F.array(hits), lambda h: F.array_intersect(turn(h, "0"), turn(h, "1"))), 1)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base: list[Template] | None = None, templates: list[Template] | None = None) -> DataFrame:
@@ -106,24 +119,33 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base:
     # the split is a column of its own, used several times below it
     tokens = F.array_remove(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), GAP, -1), "")
     split = docs.select(F.col(id_col).alias("key"), tokens.alias("tokens"))
-    known = split.select("key", "tokens", F.size("tokens").cast("long").alias("n_words"), F.array_intersect("tokens", F.array(*map(F.lit, vocabulary))).alias("known"))
-    able = [F.size(F.array_intersect("known", F.array(*map(F.lit, sorted(set(t.phrase)))))) == len(set(t.phrase)) for t in every]
-    some = able[0]
-    for x in able[1:]:
-        some = some | x
-    rows = stage(known.select("key", "n_words", "known", F.when(some, F.col("tokens")).alias("tokens")))
+    known = split.select("key", "tokens", F.size("tokens").cast("long").alias("n_words"), F.array_distinct(F.filter("tokens", lambda x: x.isin(*vocabulary))).alias("known"))
+    rows = stage(known.select("key", "n_words", "known", F.when(F.size("known") > 0, F.col("tokens")).alias("tokens")))
 
     # at most one row for each word of the templates
     counts = {r["word"]: r["n"] for r in rows.select(F.explode("known").alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}
     total = rows.count()
     idf = {w: math.log((total + 1) / (counts.get(w, 0) + 1)) for w in vocabulary}
 
-    found = rows
-    for i, t in enumerate(every):
-        found = found.withColumn(f"at{i}", F.when(F.col("tokens").isNotNull() & able[i], _places(F.col("tokens"), t, idf)).otherwise(F.array().cast("array<int>")))
-    has = lambda i: F.size(f"at{i}") > 0
-    join = lambda which: F.array_join(F.sort_array(F.array_distinct(F.array_compact(F.array(*[F.when(has(i), every[i].label) for i in which])))), ",")
-    starts = F.concat(*[F.col(f"at{i}") for i in range(len(base))])
-    score = F.greatest(*[F.when(has(i), _share(F.col("tokens"), F.col(f"at{i}"), t)).otherwise(F.lit(0.0)) for i, t in enumerate(every)])
-    return found.select(F.col("key").alias(id_col), "n_words", F.size(starts).cast("long").alias("n_base"), F.array_min(starts).cast("long").alias("first_word"),
-                        F.array_max(starts).cast("long").alias("last_word"), join(range(len(base))).alias("base_labels"), join(range(len(every))).alias("labels"), score.alias("score"))
+    constant = lambda values: F.split(F.lit("\n".join(map(str, values))), "\n")
+    phrases, sizes = constant([" ".join(t.phrase) for t in every]), constant([len(t.phrase) for t in every])
+    texts, before, labels = constant([" ".join(t.words) for t in every]), constant([t.at for t in every]), constant([t.label for t in every])
+
+    def whole(c: Column) -> Column:
+        """The phrase stands there, word by word."""
+        size = F.get(sizes, c["t"]).cast("int")
+        return F.when(c["o"] >= 0, F.array_join(F.slice("tokens", c["o"] + 1, size), " ") == F.get(phrases, c["t"])).otherwise(False)
+
+    def share(c: Column) -> Column:
+        """Share of the template's words that stand where the template has them."""
+        words = F.split(F.get(texts, c["t"]), " ")
+        first = c["o"] - F.get(before, c["t"]).cast("int")
+        return F.size(F.filter(F.transform(words, lambda w, j: F.get(F.col("tokens"), first + j) == w), lambda x: x)) / F.size(words)
+
+    starts = F.when(F.col("tokens").isNotNull(), F.filter(_starts(F.col("tokens"), _index(every, idf)), whole)).otherwise(F.expr("cast(array() as array<struct<t:int,o:int>>)"))
+    found = rows.withColumn("at", starts)
+    of_base = F.transform(F.filter("at", lambda c: c["t"] < len(base)), lambda c: c["o"])
+    named = lambda chosen: F.array_join(F.sort_array(F.array_distinct(F.transform(chosen, lambda c: F.get(labels, c["t"])))), ",")
+    return found.select(F.col("key").alias(id_col), "n_words", F.size(of_base).cast("long").alias("n_base"), F.array_min(of_base).cast("long").alias("first_word"),
+                        F.array_max(of_base).cast("long").alias("last_word"), named(F.filter("at", lambda c: c["t"] < len(base))).alias("base_labels"), named(F.col("at")).alias("labels"),
+                        F.coalesce(F.array_max(F.transform("at", share)), F.lit(0.0)).alias("score"))

@@ -331,6 +331,8 @@ def test_registered_queries_return_the_contracts_columns(spark):
         "op1": "doc_id n_tokens ids_sha256 decoded_sha256", "op2": "doc_id n_shingles component_id", "op3": "doc_id n_lines n_dropped kept_sha256",
         "op4": "doc_id size text_crc32 law shard slot grown_shard", "op5": "doc_id held_out lang_pred score", "op6": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
         "op7": "doc_id n_assign n_access n_hex base_sha256 spans", "op8": "doc_id n_words n_base first_word last_word base_labels labels score", "op9": "doc_id n_words n_removed kept_sha256", "op10": "doc_id item_id",
+        "op11": "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256", "op12": "doc_id start n_tokens ids_crc32",
+        "op13": "conv_id gaps blank duplicate truncated illegal cost audit repaired_sha256",
     }
     for name, (query, _) in queries.QUERIES.items():
         got = query(spark, DATA)
