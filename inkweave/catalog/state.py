@@ -16,6 +16,7 @@ from inkweave.operators import politeness, progress
 from inkweave.session import prepare, shared_dir
 from inkweave.sources.readers import FETCH_LOG_SCHEMA, captured_pages
 from inkweave.streaming import live
+from inkweave.streaming.expiry import ExpiryWheel
 from inkweave.streaming.latest import LatestTable
 
 SPEED = 2000
@@ -249,7 +250,21 @@ def retention_stream(spark, folder):
     return listing.join(spark.read.parquet(removed), "key").select("key", (F.unix_seconds(now()) - F.unix_seconds("modified")).alias("age"))
 
 
+def retention_wheel(spark, folder):
+    """Three ticks twenty minutes apart, each after the artifacts made until then were listed; each expired key once."""
+    listing = as_artifacts(load(spark, folder, "events")).withColumn("key", F.col("key").cast("string"))
+    wheel = ExpiryWheel(spark, f"{shared_dir(spark)}/wheel-{uuid.uuid4().hex}")
+    end = spark.range(1).select(F.unix_micros(now())).first()[0]
+    made, before = F.unix_micros(F.col("modified").cast("timestamp")), None
+    for number, at in enumerate((end - 2_400_000_000, end - 1_200_000_000, end)):
+        wheel.add(listing.where((made <= at) & (F.lit(True) if before is None else made > before)), number)
+        wheel.tick(at, number)
+        before = at
+    return listing.join(wheel.removed(), "key").select("key", (F.unix_seconds(now()) - F.unix_seconds("modified")).alias("age"))
+
+
 ENTRIES = {
+    "retention_wheel": (retention_wheel, f"WITH {SQL_GONE} SELECT key, age FROM gone"),
     "success_streak": (success_streak, SQL_STREAK),
     "penalty_interval": (penalty_interval, SQL_PENALTY),
     "adaptive_delay_v1": (adaptive_delay_v1, f"{_sql_walk(SQL_STEP_V1)} SELECT host, event_id, delay FROM walk WHERE n > 0"),
