@@ -56,9 +56,20 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _stages(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark)}/stage/{spark.sparkContext.applicationId}"
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, keeps real statistics."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stage/{uuid.uuid4().hex}"
+    path = f"{_stages(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_stages(spark: SparkSession) -> None:
+    """Remove all that this application has staged. Call it when no result of the session is read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_stages(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
