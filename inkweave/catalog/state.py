@@ -82,6 +82,19 @@ def request_pace(spark, folder):
     return politeness.request_pace(delays).select("host", "event_id", "waited")
 
 
+def pace_report(spark, folder):
+    """Requests, limits and gaps of every host in every hour of its log."""
+    return politeness.pace_report(as_fetch_log(load(spark, folder, "events")))
+
+
+SQL_PACE = f"""
+WITH {SQL_LOG}, p AS (SELECT *, epoch_us(ts) AS us, epoch_us(ts) - lag(epoch_us(ts)) OVER w AS gap,
+  max(CASE WHEN outcome = 'limited' THEN ts END) OVER w + INTERVAL 20 SECOND AS until FROM numbered WINDOW w AS (PARTITION BY host ORDER BY n))
+SELECT host, us // 3600000000 * 3600000000 AS interval_us, count(*) AS n_requests, count(*) FILTER (WHERE outcome = 'ok') AS n_ok, count(*) FILTER (WHERE outcome = 'limited') AS n_limited,
+  count(*) FILTER (WHERE outcome = 'failed') AS n_failed, count(*) FILTER (WHERE coalesce(ts < until, false)) AS n_in_penalty, min(gap) AS min_gap_us, sum(gap)::BIGINT AS sum_gap_us,
+  count(*) FILTER (WHERE gap < 250000) AS n_too_fast FROM p GROUP BY ALL"""
+
+
 def _sql_walk(step):
     return f"""
 WITH RECURSIVE {SQL_LOG},
@@ -190,6 +203,19 @@ def progress_stream(spark, folder):
     return _shown(live.drain(live.progress_changes(as_progress_log(_event_stream(spark, folder)))))
 
 
+def progress_stream_batches(spark, folder):
+    """The progress stream over six files in time order, one a micro-batch: state is carried from batch to batch."""
+    events = load(spark, folder, "events")
+    path = f"{shared_dir(spark)}/events-{uuid.uuid4().hex}"
+    cuts = events.select(F.expr("percentile_approx(unix_micros(cast(ts as timestamp)), array(0.17, 0.33, 0.5, 0.67, 0.83), 10000)")).first()[0]
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = events.where((F.lit(True) if low is None else us > low) & (F.lit(True) if high is None else us <= high))
+        part.coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return _shown(live.drain(live.progress_changes(as_progress_log(stream))))
+
+
 def delay_stream(spark, folder):
     return live.drain(live.adaptive_delay(as_fetch_log(_event_stream(spark, folder)))).select("host", "event_id", "delay")
 
@@ -271,6 +297,7 @@ ENTRIES = {
     "adaptive_delay_v2": (adaptive_delay_v2, SQL_DELAY_V2),
     "request_pace": (request_pace, f"""{_sql_walk(SQL_STEP_V2)}
         SELECT host, event_id, CASE WHEN coalesce(ts < until, false) THEN 5.0 ELSE delay END::DOUBLE AS waited FROM walk WHERE n > 0"""),
+    "pace_report": (pace_report, SQL_PACE),
     "retry_after": (retry_after, SQL_RETRY),
     "fetch_outcome_stream": (fetch_outcome_stream, SQL_OUTCOME),
     "fetch_outcome": (fetch_outcome, SQL_OUTCOME),
@@ -280,6 +307,7 @@ ENTRIES = {
     "retention": (retention, f"WITH {SQL_GONE} SELECT key, age FROM gone"),
     "expired_count": (expired_count, f"WITH {SQL_GONE} SELECT count(*) AS deleted_count FROM gone"),
     "progress_stream": (progress_stream, SQL_CHANGES),
+    "progress_stream_batches": (progress_stream_batches, SQL_CHANGES),
     "delay_stream": (delay_stream, SQL_DELAY_V2),
     "retention_stream": (retention_stream, f"WITH {SQL_GONE} SELECT key, age FROM gone"),
 }

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from inkweave.functions.fetching import (
     DELAY_STEP, INITIAL_DELAY, MAX_DELAY, MIN_DELAY, PENALTY_SECONDS, SUCCESSES_PER_STEP)
-from inkweave.operators.ordered import position_slot, running, time_slot
+from inkweave.operators.ordered import position_slot, previous, running, time_slot
 from inkweave.session import stage
 
 CHUNK_ROWS = 2_000
@@ -127,3 +127,21 @@ def request_pace(delays: DataFrame, slot_seconds: int = 3600) -> DataFrame:
     """Delay actually waited: the maximum inside a penalty, else the adaptive delay."""
     return penalty_interval(delays, slot_seconds).withColumn(
         "waited", F.when(F.col("in_penalty"), F.lit(MAX_DELAY)).otherwise(F.col("delay")))
+
+
+def pace_report(log: DataFrame, every_seconds: int = 3600, slot_seconds: int = 3600) -> DataFrame:
+    """How each host was asked in each interval: counts by outcome, gaps between requests, requests too soon after a limit.
+
+    (host, interval_us, n_requests, n_ok, n_limited, n_failed, n_in_penalty (the limited one included), min_gap_us, sum_gap_us,
+    n_too_fast). A gap belongs to the interval of its later request; one under the least delay is
+    too fast. It replays no timer: everything comes from the recorded times.
+    """
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    marked = stage(penalty_interval(log, slot_seconds))
+    gaps = previous(marked, ["host"], time_slot(F.col("ts"), slot_seconds), ORDER, ["ts"]).withColumn(
+        "gap", us - F.unix_micros(F.col("prev_ts").cast("timestamp")))
+    is_, span = lambda *names: F.count_if(F.col("outcome").isin(*names)), every_seconds * 1_000_000
+    return gaps.groupBy("host", (F.floor(us / F.lit(span)) * span).cast("long").alias("interval_us")).agg(
+        F.count("*").alias("n_requests"), is_("ok").alias("n_ok"), is_("limited").alias("n_limited"), is_("failed", "empty").alias("n_failed"),
+        F.count_if("in_penalty").alias("n_in_penalty"), F.min("gap").alias("min_gap_us"), F.sum("gap").alias("sum_gap_us"),
+        F.count_if(F.col("gap") < F.lit(int(MIN_DELAY * 1_000_000))).alias("n_too_fast"))

@@ -128,3 +128,11 @@ def test_periodic_retention(spark, tmp_path):
     finally:
         query.stop()
     assert keys() == ["new", "old"]
+
+
+def test_pace_report(spark):
+    from inkweave.operators import politeness
+    rows = [("h", t, k, o) for k, (t, o) in enumerate([("00:00:00.0", "ok"), ("00:00:00.1", "limited"), ("00:00:05", "ok"), ("01:00:00", "failed"), ("01:00:01", "not_html")])]
+    log = spark.createDataFrame(rows, "host string, t string, event_id long, outcome string").selectExpr("host", "timestamp('2024-01-01 ' || t) AS ts", "event_id", "outcome")
+    got = [tuple(r)[2:] for r in politeness.pace_report(log, slot_seconds=2).orderBy("interval_us").collect()]
+    assert got == [(3, 2, 1, 0, 2, 100_000, 5_000_000, 1), (2, 0, 0, 1, 0, 1_000_000, 3_596_000_000, 0)]
