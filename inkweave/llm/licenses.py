@@ -116,19 +116,22 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base:
     base, templates = BASE if base is None else base, TEMPLATES if templates is None else templates
     every = [*base, *templates]
     vocabulary = sorted({w for t in every for w in t.phrase})
+    constant = lambda values: F.split(F.lit("\n".join(map(str, values))), "\n")
     # the split is a column of its own, used several times below it
     tokens = F.array_remove(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), GAP, -1), "")
     split = docs.select(F.col(id_col).alias("key"), tokens.alias("tokens"))
     known = split.select("key", "tokens", F.size("tokens").cast("long").alias("n_words"), F.array_distinct(F.filter("tokens", lambda x: x.isin(*vocabulary))).alias("known"))
-    rows = stage(known.select("key", "n_words", "known", F.when(F.size("known") > 0, F.col("tokens")).alias("tokens")))
+    # only a file with all words of some phrase keeps its tokens
+    phrases = constant([" ".join(t.phrase) for t in every])
+    able = F.exists(phrases, lambda p: F.size(F.array_except(F.split(p, " "), F.col("known"))) == 0)
+    rows = stage(known.select("key", "n_words", "known", F.when(able, F.col("tokens")).alias("tokens")))
 
     # at most one row for each word of the templates
     counts = {r["word"]: r["n"] for r in rows.select(F.explode("known").alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}
     total = rows.count()
     idf = {w: math.log((total + 1) / (counts.get(w, 0) + 1)) for w in vocabulary}
 
-    constant = lambda values: F.split(F.lit("\n".join(map(str, values))), "\n")
-    phrases, sizes = constant([" ".join(t.phrase) for t in every]), constant([len(t.phrase) for t in every])
+    sizes = constant([len(t.phrase) for t in every])
     texts, before, labels = constant([" ".join(t.words) for t in every]), constant([t.at for t in every]), constant([t.label for t in every])
 
     def whole(c: Column) -> Column:
