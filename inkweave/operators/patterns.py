@@ -2,8 +2,9 @@
 
 Path prefixes: an address has few prefixes that a pattern can name, so these are exploded and
 joined with the patterns, a trie as a table. Regular expressions: a text that every match must
-contain is taken out of the pattern; its rarest part of three signs is joined with the parts of
-the address, and only what meets is tested, first for the whole text, then by the expression.
+contain is taken out of the pattern; its rarest part is joined with the parts of the address, and
+only what meets is tested, first for the whole text, then by the expression. Parts are as long as
+the text allows (of a few lengths), so that patterns by the thousand do not share theirs.
 Expressions without such a text are tested on the addresses of their host. Spark broadcasts the
 pattern side while its bytes allow it and shuffles beyond; either way the work follows the hits.
 """
@@ -16,8 +17,9 @@ from pyspark.sql import functions as F
 from inkweave.functions import let, urls
 from inkweave.operators.joins import salted_join
 
-#: Signs of a trigger part.
-PART = 3
+#: Signs of a trigger part: the most that the text has.
+PARTS = (3, 6, 9, 12, 18, 24, 36)
+PART = PARTS[0]
 # Escaped signs stand as these private ones while the syntax around them is taken away.
 _ESCAPED = "./-_?+*()[]{}^$|&=,:;#%~@!\"' "
 _HELD = "".join(chr(0xE100 + i) for i in range(len(_ESCAPED)))
@@ -45,11 +47,13 @@ def include_matches(addresses: DataFrame, patterns: DataFrame) -> DataFrame:
 def required_text(pattern: Column) -> Column:
     """The longest text that every match of the expression holds; empty when none is certain.
 
-    Alternatives, flags, look-around and quotations give none. Groups, classes, quantified signs
-    and anchors only end a text.
+    Alternatives outside of groups, flags, look-around and quotations give none. Groups (with the
+    alternatives in them), classes, quantified signs and anchors only end a text.
     """
     quantifier = r"(?:[?*+]|\{[^}]*\})[?+]?"
     held = pattern
+    # what stands between angle brackets goes with the sign before them, an alternative in it with it
+    hidden = pattern.rlike(r"\\[A-Za-z0-9]<[^>]*\|")
     for sign, private in zip(_ESCAPED, _HELD, strict=True):
         held = F.replace(held, F.lit("\\" + sign), F.lit(private))
     steps = [
@@ -62,13 +66,15 @@ def required_text(pattern: Column) -> Column:
     ]
     for old, new in steps:
         held = F.regexp_replace(held, old, new)
-    sure = ~F.replace(pattern, F.lit("\\|"), F.lit("")).contains("|") & ~pattern.contains("(?") & ~pattern.rlike(r"\\[QE]") & ~pattern.contains("\\\\") & ~held.rlike(r"[()\[\]{}\\]")
+    sure = ~held.contains("|") & ~hidden & ~pattern.rlike(r"\(\?(?!:)") & ~pattern.rlike(r"\\[QE]") & ~pattern.contains("\\\\") & ~held.rlike(r"[()\[\]{}\\]")
     pieces = F.transform(F.split(F.translate(held, _HELD, _ESCAPED), "\n"), lambda t: F.struct(F.length(t).alias("n"), t.alias("t")))
     return F.when(sure, F.array_max(pieces)["t"]).otherwise("")
 
 
-def _parts(text: Column) -> Column:
-    return let(text, lambda t: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - (PART - 1), F.lit(1))), lambda i: F.substr(t, i, F.lit(PART)))))
+def _parts(text: Column, signs: Column) -> Column:
+    """The parts of a text that have ``signs`` signs; none of a shorter text."""
+    starts = lambda t: F.filter(F.sequence(F.lit(1), F.greatest(F.length(t) - signs + 1, F.lit(1))), lambda i: i + signs - 1 <= F.length(t))
+    return let(text, lambda t: F.array_distinct(F.transform(starts(t), lambda i: F.substr(t, i, signs))))
 
 
 def exclude_matches(addresses: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -78,13 +84,17 @@ def exclude_matches(addresses: DataFrame, patterns: DataFrame) -> DataFrame:
     and in its path, on its host only. Every expression must compile (see ``scope.patterns_compile``).
     """
     needs = patterns.select("job_id", "host", "pattern", required_text(F.col("pattern")).alias("text")).distinct()
-    triggered = needs.where(F.length("text") >= PART)
+    fitting = F.array_max(F.filter(F.array(*[F.lit(n) for n in PARTS]), lambda n: n <= F.length("text")))
+    triggered = needs.where(F.length("text") >= PART).withColumn("signs", fitting)
     # the part that fewest patterns have: a word all patterns share does not bring them all in
-    parts = triggered.select("host", "job_id", "pattern", "text", F.explode(_parts(F.col("text"))).alias("part"))
+    parts = triggered.select("host", "job_id", "pattern", "text", F.explode(_parts(F.col("text"), F.col("signs"))).alias("part"))
     many = parts.groupBy("host", "part").agg(F.count("*").alias("n"))
     rarest = parts.join(many, ["host", "part"]).groupBy("host", "job_id", "pattern", "text").agg(F.min(F.struct("n", "part"))["part"].alias("part"))
     known = addresses.select("url", urls.host("url").alias("host"))
-    ways = known.select("url", "host", F.explode(_parts(F.col("url"))).alias("part"))
+    # only parts of a length that some pattern of the host has
+    lengths = triggered.groupBy("host").agg(F.collect_set("signs").alias("lengths"))
+    cut = salted_join(known, lengths, ["host"], F.col("url")).select("url", "host", F.explode("lengths").alias("signs"))
+    ways = cut.select("url", "host", F.explode(_parts(F.col("url"), F.col("signs"))).alias("part"))
     found = salted_join(ways, rarest, ["host", "part"], F.col("url")).where(F.col("url").contains(F.col("text")))
     rest = salted_join(known, needs.where(F.length("text") < PART), ["host"], F.col("url"))
     both = found.select("url", "job_id", "pattern").unionByName(rest.select("url", "job_id", "pattern"))

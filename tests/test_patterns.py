@@ -43,3 +43,34 @@ def test_only_what_meets_is_tested(spark):
     plan = P.exclude_matches(table, patterns)
     assert plan.count() == 0
     assert "NestedLoop" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_alternatives_in_groups_and_shared_parts_do_not_bring_all_pairs(spark):
+    """Expressions of one page each, whose short parts all share: what is tested stays near what matches."""
+    ids = spark.range(1000, 3000).select(F.col("id").cast("string").alias("id"))
+    table = ids.select(F.concat(F.lit("https://h/en/"), "id").alias("url"))
+    pattern = F.when(F.col("id") % 2 == 0, F.concat(F.lit("^https?://[^/]+/en/"), "id", F.lit("/?(utm|$)"))).otherwise(F.concat(F.lit("/en/"), "id", F.lit(r"\b")))
+    patterns = ids.select(F.lit("j").alias("job_id"), F.lit("h").alias("host"), pattern.alias("pattern"))
+    texts = patterns.select(P.required_text(F.col("pattern")).alias("t")).distinct()
+    assert texts.where(F.length("t") >= 8).count() == 2000
+    plan = P.exclude_matches(table, patterns)
+    assert plan.count() == 2000
+    tree = plan._jdf.queryExecution().executedPlan()
+    assert max(_join_rows(tree)) < 100_000
+
+
+def test_alternatives_that_need_nothing(spark):
+    want = {r"\d<abc|def>x": "", "abc|def": "", "(abc|defg)hij": "hij", "(?:a|(b|c)d)+/docs/": "/docs/", r"docs\|blog": "docs|blog", "[|]docs": "docs", "(?i:a|b)docs": "", "(a|b)|docs": ""}
+    got = spark.createDataFrame([(p,) for p in want], "p string").select("p", P.required_text(F.col("p")).alias("t")).collect()
+    assert {r.p: r.t for r in got} == want
+
+
+def _join_rows(node):
+    """Rows that every join of a finished plan gave."""
+    name, found = node.nodeName(), []
+    if name == "AdaptiveSparkPlan":
+        return _join_rows(node.executedPlan())
+    if "Join" in name:
+        found.append(node.metrics().apply("numOutputRows").value())
+    kids = [node.plan()] if "QueryStage" in name else [node.children().apply(i) for i in range(node.children().size())]
+    return found + [n for kid in kids for n in _join_rows(kid)]
