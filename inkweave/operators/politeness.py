@@ -7,18 +7,20 @@ through chunks of bounded size.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkweave.functions import let
 from inkweave.functions.fetching import (
     DELAY_STEP, INITIAL_DELAY, MAX_DELAY, MIN_DELAY, PENALTY_SECONDS, SUCCESSES_PER_STEP)
 from inkweave.operators.ordered import position_slot, previous, running, time_slot
 from inkweave.session import stage
 
 CHUNK_ROWS = 2_000
+#: Steps of a chunk that are put together at once.
+BLOCK_ROWS = 50
 ORDER = ["ts", "event_id"]
 
 
@@ -75,14 +77,19 @@ def adaptive_delay_v1(log: DataFrame, slot_seconds: int = 3600) -> DataFrame:
         *log.columns, "delay")
 
 
-def _carry(parts: Iterator[pd.DataFrame] | pd.DataFrame) -> pd.DataFrame:
-    """Start delay of each chunk of one host, from the chunk functions before it."""
-    frame = parts.sort_values("chunk")
-    value, starts = INITIAL_DELAY, []
-    for add, low, high in zip(frame["add"], frame["low"], frame["high"]):
-        starts.append(value)
-        value = min(high, max(low, value + add))
-    return pd.DataFrame({"host": frame["host"].to_numpy(), "chunk": frame["chunk"].to_numpy(), "start": starts})
+def _replay(steps: Column, start: Column, move: Callable[[Column, Column], Column]) -> Column:
+    """Value after each step. Appending copies what is there, so steps go by blocks: a row is copied with its block and the block with the others."""
+    nothing = F.expr("cast(array() as array<double>)")
+
+    def through(value: Column, block: Column) -> Column:
+        return F.aggregate(block, F.struct(value.alias("x"), nothing.alias("out")), lambda acc, s: let(move(acc["x"], s), lambda x: F.struct(
+            x.alias("x"), F.concat(acc["out"], F.array(x)).alias("out"))))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / F.lit(BLOCK_ROWS)).cast("int")), lambda i: F.slice(steps, i * BLOCK_ROWS + 1, BLOCK_ROWS))
+    return F.flatten(F.aggregate(
+        blocks, F.struct(start.alias("x"), F.expr("cast(array() as array<array<double>>)").alias("out")),
+        lambda acc, block: let(through(acc["x"], block), lambda done: F.struct(
+            done["x"].alias("x"), F.concat(acc["out"], F.array(done["out"])).alias("out"))))["out"])
 
 
 def adaptive_delay_v2(log: DataFrame, slot_seconds: int = 3600, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -102,7 +109,7 @@ def adaptive_delay_v2(log: DataFrame, slot_seconds: int = 3600, chunk_rows: int
     placed = stage(streaks.withColumn("add", add).select(*log.columns, "add", F.col("nth").alias("_n")))
     rest = [c for c in log.columns if c != "host"]
     chunks = placed.groupBy("host", position_slot(F.col("_n") - 1, chunk_rows).alias("chunk")).agg(
-        F.array_sort(F.collect_list(F.struct("_n", "add", *rest))).alias("steps"))
+        F.sort_array(F.collect_list(F.struct("_n", "add", *rest))).alias("steps"))
 
     def clamp(value: Column, step: Column) -> Column:
         return F.least(F.lit(MAX_DELAY), F.greatest(F.lit(MIN_DELAY), value + step["add"]))
@@ -112,12 +119,13 @@ def adaptive_delay_v2(log: DataFrame, slot_seconds: int = 3600, chunk_rows: int
         F.struct(F.lit(0.0).alias("add"), F.lit(MIN_DELAY).alias("low"), F.lit(MAX_DELAY).alias("high")),
         lambda acc, s: F.struct((acc["add"] + s["add"]).alias("add"), clamp(acc["low"], s).alias("low"),
                                 clamp(acc["high"], s).alias("high")))
-    starts = chunks.select("host", "chunk", whole.alias("f")).select("host", "chunk", "f.*").groupBy("host").applyInPandas(
-        _carry, schema=f"host {dict(log.dtypes)['host']}, chunk long, start double")
-    replayed = chunks.join(starts, ["host", "chunk"]).withColumn("delays", F.aggregate(
-        "steps", F.struct(F.col("start").alias("x"), F.expr("cast(array() as array<double>)").alias("out")),
-        lambda acc, s: F.struct(clamp(acc["x"], s).alias("x"), F.concat(
-            acc["out"], F.array(clamp(acc["x"], s))).alias("out")))["out"])
+    hosts = chunks.select("host", "chunk", whole.alias("f")).groupBy("host").agg(
+        F.sort_array(F.collect_list(F.struct("chunk", "f"))).alias("chunks"))
+    after = _replay(F.col("chunks"), F.lit(INITIAL_DELAY), lambda x, c: F.least(
+        c["f"]["high"], F.greatest(c["f"]["low"], x + c["f"]["add"])))
+    before = F.slice(F.concat(F.array(F.lit(INITIAL_DELAY)), after), 1, F.size("chunks"))
+    starts = hosts.select("host", F.inline(F.arrays_zip(F.col("chunks.chunk").alias("chunk"), before.alias("start"))))
+    replayed = chunks.join(starts, ["host", "chunk"]).withColumn("delays", _replay(F.col("steps"), F.col("start"), clamp))
     return replayed.select("host", F.explode(F.arrays_zip("steps", "delays")).alias("z")).select(
         "host", *[F.col(f"z.steps.{c}").alias(c) for c in rest], F.col("z.delays").alias("delay")).select(
         *log.columns, "delay")
@@ -125,7 +133,7 @@ def adaptive_delay_v2(log: DataFrame, slot_seconds: int = 3600, chunk_rows: int
 
 def request_pace(delays: DataFrame, slot_seconds: int = 3600) -> DataFrame:
     """Delay actually waited: the maximum inside a penalty, else the adaptive delay."""
-    return penalty_interval(delays, slot_seconds).withColumn(
+    return penalty_interval(stage(delays), slot_seconds).withColumn(
         "waited", F.when(F.col("in_penalty"), F.lit(MAX_DELAY)).otherwise(F.col("delay")))
 
 

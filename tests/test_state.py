@@ -136,3 +136,17 @@ def test_pace_report(spark):
     log = spark.createDataFrame(rows, "host string, t string, event_id long, outcome string").selectExpr("host", "timestamp('2024-01-01 ' || t) AS ts", "event_id", "outcome")
     got = [tuple(r)[2:] for r in politeness.pace_report(log, slot_seconds=2).orderBy("interval_us").collect()]
     assert got == [(3, 2, 1, 0, 2, 100_000, 5_000_000, 1), (2, 0, 0, 1, 0, 1_000_000, 3_596_000_000, 0)]
+
+
+def test_walk_needs_no_python_and_pace_runs_the_walk_once(spark):
+    """A group of Python for every host cost more than the walk; a total that reads the walk twice ran it twice."""
+    logs = {h: ["ok", "failed", "limited", "ok", "ok"] * 9 for h in range(1, 4)}
+    delays = politeness.adaptive_delay_v2(make_log(spark, logs), chunk_rows=4)
+    assert "Pandas" not in delays._jdf.queryExecution().executedPlan().toString()
+    paced = politeness.request_pace(delays)
+    assert "array" not in paced._jdf.queryExecution().executedPlan().toString()
+    long = ["limited", "ok", "failed"] * 130  # chunks and steps over several blocks
+    got = politeness.adaptive_delay_v2(make_log(spark, {1: long}), chunk_rows=120).orderBy("event_id").collect()
+    assert [r.delay for r in got] == simulate_v2(long)
+    got = politeness.adaptive_delay_v2(make_log(spark, {1: long}), chunk_rows=2).orderBy("event_id").collect()
+    assert [r.delay for r in got] == simulate_v2(long)
