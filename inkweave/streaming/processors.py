@@ -25,7 +25,9 @@ DELAY_SCHEMA = T.StructType([
 
 def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
     """One key's rows of one micro-batch, by time; the source's trigger limit bounds them."""
-    return pd.concat(rows).sort_values(["ts", "event_id"])
+    parts = list(rows)
+    frame = parts[0] if len(parts) == 1 else pd.concat(parts)
+    return frame if len(frame) == 1 else frame.sort_values(["ts", "event_id"])
 
 
 class ProgressChanges(StatefulProcessor):
@@ -37,7 +39,11 @@ class ProgressChanges(StatefulProcessor):
             T.StructField("ended", T.BooleanType())]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        state, meta, ended = self.sent.get() if self.sent.exists() else (None, None, False)
+        # one call to the state for each key and way: a key has few rows, the calls are what it costs
+        before = self.sent.get()
+        state, meta, ended = before or (None, None, False)
+        if ended:
+            return  # nothing of this job is shown any more
         frame = _in_order(rows)
         kept = []
         for new_state, new_meta in zip(frame["state"], frame["meta"]):
@@ -45,10 +51,10 @@ class ProgressChanges(StatefulProcessor):
             kept.append(show)
             if not ended:
                 state, meta, ended = new_state, new_meta, new_state in TERMINAL_STATES
-        self.sent.update((state, meta, bool(ended)))
-        out = frame[kept].assign(job_id=key[0])
-        if len(out):
-            yield out[[f.name for f in CHANGE_SCHEMA]]
+        if (state, meta, bool(ended)) != before:
+            self.sent.update((state, meta, bool(ended)))
+        if any(kept):
+            yield frame[kept].assign(job_id=key[0])[[f.name for f in CHANGE_SCHEMA]]
 
     def close(self) -> None:
         pass
@@ -62,7 +68,7 @@ class AdaptiveDelay(StatefulProcessor):
             T.StructField("delay", T.DoubleType()), T.StructField("streak", T.IntegerType())]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        delay, streak = self.pace.get() if self.pace.exists() else (INITIAL_DELAY, 0)
+        delay, streak = self.pace.get() or (INITIAL_DELAY, 0)
         frame = _in_order(rows)
         delays = []
         for outcome in frame["outcome"]:
