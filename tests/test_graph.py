@@ -1,11 +1,15 @@
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from inkweave import session as S
+from inkweave.functions import urls
 from inkweave.operators import graph as G
 from inkweave.operators import links as L
 from inkweave.operators.jobs import JOB_SCHEMA, with_scope
+from inkweave.operators.ordered import numbered_by_range
 
 
 def tables(spark, edges, ok, seeds):
@@ -189,3 +193,48 @@ def test_long_chains_take_few_rounds(spark, monkeypatch):
     e, n, s = tables(spark, edges, [f"{n}" for n in range(1001)], [("j", "0", 1)])
     got = {x.url: x.depth for x in G.reachable(e, n.select("url"), s).collect()}
     assert got == {f"{n}": n for n in range(1001)} and len(rounds) <= 14  # 12 and the writes of pages and of the result
+
+
+def test_width_of_a_walk_follows_its_edges(spark):
+    """A small graph must not pay for the partitions of a large session."""
+    edges = spark.createDataFrame([("j", "a", "b", 0)], "job_id string, src string, dst string, pos int")
+    with S.sized(spark, 64):
+        assert G.round_width(edges) == min(64, spark.sparkContext.defaultParallelism)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "64"
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
+    with G.bucket_tables(spark) as bucketed:
+        table = bucketed(spark.range(0, 1000, 1, 6).withColumnRenamed("id", "src"), "src", buckets=3)
+        assert len(table.inputFiles()) == 3 and table.count() == 1000
+
+
+def test_merged_batches_have_a_file_a_bucket(spark):
+    with G.bucket_tables(spark) as bucketed:
+        visited = G.Visited(spark, bucketed.base, "depth INT")
+        for start in range(0, 90, 10):
+            visited.add(spark.range(start, start + 10, 1, 5).withColumn("depth", F.lit(start)))
+        visited.fold()
+        assert len(visited.batches) == 2 and visited.all().count() == 90
+        assert len(visited.batch(visited.batches[0][1]).inputFiles()) <= visited.buckets
+
+
+def test_numbers_by_range_put_small_neighbours_together(spark):
+    rows = spark.createDataFrame([("j", f"u{n:03}") for n in range(300)], "job_id string, url string")
+    with S.sized(spark, 64):
+        got = numbered_by_range(rows, ["job_id"], ["url"], "pos")
+        files = [f for f in os.listdir(newest_stage(spark)) if f.startswith("part-")]
+    assert len(files) < 64
+    assert [(r.url, r.pos) for r in got.orderBy("pos").collect()] == [(f"u{n:03}", n + 1) for n in range(300)]
+
+
+def newest_stage(spark):
+    folder = S._stages(spark).removeprefix("file:")
+    return max((os.path.join(folder, n) for n in os.listdir(folder)), key=os.path.getmtime)
+
+
+def test_links_are_worked_out_once(spark):
+    """Filters and joins above must not repeat the patterns that take a link out of its page."""
+    pages = spark.createDataFrame([(1, "https://h/a", '<a href="/b#x">b</a><a name=n>n</a><a href=c/../d>d</a>')], "page_id long, url string, html string")
+    got = L.resolve(L.extract_links(pages)).where((urls.host("dst") == "h") & (F.length("dst") > 3))
+    assert sorted((r.pos, r.dst) for r in got.collect()) == [(0, "https://h/b"), (2, "https://h/d")]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"[\s" + "\"'/])href") == 1
