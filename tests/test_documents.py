@@ -157,3 +157,13 @@ def test_a_page_of_equal_headings_that_clash_is_linear(spark):
     start = time.time()
     got = [r.slug for r in toc.headings(files, ["id"]).orderBy("pos").collect()]
     assert got[:4] == ["a-1", "a", "a-2", "a-3"] and len(set(got)) == 20_001 and time.time() - start < 30
+
+
+def test_heading_text_is_worked_out_once(spark):
+    """One extraction a line in each of the two branches (plain files, files whose slugs clash)."""
+    files = spark.createDataFrame([(1, "# A\n#no\n## B -- c!\n# ​\n# -É-\n")], "id long, md string")
+    found = toc.headings(files, ["id"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"(?U)^#{1,2}\s+(.+)$") <= 2
+    assert [(r.pos, r.level, r.text, r.slug) for r in found.orderBy("pos").collect()] == [
+        (0, 1, "A", "a"), (2, 2, "B -- c!", "b-c"), (3, 1, "Untitled Section", "section"), (4, 1, "-É-", "e")]
