@@ -59,7 +59,7 @@ def nav_links_v2(spark, folder):
 
 def nav_links_tokens(spark, folder):
     """Navigation links by the interval-coded token table."""
-    return T.navigation_links(T.token_table(linked_pages(spark, folder))).select("page_id", "pos", "href")
+    return T.navigation_links(T.token_table(linked_pages(spark, folder), text=False)).select("page_id", "pos", "href")
 
 
 SQL_NAV = f"WITH {SQL_LINKS} SELECT page_id, pos, href FROM links WHERE pos < n_nav OR href = '/in-toc'"

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from inkweave.functions.html import ATTRS, MAIN_SELECTORS_V1, MAIN_SELECTORS_V2, _selector_pattern, drop_noise
 from inkweave.operators.links import _LINK, _href, _marked
+from inkweave.session import width
 
 _TOKEN = rf"(?is)<!--.*?-->|<(script|style)(?![\w\-]){ATTRS}>.*?</\1\s*>|</?[A-Za-z]{ATTRS}>|<![^>]*>|[^<]++|<"
 # Elements without content and closing tag.
@@ -22,19 +23,25 @@ VOID = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 END = 2**31 - 1
 
 
-def token_table(pages: DataFrame) -> DataFrame:
+def token_table(pages: DataFrame, text: bool = True) -> DataFrame:
     """(page_id, url, pos, kind, name, source, begin, length, depth, until) of every token of ``pages(page_id, url, html)``.
 
     ``kind`` is text, open, close, void, comment or raw; ``begin`` and ``length`` count characters;
     ``depth`` is the number of closed elements around the token; ``until`` is the position of an
     opening tag's closing tag, NULL when there is none. Unmatched closing tags stand for themselves.
+    Without ``text`` only opening and void tags keep their ``source``, so a page's text is neither
+    shuffled nor sorted; all else is the same.
     """
     cut = pages.select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit(_TOKEN), 0)).alias("pos", "source"))
     tag = F.lower(F.regexp_extract("source", r"^</?([A-Za-z][^\s/>]*)", 1))
     kinds = (F.when(F.col("source").startswith("<!"), "comment").when(F.col("name") == "", "text").when(F.col("source").startswith("</"), "close")
              .when(F.col("name").isin("script", "style") & F.col("source").rlike(r"(?s)</[^<]*>$"), "raw")
              .when(F.col("name").isin(*VOID) | F.col("source").rlike(r"(?s)/>$"), "void").otherwise("open"))
-    named = cut.withColumn("name", tag).withColumn("kind", kinds).withColumn("length", F.length("source")).repartition("page_id")
+    named = cut.withColumn("name", tag).withColumn("kind", kinds).withColumn("length", F.length("source"))
+    if not text:
+        named = named.withColumn("source", F.when(F.col("kind").isin("open", "void"), F.col("source")))
+    # a named number of parts is not put together again, so what a task sorts stays small
+    named = named.repartition(width(pages.sparkSession), "page_id")
     step = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1)
     # tokens that open or close nothing stay out of the pairing
     by_name = Window.partitionBy("page_id", "name", "_pairs").orderBy("pos")
@@ -61,7 +68,8 @@ def navigation_links(tokens: DataFrame, profile: str = "v2") -> DataFrame:
     """Links inside navigation areas of a token table, with the ``pos`` of :func:`inkweave.operators.links.extract_links`."""
     page = Window.partitionBy("page_id").orderBy("pos")
     link = (F.col("name") == "a") & F.col("kind").isin("open", "void")
-    placed = tokens.withColumn("_in", within(_marked(F.col("source"), profile))).withColumn("_nth", F.sum(link.cast("int")).over(page) - 1)
+    # an area reaches to a position, so closing tags and text need not be sorted again
+    placed = tokens.where(F.col("kind").isin("open", "void")).withColumn("_in", within(_marked(F.col("source"), profile))).withColumn("_nth", F.sum(link.cast("int")).over(page) - 1)
     inside = F.regexp_extract("source", _LINK, 1)
     return placed.where(link & F.col("_in") & inside.rlike(r"(?i)(?:^|\s)href\s*=")).select("page_id", "url", F.col("_nth").alias("pos"), _href(inside).alias("href"))
 
@@ -90,6 +98,6 @@ def main_spans(tokens: DataFrame, profile: str = "v2") -> DataFrame:
 def main_content(pages: DataFrame, profile: str = "v2") -> DataFrame:
     """(page_id, selector, content) by the token table; the whole page where no selector hits."""
     source = pages.select("page_id", "url", (drop_noise("html") if profile == "v2" else F.col("html")).alias("html"))
-    spans = main_spans(token_table(source), profile)
+    spans = main_spans(token_table(source, text=False), profile)
     # a character is not always one unit of the text, and substring counts characters as length does
     return source.join(spans, "page_id", "left").select("page_id", "selector", F.coalesce(F.expr("substring(html, begin + 1, length)"), F.col("html")).alias("content"))

@@ -52,3 +52,16 @@ def test_main_content_equals_the_text_search(spark):
 def test_one_shuffle(spark):
     plan = T.navigation_links(T.token_table(table(spark)))._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"Exchange hashpartitioning", plan)) == 1
+
+
+def test_token_table_without_text(spark):
+    """Only opening and void tags keep their source; navigation and main content need no more."""
+    html = '<nav class="x"><a href="/a">a</a> text <!-- c --></nav><main>m <b>b</b></main><a href="/z">z</a><script>s</script>'
+    pages = spark.createDataFrame([(1, "https://h/", html)], "page_id long, url string, html string")
+    whole, lean = T.token_table(pages), T.token_table(pages, text=False)
+    rest = [c for c in whole.columns if c != "source"]
+    assert sorted(whole.select(*rest).collect(), key=str) == sorted(lean.select(*rest).collect(), key=str)
+    kept = {r.kind for r in lean.where("source IS NOT NULL").collect()}
+    assert kept == {"open"} and lean.where("kind = 'open' AND source IS NULL").count() == 0
+    assert [r.href for r in T.navigation_links(lean).collect()] == ["/a"] == [r.href for r in T.navigation_links(whole).collect()]
+    assert T.main_spans(lean).collect() == T.main_spans(whole).collect()
