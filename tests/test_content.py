@@ -103,3 +103,12 @@ def test_noise_keeps_custom_elements_and_drops_nested_objects(spark):
     assert evaluate(spark, html, H.drop_noise) == "<video-player>keep1</video-player><p>keep2</p><p>keep3</p>"
     assert evaluate(spark, "<object>a<p>b", H.drop_noise) == "a<p>b"
     assert evaluate(spark, "&#x000000E9;&#000000233;&#x110000;&#99999999999;", H.decode_entities) == "éé&#x110000;&#99999999999;"
+
+
+def test_conversion_looks_no_character_up(spark):
+    """Only code blocks go through a table of characters; page text is searched for single signs."""
+    page = "<body><blockquote><p>q x</p></blockquote><pre>a\n\t b</pre>​</body>"
+    pages = spark.createDataFrame([(1, "https://h/", page)], "page_id long, url string, html string")
+    got = C.to_markdown(pages)
+    assert got.first()["md"] == "> q x\n\n```\na\nb\n```\n"
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("translate(") == 1
