@@ -10,6 +10,7 @@ from inkweave.functions import html as H
 from inkweave.functions import slugs, urls
 from inkweave.functions.markdown import strip_frontmatter
 from inkweave.operators import toc
+from inkweave.session import stage
 
 FRONT = "---\ntitle: x\n---\n\n"
 
@@ -77,7 +78,8 @@ ordered AS (SELECT job_id, doc_id, 'doc-' || doc_id || '.md' AS filename, row_nu
 
 def _ordered_files(spark, folder):
     stored = files(spark, folder)
-    return toc.document_order(stored, order_list(spark, folder)).join(stored.select("job_id", "filename", "md"), ["job_id", "filename"])
+    # narrow rows, written once: the contents, the document and its jobs read them
+    return stage(toc.document_order(stored, order_list(spark, folder))).join(stored.select("job_id", "filename", "md"), ["job_id", "filename"])
 
 
 def toc_v1(spark, folder):

@@ -1,3 +1,4 @@
+import re
 import time
 
 import random
@@ -167,3 +168,33 @@ def test_heading_text_is_worked_out_once(spark):
     assert plan.count(r"(?U)^#{1,2}\s+(.+)$") <= 2
     assert [(r.pos, r.level, r.text, r.slug) for r in found.orderBy("pos").collect()] == [
         (0, 1, "A", "a"), (2, 2, "B -- c!", "b-c"), (3, 1, "Untitled Section", "section"), (4, 1, "-É-", "e")]
+
+
+def test_a_file_is_read_and_moved_once(spark):
+    """Entries and body come out of one row: no windows, no shuffle but that of the job ids."""
+    files = spark.createDataFrame([("j", 1, "a.md", "# A\n# A\n# A-1\n"), ("j", 2, "b.md", None)],
+                                  "job_id string, position long, filename string, md string")
+    parts = toc.stitched_v1(files)
+    optimized, physical = (str(getattr(parts._jdf.queryExecution(), n)()) for n in ("optimizedPlan", "sparkPlan"))
+    assert optimized.count(r"(?U)^#{1,2}\s+(.+)$") == 1 and "Window" not in physical and "Sort" not in physical
+    got = [(r.section, r.pos, r.sub, r.text) for r in parts.orderBy("section", "pos", "sub").collect()]
+    assert got == [(0, 0, 0, "# Table of Contents\n\n"), (1, 1, 0, "- [A](#a-a)\n"), (1, 1, 1, "- [A](#a-a-1)\n"),
+                   (1, 1, 2, "- [A-1](#a-a-1-1)\n"), (2, 0, 0, "\n"),
+                   (3, 1, 0, "\n\n<!-- Source File: a.md -->\n\n\n\n# A\n# A\n# A-1"), (3, 2, 0, None)]
+    assert [r.slug for r in toc.headings(files, ["job_id", "position"], full_unicode=True).orderBy("pos").collect()] == ["a", "a-1", "a-1-1"]
+
+
+def test_slugs_of_odd_texts(check):
+    odd = ["a\tb \x0b c", "--a - b--", "!a?b!", "\x00\x1fa\x7f", "a_b", "É\u2003ß—x", "ÀÉ\u0301 \u00a0-Z", "K \u212a", "", "- -", "日\x1c本 *", "İ I"]
+
+    def plain(text):
+        text = "".join(slugs.LATIN_TO[slugs.LATIN_FROM.index(c)] if c in slugs.LATIN_FROM else c for c in text).replace("\u0301", "").lower()
+        kept = re.sub(r"[\s\-]+", "-", re.sub(r"[^\w\s\-]|[\x1c-\x1f]", "", text))
+        return kept.strip("-") or "section"
+
+    check("t string, want string", [(t, plain(t)) for t in odd], slugs.slug("t"))
+
+
+def test_lines_end_as_the_request_parser_counts(check):
+    texts = ["", "a", "a\nb\n", "a\r\nb\rc", "\x0ba\x0cb", "a\x1cb\x1dc\x1ed", "a\x85b", "a\u2028b\u2029c", "a\u00a0b\u2003 \n"]
+    check("t string, want array<string>", [(t, re.split("\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]", t)) for t in texts], slugs.lines("t"))
